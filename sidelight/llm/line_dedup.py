@@ -16,11 +16,11 @@ replaced; all other columns pass through.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sidelight.llm.columns import SPACES, ascii_lower
+from sidelight.llm.columns import SPACES, ascii_lower, read
+from sidelight.workspace import Workspace
 
 
 def _lines(text: Column) -> Column:
@@ -31,15 +31,11 @@ def _key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-@F.pandas_udf("string")
-def _without(text: pd.Series, positions: pd.Series) -> pd.Series:
-    def one(t, drop):
-        if drop is None:
-            return t
-        drop = set(drop)
-        return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop)
-
-    return pd.Series([one(t, p) for t, p in zip(text, positions)], dtype=object)
+def _without(lines: Column, positions: Column) -> Column:
+    """The lines at all other positions, joined; array_except hashes, so long documents stay linear."""
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
+    both = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))  # bound once by the outer lambda
+    return F.transform(both, lambda b: F.array_join(F.transform(b["kept"], lambda i: F.get(b["lines"], i)), "\n"))[0]
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
@@ -60,6 +56,8 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         .groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_first"))
         .where(F.col("_docs") >= min_docs).drop("_docs")
     )
+    # a table of its own, so that the join shuffles both sides itself and a hot line can be split
+    repeated = Workspace(df.sparkSession, "lines").table(repeated, "repeated")
     drops = (
         lines.join(repeated, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
         .groupBy(F.col("_id").alias("_d_id"), F.col("_text").alias("_d_text")).agg(F.collect_set("_pos").alias("_d_pos"))
@@ -69,13 +67,11 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.withColumns({
         "n_lines": F.size(_lines(text)).cast("long"),
         "n_dropped": F.coalesce(F.size("_d_pos"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("_d_pos").isNull(), text).otherwise(_without(F.coalesce(text, F.lit("")), F.col("_d_pos"))),
+        text_col: F.when(F.col("_d_pos").isNull(), text).otherwise(_without(_lines(text), F.col("_d_pos"))),
     }).drop("_d_id", "_d_text", "_d_pos")
 
 
 def op10_line_dedup(spark, sf_dir):
-    from sidelight.llm.columns import read
-
     out = drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
