@@ -18,4 +18,6 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    from sidelight.session import ship
+
+    return ship(s)
