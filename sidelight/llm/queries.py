@@ -5,9 +5,11 @@ from __future__ import annotations
 from sidelight.llm.bpe import op4_bpe
 from sidelight.llm.line_dedup import OP10_SQL, op10_line_dedup
 from sidelight.llm.mixing import OP5_SQL, op5_mixing
+from sidelight.llm.token_files import op2_token_files
 from sidelight.llm.url_rules import op7_url_rules
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op7_url_rules": op7_url_rules,
