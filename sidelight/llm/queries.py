@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from sidelight.llm.bpe import op4_bpe
 from sidelight.llm.line_dedup import OP10_SQL, op10_line_dedup
+from sidelight.llm.minhash import OP1_SQL, op1_minhash
 from sidelight.llm.mixing import OP5_SQL, op5_mixing
 from sidelight.llm.token_files import op2_token_files
 from sidelight.llm.url_rules import op7_url_rules
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_token_files": op2_token_files,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
+    "op1_minhash": OP1_SQL,
     "op5_mixing": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
 }
