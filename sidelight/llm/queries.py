@@ -6,6 +6,7 @@ from sidelight.llm.bpe import op4_bpe
 from sidelight.llm.line_dedup import OP10_SQL, op10_line_dedup
 from sidelight.llm.minhash import OP1_SQL, op1_minhash
 from sidelight.llm.mixing import OP5_SQL, op5_mixing
+from sidelight.llm.spotsigs import op8_spotsigs
 from sidelight.llm.token_files import op2_token_files
 from sidelight.llm.url_rules import op7_url_rules
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op7_url_rules": op7_url_rules,
+    "op8_spotsigs": op8_spotsigs,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
