@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sidelight.llm.bpe import op4_bpe
+from sidelight.llm.langid import op9_langid
 from sidelight.llm.line_dedup import OP10_SQL, op10_line_dedup
 from sidelight.llm.minhash import OP1_SQL, op1_minhash
 from sidelight.llm.mixing import OP5_SQL, op5_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_url_rules": op7_url_rules,
     "op8_spotsigs": op8_spotsigs,
+    "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
