@@ -10,13 +10,16 @@
    threshold falls below ``MISS``. Survivors are verified on their full sets.
 4. Linked sets are joined to connected components.
 
-Pairs inside a bucket are not all made. First every set meets only the smallest
-id that it shares a bucket with; what is linked then is one component. After
+Pairs inside a bucket are not all made. First every set meets one other, the most
+popular of the buckets' leaders (of the largest buckets together, as the text
+that others were copied from is); what is linked then is one component. After
 that only buckets that still hold several components go on, and only pairs
-across components: in rounds, a few leaders of each bucket (chosen by a hash of
-the id) meet the other members, eight times as many leaders each round, until
-every pair across components of every bucket has been met. No pair is skipped
-but those already connected, and a bucket of n near copies costs about n pairs.
+across components. Buckets of up to ``SMALL`` sets make their few pairs in a
+join. Larger ones are cut into blocks of at most about ``BLOCK`` sets, and each
+two blocks meet in one task, which compares the minima as matrices, verifies the
+survivors and gives back links alone, no more than connect its sets. A pair is
+taken up in the first band that it shares, so once. No pair is skipped but those
+already connected.
 
 Disk holds the minima, the band keys and the texts of bucketed sets once each.
 All steps are joins and combining aggregations over written tables; nothing is
@@ -46,7 +49,7 @@ from sidelight.workspace import Workspace
 WIDTH, BANDS, ROWS, STEP = 5, 25, 5, 16
 MINIMA = 128  # the bands use 125, the Bayesian test all
 MISS = 1e-6
-LEADERS, MORE = 8, 8
+SMALL, BLOCK = 16, 256
 _RNG = np.random.default_rng(20240501)
 _MUL = _RNG.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, MINIMA, np.uint32)
@@ -120,6 +123,52 @@ def _fingerprints(batches):
         )
 
 
+def _block_links(percent: int):
+    """The links across components of one block, or between two, that are first met in its band."""
+    least = least_matches(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("side", "ascending"), ("doc", "ascending")])
+        docs, side, comp = (table.column(c).to_numpy() for c in ("doc", "side", "component"))
+        band = table.column("band")[0].as_py()
+        sigs = _minima_of(table.column("sig"))
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            i, j = np.triu_indices(len(docs), 1)
+        else:
+            n = int((side == 0).sum())
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n, len(docs)), indexing="ij"))
+        across = comp[i] != comp[j]
+        i, j = i[across], j[across]
+        keep, matches = _likely(sigs, sigs, i, j, least)
+        i, j = i[keep], j[keep]
+        same = (sigs[i, : BANDS * ROWS] == sigs[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(axis=2)
+        here = same.any(axis=1) & (same.argmax(axis=1) == band)
+        order = np.argsort(-matches[here], kind="stable")
+        root = {c: c for c in comp.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        texts, sets, out = table.column("text"), {}, ([], [])
+
+        def set_of(k):
+            if k not in sets:
+                sets[k] = shingles(texts[k].as_py())
+            return sets[k]
+
+        for x, y in zip(i[here][order].tolist(), j[here][order].tolist()):
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a != b and similar(set_of(x), set_of(y), percent):
+                root[max(a, b)] = min(a, b)
+                out[0].append(int(min(docs[x], docs[y])))
+                out[1].append(int(max(docs[x], docs[y])))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
 def _band_keys(batches):
     from xxhash import xxh3_64_intdigest
 
@@ -129,7 +178,25 @@ def _band_keys(batches):
             xxh3_64_intdigest(memoryview(sig)[4 * ROWS * i : 4 * ROWS * (i + 1)], seed=i)
             for sig in batch.column(1).to_pylist() for i in range(BANDS)
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(docs, pa.int64())], names=["key", "doc"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(band), pa.array(docs, pa.int64())], names=["key", "band", "doc"])
+
+
+def _minima_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), MINIMA)
+
+
+def _likely(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (left[i], right[j]) the sequential test keeps to the end, and their matches."""
+    open_, matches = np.arange(len(i)), np.zeros(len(i), np.int32)
+    for k, need in enumerate(least):
+        part = slice(k * STEP, (k + 1) * STEP)
+        matches = matches + (left[i[open_], part] == right[j[open_], part]).sum(axis=1, dtype=np.int32)
+        good = matches >= need
+        open_, matches = open_[good], matches[good]
+        if not len(open_):
+            break
+    return open_, matches
 
 
 def _survivors(percent: int):
@@ -137,16 +204,9 @@ def _survivors(percent: int):
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(n, MINIMA) for i in (2, 3))
-            open_, matches = np.arange(n), np.zeros(n, np.int64)
-            for k, need in enumerate(least):
-                part = slice(k * STEP, (k + 1) * STEP)
-                matches[open_] += (left[open_, part] == right[open_, part]).sum(axis=1)
-                open_ = open_[matches[open_] >= need]
-                if not len(open_):
-                    break
-            yield batch.select([0, 1]).take(pa.array(open_))
+            left, right = (_minima_of(batch.column(i)) for i in (2, 3))
+            each = np.arange(batch.num_rows)
+            yield batch.select([0, 1]).take(pa.array(_likely(left, right, each, each, least)[0]))
 
     return run
 
@@ -167,34 +227,31 @@ def _verified(percent: int):
     return run
 
 
-class _Links:
-    """Candidate pairs in, linked pairs out; keeps what was met and what was found."""
-
-    def __init__(self, ws: Workspace, sigs: DataFrame, texts: DataFrame, percent: int) -> None:
-        self.ws, self.sigs, self.texts, self.percent = ws, sigs, texts, percent
-        self.met: DataFrame | None = None
-        self.found: DataFrame | None = None
-
-    def meet(self, pairs: DataFrame) -> DataFrame:
-        """The component of each linked document, after these pairs are met too."""
-        if self.met is not None:
-            pairs = pairs.join(self.met, ["a", "b"], "left_anti")
-        pairs = self.ws.table(pairs, "pairs")
-        self.met = pairs if self.met is None else self.met.union(pairs)
-        sig, text = self.sigs, self.texts
-        likely = (
-            pairs.join(sig.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
-            .join(sig.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a")
-            .select("a", "b", "sa", "sb").mapInArrow(_survivors(self.percent), "a long, b long").distinct()
-        )
-        links = (
-            likely.join(text.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-            .join(text.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-            .select("a", "b", "ta", "tb").mapInArrow(_verified(self.percent), "a long, b long").distinct()
-        )
-        links = self.ws.table(links, "links")
-        self.found = links if self.found is None else self.found.union(links)
-        return self.ws.table(connected_components(self.found.select(F.col("a").alias("u"), F.col("b").alias("v")), self.ws), "labels")
+def _links_of_pairs(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those that are links: the sequential test, then the full sets."""
+    likely = (
+        pairs.join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
+        .join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a")
+        .select("a", "b", "sa", "sb").mapInArrow(_survivors(percent), "a long, b long").distinct()
+    )
+    return (
+        likely.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+        .select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long").distinct()
+    )
+
+
+def _links_of_blocks(members: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside large buckets; ``members``: key, band, n, doc, component."""
+    many = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("doc"), F.col("many")).cast("int")
+    dealt = members.withColumn("many", many).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.select(
+        "key", "band", "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        (F.col("mine") > F.col("other")).cast("int").alias("side"),
+    )
+    full = dealt.join(sigs, "doc").join(texts, "doc")
+    return full.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -207,36 +264,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spare = sets.select("d1", "d2", "doc").join(copies, ["d1", "d2"]).where("doc <> first").select("doc", "d1", "d2")
     firsts = sets.join(spare, ["doc", "d1", "d2"], "left_anti").select("doc", "sig")
 
-    bands = ws.table(firsts.mapInArrow(_band_keys, "key long, doc long"), "bands")
-    shared = ws.table(bands.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high"), "shared")
-    buckets = ws.table(bands.join(shared.select("key", "low", "n"), "key").distinct(), "buckets")
+    bands = ws.table(firsts.mapInArrow(_band_keys, "key long, band int, doc long"), "bands")
+    shared = ws.table(bands.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "shared")
+    buckets = ws.table(bands.join(shared, "key").distinct(), "buckets")
     ws.drop(bands, shared)
-    bucketed = ws.table(buckets.select("doc").distinct(), "bucketed")
-    sigs = ws.table(firsts.join(bucketed, "doc", "left_semi"), "sigs")
-    texts = ws.table(docs.join(bucketed, "doc", "left_semi"), "texts")
-
-    links = _Links(ws, sigs, texts, percent)
-    labels = links.meet(buckets.groupBy(F.col("doc").alias("b")).agg(F.min("low").alias("a")).where("a < b").select("a", "b"))
-    before, leaders = 0, LEADERS
-    while True:
-        placed = (
-            buckets.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-            .withColumn("component", F.coalesce("component", "doc"))
-            .withColumn("turn", (F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / F.lit(1 << 30)) * F.col("n"))  # uniform in [0, n)
-        )
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("turn").alias("last"))
-        mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("last") >= before)).select("key")
-        open_ = ws.table(placed.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        lead = open_.where((F.col("turn") >= before) & (F.col("turn") < leaders)).select("key", F.col("doc").alias("l"), F.col("component").alias("lc"), F.col("turn").alias("lt"))
-        pairs = (
-            open_.join(lead, "key").where("component <> lc and (turn > lt or (turn = lt and doc > l))")
-            .select(F.least("doc", "l").alias("a"), F.greatest("doc", "l").alias("b")).distinct()
-        )
-        labels = links.meet(pairs)
-        ws.drop(open_)
-        before, leaders = leaders, leaders * MORE
+    popular = ws.table(buckets.groupBy("doc").agg(F.sum("n").alias("fame")), "bucketed")
+    sigs = ws.table(firsts.join(popular, "doc", "left_semi"), "sigs")
+    texts = ws.table(docs.join(popular, "doc", "left_semi"), "texts")
+
+    ranked = buckets.join(popular, "doc").select("key", "doc", F.struct(F.col("fame"), (-F.col("doc")).alias("minus")).alias("rank"))
+    leaders = ws.table(ranked.groupBy("key").agg(F.max("rank").alias("lead")), "leaders")
+    hubs = buckets.select("key", "doc").join(leaders, "key").groupBy("doc").agg(F.max("lead").alias("lead")).select("doc", (-F.col("lead.minus")).alias("hub"))
+    pairs = ws.table(hubs.where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "pairs")
+    links = ws.table(_links_of_pairs(pairs, sigs, texts, percent), "links")
+
+    def components(found):
+        return ws.table(connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), ws), "labels")
+
+    labels = components(links)
+    placed = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    mixed = ws.table(mixed, "mixed")
+    open_ = ws.table(placed.join(mixed, "key", "left_semi"), "open")
+    few = open_.where(F.col("n") <= SMALL)
+    other = few.select("key", F.col("doc").alias("a"), F.col("component").alias("other"))
+    again = few.select("key", F.col("doc").alias("b"), "component").join(other, "key").where("a < b and component <> other").select("a", "b").distinct()
+    again = ws.table(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = ws.table(_links_of_pairs(again, sigs, texts, percent).union(_links_of_blocks(open_.where(F.col("n") > SMALL), sigs, texts, percent)), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     return (
         prints.select("doc", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left")
