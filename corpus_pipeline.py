@@ -1,4 +1,79 @@
-STAGES = []
+"""From raw documents to token ids in five stages, each of one operator of ``sidelight.llm``.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
+a DataFrame, which is written as Parquet and read again as the next one's docs. All
+but the last return the columns of ``documents``.
+
+1. Language ID: centroids are learned from the labelled documents; documents that
+   are too far from all of them, or have no letter, go.
+2. Line dedup: lines of at least ten characters that several documents hold stay in
+   the first alone.
+3. MinHash near-dedup at a similarity of 0.8: the smallest id of each group stays.
+4. Mixing: whole and fractional repetitions of documents by their source's target.
+   A document that is taken twice is two rows; a fractional one has a row with its
+   first words.
+5. BPE: the ids of every text, checked by decoding them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sidelight.llm.bpe import with_tokens
+from sidelight.llm.langid import fit_centroids, with_language
+from sidelight.llm.line_dedup import drop_repeated_lines
+from sidelight.llm.minhash import drop_near_duplicates
+from sidelight.llm.mixing import mixed_rows
+from sidelight.workspace import Workspace
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_language(docs, fit_centroids(docs)).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(drop_repeated_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs, percent=80).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(mixed_rows(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return with_tokens(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], ids=True)
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing", mixing),
+    ("BPE", tokens),
+]
+
+#: Language ID and BPE are beyond SQL; tests hold each stage against a plain version instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        done = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        ws.drop(docs)
+        docs = done
+    return docs
