@@ -32,7 +32,7 @@ from sidelight.workspace import Workspace
 CHAIN = 2
 LONG_RUN = 6
 FLOOR = 0.1
-BLOCK_BITS = 10  # ids of a block of neighbours: at most 2 ** BLOCK_BITS different ones
+BLOCK_BITS = 8  # ids of a block of neighbours: at most 2 ** BLOCK_BITS different ones
 
 # Common words of English, German, French and Spanish.
 ANCHORS = """
@@ -103,8 +103,8 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
 
 
 def with_next(df: DataFrame, ws: Workspace) -> DataFrame:
-    """``id``, ``text``, ``spots`` of each row with ``next_text``, ``next_spots`` of the row after it in
-    descending order of ``id``; after the last comes the first.
+    """``id``, ``text`` of each row and its ``spots``, with ``next_text``, ``next_spots`` of the row after it
+    in descending order of ``id``; after the last comes the first.
 
     Ids are cut into blocks of fixed width, in which the order is a window; where a
     block ends, the first row of the block below follows. That one is found among
@@ -121,6 +121,8 @@ def with_next(df: DataFrame, ws: Workspace) -> DataFrame:
     follows = heads.withColumn("over", over).withColumn("after", F.lead("head").over(down)).join(tops, "over").select("block", F.coalesce("after", "below").alias("after"))
     firsts = rows.select(at.alias("after"), "text").join(heads.select(F.col("head").alias("after")), "after", "left_semi").groupBy("after").agg(F.min("text").alias("edge_text"))
     edges = ws.table(follows.join(firsts, "after").select("block", "edge_text"), "edges").withColumn("edge_spots", spots(F.col("edge_text")))
+    # dealt out before the spots are made, so that the text alone is shuffled
+    rows = rows.repartition("block").withColumn("spots", spots(F.col("text")))
     inside = Window.partitionBy("block").orderBy(at.desc(), "text")
     led = rows.withColumns({"lead_text": F.lead("text").over(inside), "lead_spots": F.lead("spots").over(inside)})
     return led.join(edges, "block").select(
@@ -136,15 +138,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op8_spotsigs(spark, sf_dir):
     ws = Workspace(spark, "spots")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(docs.withColumn("spots", spots(F.col("text"))), ws)
+    pairs = with_next(docs, ws)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = pairs.select(
         "id", "spots", "next_spots", n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)).alias("edited"),
     )
-    # a written table, lest the optimiser repeat the spots of the edited text in each column that reads them
-    coded = ws.table(edited.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "spots", "next_spots", spots(F.col("edited")).alias("edited_spots")), "coded")
+    coded = edited.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "spots", "next_spots", spots(F.col("edited")).alias("edited_spots"))
     return coded.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
         fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
