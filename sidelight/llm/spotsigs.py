@@ -58,8 +58,9 @@ def spots(text: Column) -> Column:
     """The sorted, distinct, 32-bit hashes of a text's spots."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]++", " "), F.lit(" "))
     words = F.regexp_replace(words, "^ ++| ++$", " ")
-    # every anchor becomes a bar; what lies between two bars is a run of content words
-    runs = F.split(F.regexp_replace(words, _ANCHOR, "|"), r"(?:\|\s*)++")
+
+    def runs(w):  # every anchor becomes a bar; what lies between two bars is a run of content words
+        return F.struct(F.split(F.regexp_replace(w, _ANCHOR, "|"), r"(?:\|\s*)++").alias("r"), w.alias("w"))
 
     def chains(run, i, all_runs):
         size = F.length(run) - F.length(F.replace(run, F.lit(" "))) + 1
@@ -80,7 +81,8 @@ def spots(text: Column) -> Column:
         chosen = F.transform(F.array(F.struct(found.alias("c"), whole.alias("w"))), lambda s: F.when(F.size(s["c"]) > 0, s["c"]).otherwise(s["w"]))[0]
         return F.array_sort(F.array_distinct(F.transform(chosen, lambda c: F.hash(c))))
 
-    return F.transform(F.array(F.struct(runs.alias("r"), words.alias("w"))), of)[0]
+    # each step is bound by a lambda, and so computed once
+    return F.transform(F.transform(F.array(words), runs), of)[0]
 
 
 def fingerprint(found: Column) -> Column:
