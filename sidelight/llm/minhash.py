@@ -276,7 +276,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leaders = ws.table(ranked.groupBy("key").agg(F.max("rank").alias("lead")), "leaders")
     hubs = buckets.select("key", "doc").join(leaders, "key").groupBy("doc").agg(F.max("lead").alias("lead")).select("doc", (-F.col("lead.minus")).alias("hub"))
     pairs = ws.table(hubs.where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "pairs")
-    links = ws.table(_links_of_pairs(pairs, sigs, texts, percent), "links")
+    # an id whose rows differ in text is one document, and joins what each of them is a copy of
+    digest = F.struct("d1", "d2")
+    several = sets.groupBy("doc").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc")
+    own = sets.join(several, "doc", "left_semi").join(copies, ["d1", "d2"]).where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    links = ws.table(_links_of_pairs(pairs, sigs, texts, percent).union(own), "links")
 
     def components(found):
         return ws.table(connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), ws), "labels")
