@@ -61,12 +61,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs:
     )
 
 
-def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, carry: tuple = ()) -> DataFrame:
-    """A row for each row of ``df``: ``id_col``, ``size``, ``source_size``, ``target``, ``taken``, and the columns in ``carry``."""
-    sized = df.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"),
-        *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)),
-    )
+def _planned(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, carry: tuple = ()) -> DataFrame:
+    """``_id``, ``_size``, ``_source_size``, ``_target``, ``_taken`` for each row, and the columns in ``carry``."""
+    sized = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), *carry)
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_size").cast("string")).cast("binary"))
     sized = sized.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, BUCKETS_HEX))
     buckets = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_in_bucket"))
@@ -86,10 +83,13 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     cut = placed.where(inner).withColumn("_ahead", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
     cut = cut.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_need") - F.col("_ahead")))).drop("_ahead")
     full = placed.where(~inner).withColumn("_extra", F.when(F.col("_need") > 0, F.col("_size")).otherwise(F.lit(0)))
-    return full.unionByName(cut).select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long").alias("taken"),
-        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)),
+    return full.unionByName(cut).withColumn("_taken", (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long"))
+
+
+def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """A row for each row of ``df``: ``id_col``, ``size``, ``source_size``, ``target`` (its source's), ``taken`` (words, repeats counted)."""
+    return _planned(df, id_col, source_col, text_col, seed).select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
     )
 
 
@@ -98,17 +98,16 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     fractional one a row whose text holds its first words. A document without words stays once,
     as it costs nothing.
     """
-    rest = [c for c in df.columns if c not in (id_col,)]
-    plan = mix_plan(df, id_col, source_col, text_col, seed, carry=tuple(rest))
-    size, taken = F.col("size"), F.col("taken")
+    plan = _planned(df, id_col, source_col, text_col, seed, carry=(F.struct(*df.columns).alias("_row"),))
+    size, taken = F.col("_size"), F.col("_taken")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(1).cast("int")
     part = F.when(size > 0, taken % size).otherwise(0).cast("int")
     rows = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    out = plan.withColumn("_words", F.explode(rows))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.col("_row")[text_col]
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     lead = F.array_join(F.slice(words, F.lit(1), F.col("_words")), "")
-    out = out.withColumn(text_col, F.when(F.col("_words") < 0, F.col(text_col)).otherwise(lead))
-    return out.select(*df.columns)
+    out = plan.select("_row", F.explode(rows).alias("_words"))
+    return out.select(*(F.when(F.col("_words") < 0, text).otherwise(lead).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns))
 
 
 def op5_mixing(spark, sf_dir):
