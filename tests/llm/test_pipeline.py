@@ -1,0 +1,81 @@
+import hashlib
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as cp
+from tests.llm.test_line_dedup import brute_force as without_lines
+from tests.llm.test_minhash import brute_force as components
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def staged(spark, tmp_path_factory):
+    """The table before and after each stage, written and read again."""
+    root, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{SF}/documents.parquet"), []
+    for k, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{root}/{k}")
+        after = spark.read.parquet(f"{root}/{k}")
+        out.append((docs, after))
+        docs = after
+    return out
+
+
+def test_stages_are_the_five(staged):
+    assert [n for n, _ in cp.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "mixing", "BPE"]
+    for before, after in staged[:-1]:
+        assert after.columns == cp.COLUMNS
+
+
+def test_language_stage_keeps_clean_documents(staged):
+    before, after = staged[0]
+    kept = {r.doc_id for r in after.collect()}
+    lost = [r for r in before.collect() if r.doc_id not in kept]
+    assert len(lost) <= 0.01 * before.count()
+
+
+def test_line_stage(staged):
+    before, after = staged[1]
+    want = {(i, t) for i, t, *_ in without_lines([(r.doc_id, r.text) for r in before.collect()])}
+    rows = after.collect()
+    assert {(r.doc_id, r.text) for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_near_duplicate_stage(staged):
+    before, after = staged[2]
+    want = {i for i, _, _, kept in components([(r.doc_id, r.text) for r in before.collect()], 80) if kept}
+    assert {r.doc_id for r in after.collect()} == want
+
+
+def test_mixing_stage(staged):
+    before, after = staged[3]
+    size = lambda t: len((t or "").split())
+    had, have = Counter(), Counter()
+    for r in before.collect():
+        had[r.source] += size(r.text)
+    texts = {r.doc_id: r.text for r in before.collect()}
+    for r in after.collect():
+        have[r.source] += size(r.text)
+        assert texts[r.doc_id].startswith(r.text)
+    from fractions import Fraction
+
+    from tests.llm.test_mixing import filled
+
+    for s, want in filled(dict(had)).items():
+        assert abs(have[s] - want) <= Fraction(1)
+
+
+def test_token_stage_and_run(spark, staged):
+    import array
+
+    import public_tokenizers
+    import tiktoken
+
+    from sidelight.llm.bpe import load_ranks
+
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    before, after = staged[4]
+    want = Counter((r.doc_id, array.array("I", whole.encode_ordinary(r.text)).tobytes(), hashlib.sha256(r.text.encode()).hexdigest()) for r in before.collect())
+    assert Counter((r.doc_id, bytes(r.ids), r.decoded_sha256) for r in after.collect()) == want
+    assert Counter((r.doc_id, bytes(r.ids), r.decoded_sha256) for r in cp.run(spark, SF).collect()) == want

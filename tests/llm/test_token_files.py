@@ -1,0 +1,74 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from sidelight.llm import token_files as tf
+from sidelight.workspace import Workspace
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=3000), st.sampled_from([10, 50257, 70000]))
+def test_grammar_round_trip(ids, first):
+    ids = np.array(ids, np.uint32)
+    seq, rules = tf.compress(ids, first, 500)
+    assert np.array_equal(tf.expand(seq, rules, first), ids)
+
+
+def test_repeats_are_compressed_and_read_at_random():
+    rng = np.random.default_rng(1)
+    phrase = rng.integers(0, 50257, 40)
+    parts = [np.concatenate([phrase] * k + [rng.integers(0, 50257, 5)]).astype(np.uint32) for k in range(1, 80)]
+    payload = tf.Shard.pack(list(range(79)), parts, 50257)
+    shard, whole = tf.Shard(payload), np.concatenate(parts)
+    assert len(shard.seq) < len(whole) / 5
+    assert np.array_equal(shard.tokens(), whole)
+    for a, b in [(0, 0), (0, 1), (17, 4000), (len(whole) - 3, len(whole)), (5, 10**9)]:
+        assert np.array_equal(shard.tokens(a, b), whole[a:b])
+    assert all(np.array_equal(shard.document(k), p) for k, p in enumerate(parts))
+    assert tf.expansion_lengths(shard.rules, 50257).tolist() == [len(tf.expand(np.array([50257 + k], np.uint32), shard.rules, 50257)) for k in range(len(shard.rules))]
+
+
+def test_chunked_encoding_is_the_library_s(plain):
+    coder = tf.ChunkedEncoder(PATH)
+    rng = random.Random(3)
+    parts = ["word", "Word,", " ", " ", "  ", "\n", "\n\n ", "\t", "é", "日本", "12", "...", "'s", " ", " ", "<|endoftext|>", "x" * 50]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randrange(30)))
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == plain(text), repr(text)
+
+
+def test_files_hold_every_document_in_order(spark, docs, plain, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["the", "of", "ing", "é", "new\nline"], k=rng.randrange(200))) for _ in range(60)] + [None, "", "x y", "x y"]
+    ids = [*range(100, 160), 5, None, 7, 7]
+    path = f"{Workspace(spark, 'test').root}/ids"
+    tf.write_token_files(docs(texts, ids), PATH, path)
+    got = sorted(tf.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    want = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0))
+    start = 0
+    for r, (i, t) in zip(got, want, strict=True):
+        coded = np.array([*plain(t or ""), tf.END_ID], "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(coded) // 4, coded)
+        assert zlib.crc32(coded) == zlib.crc32(bytes(r.ids))
+        start += r.n_tokens
+
+
+def test_empty_table(spark, docs):
+    path = f"{Workspace(spark, 'test').root}/none"
+    tf.write_token_files(docs([]), PATH, path)
+    assert tf.read_token_files(spark, path).collect() == []
