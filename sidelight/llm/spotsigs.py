@@ -66,7 +66,7 @@ def spots(text: Column) -> Column:
         size = F.length(run) - F.length(F.replace(run, F.lit(" "))) + 1
         each = F.split(run, " ")
         inner = F.zip_with(F.slice(each, F.lit(1), size - 1), F.slice(each, F.lit(2), size - 1), lambda x, y: F.concat(x, F.lit(" "), y))
-        after = F.substring_index(F.get(all_runs, i + 1), " ", 1)
+        after = F.when(i + 1 < F.size(all_runs), F.nullif(F.substring_index(F.get(all_runs, i + 1), " ", 1), F.lit("")))
         first = F.when(size >= CHAIN, F.substring_index(run, " ", CHAIN)).otherwise(F.concat(run, F.lit(" "), after))
         anchored = F.when((i == 0) | first.isNull(), F.array().cast("array<string>")).otherwise(F.array(first))
         return F.when(run == "", F.array().cast("array<string>")).when(size > LONG_RUN, inner).otherwise(anchored)

@@ -34,8 +34,8 @@ def plain(text):
         elif k and r:
             if len(r) >= 2:
                 out.add(" ".join(r[:2]))
-            elif k + 1 < len(squeezed):
-                out.add(f"{r[0]} {squeezed[k + 1][0] if squeezed[k + 1] else ''}")
+            elif k + 1 < len(squeezed) and squeezed[k + 1]:
+                out.add(f"{r[0]} {squeezed[k + 1][0]}")
     return out or ({f"{a} {b}" for a, b in zip(words, words[1:])} if len(words) > 1 else set(words))
 
 
