@@ -72,7 +72,7 @@ def spots(text: Column) -> Column:
         return F.when(run == "", F.array().cast("array<string>")).when(size > LONG_RUN, inner).otherwise(anchored)
 
     def of(bound):
-        trimmed = F.transform(bound["r"], F.trim)
+        trimmed = F.transform(bound["r"], lambda r: F.trim(r))  # F.trim alone would take the index for what to trim
         found = F.transform(F.array(F.struct(trimmed.alias("a"))), lambda s: F.flatten(F.transform(s["a"], lambda r, i: chains(r, i, s["a"]))))[0]
         plain = F.trim(bound["w"])
         each = F.split(plain, " ")
