@@ -124,18 +124,29 @@ def fit_centroids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _fit(samples: dict[str, list]) -> Centroids:
-    counted = {lang: [c for t in texts if (c := ngram_counts(t))[1]] for lang, texts in samples.items()}
-    counted = {lang: rows for lang, rows in counted.items() if rows}
-    total = sum(map(len, counted.values()))
-    seen = sum((np.sum([c > 0 for c, _ in rows], axis=0) for rows in counted.values()), np.zeros(BUCKETS))
-    model = Centroids([], np.zeros((0, BUCKETS), np.float32), np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.1), [0.0] * 32)
+    """Counts are kept sparse, and one language's vectors are dense at a time, to spare the driver."""
+    counted: dict[str, list] = {}
+    seen, total = np.zeros(BUCKETS), 0
+    for lang, texts in samples.items():
+        for t in texts:
+            counts, letters = ngram_counts(t)
+            if letters:
+                at = np.flatnonzero(counts)
+                counted.setdefault(lang, []).append((at.astype(np.uint16), counts[at].astype(np.uint32), letters))
+                seen[at] += 1
+                total += 1
+    idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+    model = Centroids([], np.zeros((0, BUCKETS), np.float32), idf, [0.0] * 32)
     stacked, lowest = [], [np.inf] * 32
     for lang in sorted(counted):
-        x = np.array([model.vector(c) for c, _ in counted[lang]])
+        x = np.zeros((len(counted[lang]), BUCKETS), np.float32)
+        for row, (at, counts, _) in zip(x, counted[lang]):
+            row[at] = counts
+            row[:] = model.vector(row)
         c = _cluster(x, CENTROIDS)
         stacked.append(c)
         model.languages += [lang] * len(c)
-        for cos, (_, letters) in zip(np.max(x @ c.T, axis=1), counted[lang]):
+        for cos, (*_, letters) in zip(np.max(x @ c.T, axis=1), counted[lang]):
             k = _length_class(letters)
             lowest[k] = min(lowest[k], float(cos))
     if stacked:
