@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sidelight.functions.sidecar import extracted, subject_present
 from sidelight.functions.text import decoded
@@ -134,7 +135,8 @@ def embedded(rows: DataFrame, embedder: Embedder) -> DataFrame:
             vectors = [v for at in range(0, len(prefixed), EMBED_BATCH) for v in model(prefixed[at : at + EMBED_BATCH])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*columns, "vector"])
 
-    made = out.mapInArrow(run, out.schema.add("vector", "array<double>"))
+    kinds = StructType([*out.schema.fields, StructField("vector", ArrayType(DoubleType()))])
+    made = out.mapInArrow(run, kinds)
     return made.withColumn("vector", quantised(F.col("vector")))
 
 

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelight.functions.images import data_url
-from sidelight.schemas import schema
 
 ATTEMPTS, WAIT, TIMEOUT = 3, 3, 60
 ANSWERS_DDL = "path string, context string, text string, cost double, error string"
+ANSWERS = [c.split()[0] for c in ANSWERS_DDL.split(", ")]
 Call = Callable[[str, str, bytes], dict]  # (path, prompt, content) to {"text", "cost"} or {"error"}
 
 
@@ -89,7 +89,7 @@ def describe(asked: DataFrame, call: Call, out: str, tasks: int = 8) -> DataFram
             rows = batch.to_pylist()
             said = [call(r["path"], r["prompt"], r["content"]) for r in rows]
             cols = [r["path"] for r in rows], [r["context"] for r in rows], *([s.get(k) for s in said] for k in ("text", "cost", "error"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()))], names=schema(ANSWERS_DDL).names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()))], names=ANSWERS)
 
     asked.select("path", "context", "prompt", "content").repartition(tasks).mapInArrow(run, ANSWERS_DDL).write.mode("append").parquet(out)
     return spark.read.schema(ANSWERS_DDL).parquet(out).withColumn("answer", F.struct("text", "cost", "error"))
