@@ -41,8 +41,10 @@ from sidelight.workspace import Workspace
 
 SHARD_TOKENS = 1 << 21
 END_ID = 0
+BROADCAST_SHARDS = 1_000_000
 MEMO_CHUNKS = 600_000  # entries; when it is full, new chunks are encoded and not kept
-MIN_COUNT, MIN_GAIN, ROUND_RULES = 24, 0.02, 2048
+MIN_COUNT, LEAST_USED, MIN_GAIN, ROUND_RULES = 24, 4, 0.02, 2048
+_SLOT_BITS = 18
 SHARD_SCHEMA = "first_doc long, n_docs long, n_tokens long, payload binary"
 _HEAD = struct.Struct("<4sIIIII")  # magic, first nonterminal, rules, documents, tokens, length of the sequence
 
@@ -50,18 +52,19 @@ _HEAD = struct.Struct("<4sIIIII")  # magic, first nonterminal, rules, documents,
 # --- grammar ---------------------------------------------------------------------------------
 
 
-def _frequent_pairs(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the ``most`` most frequent pairs, sorted by code, and each one's rank by count."""
+def _frequent_pairs(codes: np.ndarray, most: int) -> np.ndarray:
+    """The codes of the ``most`` most frequent pairs, by falling count."""
     ordered = np.sort(codes)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(starts, len(ordered)))
     often = np.flatnonzero(counts >= MIN_COUNT)
-    if len(often) > most:
-        often = often[np.argsort(-counts[often], kind="stable")[:most]]
-        often.sort()
-    rank = np.empty(len(often), np.int32)
-    rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often), dtype=np.int32)
-    return ordered[starts[often]], rank
+    return ordered[starts[often[np.argsort(-counts[often], kind="stable")[:most]]]]
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    if codes.dtype == np.uint32:
+        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
 
 def compress(ids: np.ndarray, first: int, max_rules: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,40 +72,35 @@ def compress(ids: np.ndarray, first: int, max_rules: int) -> tuple[np.ndarray, n
     wide = first + max_rules > 1 << 16
     kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
     seq, rules = ids.astype(np.uint32), []
+    none = np.int32(1 << 30)
     while len(seq) > 1 and (room := max_rules - len(rules)) > 0:
-        codes = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
-        pairs, rank = _frequent_pairs(codes, min(room, ROUND_RULES))
+        codes = (seq[:-1].astype(kind, copy=False) << kind(shift)) | seq[1:]
+        pairs = _frequent_pairs(codes, min(room, ROUND_RULES))
         if not len(pairs):
             break
-        bucket = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        listed = np.zeros(1 << 20, bool)
-        listed[((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)] = True
-        at = np.flatnonzero(listed[bucket])
-        found = np.minimum(np.searchsorted(pairs, codes[at]), len(pairs) - 1)
-        sure = pairs[found] == codes[at]
-        at, place = at[sure], rank[found[sure]]
+        # a small table finds a code's rank; of two pairs in one slot the less frequent waits for a later round
+        rank_at = np.full(1 << _SLOT_BITS, -1, np.int32)
+        rank_at[_slots(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        place = rank_at[_slots(codes)]
+        at = np.flatnonzero(place >= 0)
+        place = place[at]
+        sure = pairs[place] == codes[at]
+        at, place = at[sure], place[sure]
         # of overlapping pairs the better rank goes first; in a run of one pair, the leftmost
-        none = np.int32(1 << 30)
-        follows = np.zeros(len(at), bool)
-        follows[1:] = at[1:] == at[:-1] + 1
-        left = np.full(len(at), none, np.int32)
-        left[1:][follows[1:]] = place[:-1][follows[1:]]
-        right = np.full(len(at), none, np.int32)
-        right[:-1][follows[1:]] = place[1:][follows[1:]]
-        take = (place < left) & (place <= right)
+        follows = at[1:] == at[:-1] + 1
+        take = np.ones(len(at), bool)
+        take[1:] = place[1:] < np.where(follows, place[:-1], none)
+        take[:-1] &= place[:-1] <= np.where(follows, place[1:], none)
         at, place = at[take], place[take]
-        used = np.bincount(place, minlength=len(pairs))
-        worth = used >= 4
+        worth = np.bincount(place, minlength=len(pairs)) >= LEAST_USED
         if len(at) < MIN_GAIN * len(seq) or not worth.any():
             break
-        number = np.cumsum(worth) - 1 + len(rules)
-        by_rank = np.empty(len(pairs), pairs.dtype)
-        by_rank[rank] = pairs
-        chosen = by_rank[worth]
+        number = (np.cumsum(worth) - 1 + len(rules) + first).astype(np.uint32)
+        chosen = pairs[worth]
         rules.extend(zip((chosen >> kind(shift)).tolist(), (chosen & kind((1 << shift) - 1)).tolist()))
-        ok = worth[place]
-        at, place = at[ok], place[ok]
-        seq[at] = (first + number[place]).astype(np.uint32)
+        good = worth[place]
+        at, place = at[good], place[good]
+        seq[at] = number[place]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
@@ -117,15 +115,38 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """Undoes ``compress``; a pass for each level of nonterminals inside nonterminals."""
-    while len(at := np.flatnonzero(seq >= first)):
-        pairs = rules[seq[at] - first]
-        place = np.arange(len(seq)) + np.cumsum(np.bincount(at + 1, minlength=len(seq) + 1))[: len(seq)]
-        out = np.empty(len(seq) + len(at), np.uint32)
-        out[place] = seq
-        out[place[at]], out[place[at] + 1] = pairs[:, 0], pairs[:, 1]
-        seq = out
-    return seq
+    """Undoes ``compress``: each nonterminal that occurs is expanded once, then gathered."""
+    inner = seq >= first
+    if not inner.any():
+        return seq
+    whole: dict[int, list[int]] = {}
+
+    def spelt(symbol: int) -> list[int]:
+        todo, out = [symbol], []
+        while todo:
+            s = todo.pop()
+            if s < first:
+                out.append(s)
+            elif s in whole:
+                out.extend(whole[s])
+            else:
+                todo += rules[s - first].tolist()[::-1]
+        return out
+
+    used, which = np.unique(seq[inner], return_inverse=True)
+    for s in used.tolist():  # rules only refer to earlier ones, so short ones come first
+        whole[s] = spelt(s)
+    lengths = np.array([len(whole[s]) for s in used.tolist()], np.int64)
+    flat, begins = np.array([x for s in used.tolist() for x in whole[s]], np.uint32), np.cumsum(lengths) - lengths
+    size = np.ones(len(seq), np.int64)
+    size[inner] = lengths[which]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    out[at[~inner]] = seq[~inner]
+    n = size[inner]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(at[inner], n) + step] = flat[np.repeat(begins[which], n) + step]
+    return out
 
 
 class Shard:
@@ -291,6 +312,8 @@ def read_token_files(spark, path: str) -> DataFrame:
     heads = files.select("first_doc", "n_tokens", F.xxhash64("payload").alias("_of"))
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "_of").rowsBetween(Window.unboundedPreceding, -1)
     starts = heads.withColumn("_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("_of", "_start")
+    if files.count() <= BROADCAST_SHARDS:  # two numbers a shard
+        starts = F.broadcast(starts)
     return files.select(F.xxhash64("payload").alias("_of"), "payload").join(starts, "_of").select("_start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
