@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from sidelight.workspace import Workspace
 SHARD_TOKENS = 1 << 21
 END_ID = 0
 BROADCAST_SHARDS = 1_000_000
+SLICE_BYTES = 12 << 20
 MEMO_CHUNKS = 600_000  # entries; when it is full, new chunks are encoded and not kept
 MIN_COUNT, LEAST_USED, MIN_GAIN, ROUND_RULES = 24, 4, 0.02, 2048
 _SLOT_BITS = 18
@@ -133,7 +135,11 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
                 todo += rules[s - first].tolist()[::-1]
         return out
 
-    used, which = np.unique(seq[inner], return_inverse=True)
+    symbols = seq[inner] - np.uint32(first)
+    used = np.flatnonzero(np.bincount(symbols, minlength=len(rules)))
+    which = np.zeros(len(rules), np.int64)
+    which[used] = np.arange(len(used))
+    which, used = which[symbols], used + first
     for s in used.tolist():  # rules only refer to earlier ones, so short ones come first
         whole[s] = spelt(s)
     lengths = np.array([len(whole[s]) for s in used.tolist()], np.int64)
@@ -206,13 +212,15 @@ class Shard:
 
 
 class ChunkedEncoder:
-    """Ids of whole texts as unsigned 32-bit integers, by the tokenizers library and a memo of chunks.
+    """Ids of whole texts, by the tokenizers library and a memo of chunks.
 
-    A text's new chunks go through the library in one string, whose ids fall back
-    to their chunks by the bytes that each id stands for.
+    Texts of a slice are cut and their chunks numbered by Arrow; a chunk that is new
+    goes through the library with many others in one string, whose ids fall back to
+    their chunks by the bytes that each id stands for; then all ids are one gather.
     """
 
-    _other_white = re.compile(r" (?:\s|\Z)").search
+    # white space or the end after a space; more than the pattern's own white space does no harm
+    _other_white = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core is one task's
@@ -225,33 +233,66 @@ class ChunkedEncoder:
         self._bytes_of = np.zeros(self.vocabulary, np.int64)
         for token, i in vocabulary.items():
             self._bytes_of[i] = len(token)  # the vocabulary writes a byte as a character
-        self._memo: dict[str, bytes] = {"": b""}
-
-    def _ids(self, text: str) -> bytes:
-        return array.array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self._other_white(text):
-            return self._ids(text)
-        chunks = text.split(" ")
-        head, chunks[0] = chunks[0], ""  # no space stands before it
-        memo = self._memo
-        found = list(map(memo.get, chunks))
-        new = [i for i, x in enumerate(found) if x is None]
-        if not new:
-            found[0] = self._ids(head) if head else b""
-            return b"".join(found)
-        coded = self._ids(" ".join([head, *(chunks[i] for i in new)]))
-        ends = np.cumsum(self._bytes_of[np.frombuffer(coded, np.uint32)])
-        sizes = [len(head.encode()), *(len(chunks[i].encode()) + 1 for i in new)]
-        cuts = (4 * np.searchsorted(ends, np.cumsum(sizes), "right")).tolist()
-        found[0] = coded[: cuts[0]]
-        room = len(memo) < MEMO_CHUNKS
-        for i, a, b in zip(new, cuts, cuts[1:]):
-            found[i] = coded[a:b]
-            if room:
-                memo[chunks[i]] = found[i]
-        return b"".join(found)
+        self._memo: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (a null one is empty), slice by slice of about ``SLICE_BYTES``."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield from self._slice(texts.slice(at, stop - at))
+            at = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        odd = pc.match_substring_regex(texts, self._other_white).to_numpy(zero_copy_only=False)
+        alone = iter(self._ids(texts.filter(pa.array(odd)).to_pylist()))
+        even = self._cut(texts.filter(pa.array(~odd)))
+        for o in odd.tolist():
+            yield np.frombuffer(next(alone), np.uint32) if o else next(even)
+
+    def _cut(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if not len(texts):
+            return
+        cut = pc.split_pattern(texts, " ")
+        begins = cut.offsets.to_numpy().astype(np.int64)
+        begins = begins - begins[0]
+        chunks = cut.flatten()
+        coded = chunks.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).copy()
+        names = coded.dictionary.to_pylist()
+        ids = list(map(self._memo.get, names))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for k in range(0, len(new), 2000):
+            self._learn(new[k : k + 2000], names, ids)
+        # no space stands before a text's first chunk
+        code[begins[:-1]] = len(names) + np.arange(len(texts), dtype=code.dtype)
+        ids += self._ids(chunks.take(pa.array(begins[:-1])).to_pylist())
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        place = np.cumsum(size, dtype=np.int32) - size
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        length = size[code]
+        ahead = np.cumsum(length, dtype=np.int64)
+        out = flat[np.repeat((place[code] - ahead + length).astype(np.int32), length) + np.arange(int(ahead[-1]), dtype=np.int32)]
+        last = 0
+        for end in ahead[begins[1:] - 1].tolist():
+            yield out[last:end]
+            last = end
+
+    def _learn(self, new: list[int], names: list[str], ids: list) -> None:
+        whole = self._ids([" " + " ".join(names[i] for i in new)])[0]
+        ends = np.cumsum(self._bytes_of[np.frombuffer(whole, np.uint32)])
+        sizes = np.cumsum([len(names[i].encode()) + 1 for i in new])
+        last, room = 0, MEMO_CHUNKS - len(self._memo)
+        for i, end in zip(new, (4 * np.searchsorted(ends, sizes, "right")).tolist()):
+            ids[i], last = whole[last:end], end
+            if room > 0:
+                self._memo[names[i]] = ids[i]
+                room -= 1
 
 
 @lru_cache(maxsize=2)
@@ -276,9 +317,8 @@ def write_token_files(df: DataFrame, tokenizer: str, out: str, id_col: str = "do
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["first_doc", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                coded = np.frombuffer(coder.encode(text.as_py() or ""), np.uint32)
-                docs.append(doc.as_py())
+            for doc, coded in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
+                docs.append(doc)
                 parts.append(np.append(coded, np.uint32(END_ID)))
                 held += len(coded) + 1
                 if held >= SHARD_TOKENS:
@@ -298,7 +338,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard(payload.as_py())
-                ids = shard.tokens().astype("<u4")
+                ids = expand(shard.seq, shard.rules, shard.first).astype("<u4", copy=False)
                 ends = np.cumsum(shard.doc_tokens, dtype=np.int64)
                 begins = ends - shard.doc_tokens
                 cut = [ids[a:b].tobytes() for a, b in zip(begins, ends)]

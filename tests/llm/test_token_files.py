@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,13 +44,16 @@ def test_repeats_are_compressed_and_read_at_random():
     assert tf.expansion_lengths(shard.rules, 50257).tolist() == [len(tf.expand(np.array([50257 + k], np.uint32), shard.rules, 50257)) for k in range(len(shard.rules))]
 
 
-def test_chunked_encoding_is_the_library_s(plain):
+def test_chunked_encoding_is_the_library_s(plain, monkeypatch):
     coder = tf.ChunkedEncoder(PATH)
     rng = random.Random(3)
     parts = ["word", "Word,", " ", " ", "  ", "\n", "\n\n ", "\t", "é", "日本", "12", "...", "'s", " ", " ", "<|endoftext|>", "x" * 50]
-    for _ in range(4000):
-        text = "".join(rng.choices(parts, k=rng.randrange(30)))
-        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == plain(text), repr(text)
+    texts = [None, "", " ", *("".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(4000))]
+    monkeypatch.setattr(tf, "SLICE_BYTES", 5000)
+    monkeypatch.setattr(tf, "MEMO_CHUNKS", 40)
+    for text, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == plain(text or ""), repr(text)
+    assert len(coder._memo) == 40
 
 
 def test_files_hold_every_document_in_order(spark, docs, plain, monkeypatch):
