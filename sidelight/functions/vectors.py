@@ -32,6 +32,12 @@ def unit_query(v: Column) -> Column:
     return _scaled(v, norm(v) + F.lit(TINY))
 
 
+def cosine_to(v: Column, u: Column) -> Column:
+    """Of a stored vector and one of length 1; no scaled copy of the vector is made."""
+    n = norm(v)
+    return dot(v, u) / F.when(n == 0, F.lit(TINY)).otherwise(n)
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(unit(a), unit(b))
 

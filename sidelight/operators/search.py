@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sidelight.functions.dates import date_label, parse_query
 from sidelight.functions.text import has_cjk, normalised, prefix_overlap, words
-from sidelight.functions.vectors import dot, unit, unit_query
+from sidelight.functions.vectors import cosine_to, unit_query
 from sidelight.schemas import QUERY_DATE
 
 DEFAULT_SOURCES = ("photos",)
@@ -102,7 +102,7 @@ def scored(index: DataFrame, query_words: Column, asked: Column, query_unit: Col
     A person outranks a place, and a place a date, in what the match is called; bonuses add up.
     """
     out = index.withColumns({
-        "cosine": dot(unit(F.col("vector")), query_unit),
+        "cosine": cosine_to(F.col("vector"), query_unit),
         "_person": match_person(query_words, F.col("people")),
         "_place": match_location(query_words, F.col("location"), aliases),
         "_date": match_date(asked, F.col("date")),

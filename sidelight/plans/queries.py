@@ -78,7 +78,7 @@ def topk_cosine(spark, sf_dir):
     """V1-V3, O1, O2: exact cosine of one vector with all, the ten best."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").select("embedding").first()[0]
-    near = vectors.dot(vectors.unit(F.col("embedding")), vectors.unit_query(F.array(*map(F.lit, map(float, q)))))
+    near = vectors.cosine_to(F.col("embedding"), vectors.unit_query(F.array(*map(F.lit, map(float, q)))))
     return e.select("vec_id", near.alias("s")).orderBy(F.col("s").desc(), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
 
 
