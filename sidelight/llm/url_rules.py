@@ -32,7 +32,7 @@ from sidelight.llm.columns import ascii_lower, read
 from sidelight.workspace import Workspace
 
 MAX_TOKENS = 9
-SUPPORT, CONFIDENCE = 0.002, 0.9
+SUPPORT, CONFIDENCE = 0.002, 0.95
 LIST = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
