@@ -15,9 +15,11 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sidelight.functions.images import EXTENSIONS
+from sidelight.functions.images import EXTENSIONS, clamped, thumbnail
 from sidelight.operators import search
 from sidelight.operators.index import Embedder, HashingEmbedder, OnnxEmbedder
+from sidelight.session import ship
+from sidelight.sources.files import Snapshot, read_index
 
 CLI_TOP = 5
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Search</title>
@@ -38,26 +40,32 @@ def safe_path(path: str | None, roots: list[str]) -> Path | None:
     return real if inside and real.is_file() and real.suffix.lower() in EXTENSIONS else None
 
 
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return read_index(spark, path) if path.endswith((".jsonl", ".json")) else spark.read.parquet(path)
+
+
 class Service:
-    """Answers over one snapshot of an index, which is cached until the path's files change."""
+    """Answers over an index, which is kept in memory until its files change."""
 
-    def __init__(self, spark: SparkSession, index: DataFrame, embedder: Embedder, duplicates: str | None = None, roots=()) -> None:
-        self.raw, self.embedder, self.duplicates_file, self.roots = index, embedder, duplicates, list(roots)
-        self.index = search.clean(index).persist()
-        self.aliases = search.load_aliases(spark)
+    def __init__(self, spark: SparkSession, index: str, embedder: Embedder, duplicates: str | None = None, roots=(), aliases: str | None = None) -> None:
+        self.snapshot = Snapshot(spark, index, load_index)
+        self.embedder, self.duplicates_file, self.roots = embedder, duplicates, list(roots)
+        self.aliases = search.load_aliases(spark, aliases)
+        self._thumbs = lru_cache(maxsize=512)(lambda path, mtime, size: thumbnail(Path(path).read_bytes(), size) or Path(path).read_bytes())
         self._vector = lru_cache(maxsize=1024)(lambda q: tuple(embedder.embed([q], "query")[0]))
 
     def search(self, query: str, top: int = search.TOP, media: bool = False) -> dict:
         sources = (*search.DEFAULT_SOURCES, "media") if media else search.DEFAULT_SOURCES
-        total = search.scope_total(self.index, sources).first()["total"]
+        index = search.clean(self.snapshot.get())
+        total = search.scope_total(index, sources).first()["total"]
         out = {"query": query, "total": total, "results": []}
         if query.strip():
-            rows = search.search(self.index, query, list(self._vector(query)), top, sources, self.aliases).drop("vector", "seq").collect()
+            rows = search.search(index, query, list(self._vector(query)), top, sources, self.aliases).drop("vector", "seq").collect()
             out["results"] = [r.asDict(recursive=True) for r in rows]
         return out
 
     def stats(self) -> dict:
-        return search.stats(self.raw).first().asDict(recursive=True)
+        return search.stats(self.snapshot.get()).first().asDict(recursive=True)
 
     def duplicates(self) -> dict:
         if not self.duplicates_file or not Path(self.duplicates_file).exists():
@@ -66,9 +74,9 @@ class Service:
         parts = sorted(found.glob("part-*")) if found.is_dir() else [found]
         return json.loads(parts[0].read_text(encoding="utf-8"))
 
-    def thumb(self, path: str | None) -> bytes | None:
+    def thumb(self, path: str | None, size: int = 400) -> bytes | None:
         found = safe_path(path, self.roots)
-        return found.read_bytes() if found else None
+        return self._thumbs(str(found), found.stat().st_mtime_ns, clamped(size)) if found else None
 
 
 def handler(service: Service) -> type[BaseHTTPRequestHandler]:
@@ -86,7 +94,7 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             if url.path == "/":
                 return self._send(_PAGE.encode(), "text/html; charset=utf-8")
             if url.path == "/thumb":
-                data = service.thumb(args.get("path"))
+                data = service.thumb(args.get("path"), int(args.get("size", 400)))
                 return self._send(data or b"not found", "image/jpeg" if data else "text/plain", 200 if data else 404)
             routes = {
                 "/api/stats": service.stats, "/api/duplicates": service.duplicates,
@@ -118,13 +126,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--duplicates")
     ap.add_argument("--root", action="append", default=[])
     args = ap.parse_args(argv)
-    from sidelight.session import ship
-    from sidelight.sources.files import read_index
-
     spark = ship(SparkSession.builder.appName("sidelight").getOrCreate())
-    index = read_index(spark, args.index) if args.index.endswith((".jsonl", ".json")) else spark.read.parquet(args.index)
-    width = len(index.select("vector").first()[0]) if not args.model else 0
-    service = Service(spark, index, OnnxEmbedder(args.model) if args.model else HashingEmbedder(width), args.duplicates, args.root)
+    width = len(load_index(spark, args.index).select("vector").first()[0]) if not args.model else 0
+    service = Service(spark, args.index, OnnxEmbedder(args.model) if args.model else HashingEmbedder(width), args.duplicates, args.root)
     if args.what == "serve":
         serve(service, args.port).serve_forever()
     found = service.search(args.query, args.top, args.media)

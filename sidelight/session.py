@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +28,17 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._sidelight_shipped = True
     return spark
+
+
+@contextmanager
+def cancellable(spark: SparkSession, what: str) -> Iterator[None]:
+    """An interrupt cancels the jobs started inside, queued tasks included, before it goes on."""
+    sc, group = spark.sparkContext, f"sidelight-{uuid.uuid4().hex[:12]}"
+    sc.setJobGroup(group, what, interruptOnCancel=True)
+    try:
+        yield
+    except BaseException:
+        sc.cancelJobGroup(group)
+        raise
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

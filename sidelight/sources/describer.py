@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelight.functions.images import data_url
+from sidelight.operators.logs import even_sample
 
 ATTEMPTS, WAIT, TIMEOUT = 3, 3, 60
 ANSWERS_DDL = "path string, context string, text string, cost double, error string"
@@ -93,3 +94,11 @@ def describe(asked: DataFrame, call: Call, out: str, tasks: int = 8) -> DataFram
 
     asked.select("path", "context", "prompt", "content").repartition(tasks).mapInArrow(run, ANSWERS_DDL).write.mode("append").parquet(out)
     return spark.read.schema(ANSWERS_DDL).parquet(out).withColumn("answer", F.struct("text", "cost", "error"))
+
+
+def probe(asked: DataFrame, call: Call, out: str, limit: int | None = 10) -> tuple[DataFrame, float]:
+    """Answers of an even sample in path order, and what they cost together: a look before a full run."""
+    some = even_sample(asked, [F.split("path", "/")], limit)
+    said = describe(some, call, out)
+    total = said.agg(F.sum(F.coalesce("cost", F.lit(0.0)))).first()[0]
+    return said.select("path", "context", "text", "cost", "error"), total or 0.0

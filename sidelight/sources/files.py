@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,3 +107,28 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 def lined_up(index: DataFrame) -> DataFrame:
     """``seq`` as 0, 1, 2 ..., for what counts positions; the ranks of a small index."""
     return index.withColumn("seq", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long"))
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    """When a file, or any file right in a folder, last changed; 0 where there is none."""
+    sc = spark.sparkContext
+    jvm_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(sc._jsc.hadoopConfiguration())
+    return max((s.getModificationTime() for s in fs.listStatus(jvm_path)), default=0) if fs.exists(jvm_path) else 0
+
+
+class Snapshot:
+    """A table kept in memory until its files change; readers in several threads see one generation at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, load: Callable[[SparkSession, str], DataFrame]) -> None:
+        self.spark, self.path, self.load = spark, path, load
+        self._lock, self._seen, self._kept = Lock(), None, None
+
+    def get(self) -> DataFrame:
+        with self._lock:
+            now = newest(self.spark, self.path)
+            if self._kept is None or now != self._seen:
+                if self._kept is not None:
+                    self._kept.unpersist()
+                self._seen, self._kept = now, self.load(self.spark, self.path).persist()
+            return self._kept

@@ -207,3 +207,31 @@ def test_stream_counts(spark, tmp_path):
     spark.createDataFrame([("created", 1.0), ("created", None), ("error", 2.0)], ddl).write.parquet(str(tmp_path / "in"))
     index_stream.status_counts(index_stream.arriving(spark, str(tmp_path / "in"), ddl), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {(r.status, r.n, r.cost) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("created", 2, 1.0), ("error", 1, 2.0)}
+
+
+def test_probe_asks_an_even_sample(spark, tmp_path):
+    rows = [(f"/r/{k}.jpg", "c", "p", b"x") for k in range(10)]
+    asked = spark.createDataFrame(rows, "path string, context string, prompt string, content binary")
+    said, total = describer.probe(asked, lambda path, *_: {"text": path, "cost": 0.5} if "4" not in path else {"error": "e"}, str(tmp_path / "probe"), 5)
+    assert sorted(r.path for r in said.collect()) == [f"/r/{k}.jpg" for k in (0, 2, 4, 6, 8)] and total == 2.0
+
+
+def test_an_interrupt_cancels_what_is_queued(spark):
+    from sidelight.session import cancellable
+
+    with pytest.raises(KeyboardInterrupt), cancellable(spark, "test"):
+        assert spark.range(3).count() == 3
+        raise KeyboardInterrupt
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None and spark.range(3).count() == 3
+
+
+def test_snapshot_follows_its_files(spark, tmp_path):
+    import time
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    kept = files.Snapshot(spark, str(tmp_path / "t"), lambda s, p: s.read.parquet(p))
+    first = kept.get()
+    assert first.count() == 3 and kept.get() is first
+    time.sleep(1.1)
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "t"))
+    assert kept.get().count() == 5 and kept.get() is not first

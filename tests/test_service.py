@@ -1,6 +1,7 @@
 import json
 import os
 import threading
+import time
 from urllib.error import HTTPError
 from urllib.request import urlopen
 
@@ -20,8 +21,9 @@ def index(spark):
 
 def test_http(spark, index, tmp_path):
     (tmp_path / "x.jpg").write_bytes(b"pixels")
+    index.write.parquet(str(tmp_path / "ix"))
     (tmp_path / "dup.json").write_text('{"clusters": []}')
-    server = serve(Service(spark, index, HashingEmbedder(32), str(tmp_path / "dup.json"), [str(tmp_path)]), 0)
+    server = serve(Service(spark, str(tmp_path / "ix"), HashingEmbedder(32), str(tmp_path / "dup.json"), [str(tmp_path)]), 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     get = lambda path: urlopen(base + path).read()
@@ -33,6 +35,9 @@ def test_http(spark, index, tmp_path):
     assert json.loads(get("/api/search?q=+"))["results"] == []
     assert json.loads(get("/api/duplicates")) == {"clusters": []}
     assert get(f"/thumb?path={tmp_path}/x.jpg") == b"pixels"
+    time.sleep(1.1)  # file systems may keep whole seconds
+    index.where("seq = 1").selectExpr("'/p/d.jpg' as path", "* except (path)").write.mode("append").parquet(str(tmp_path / "ix"))
+    assert json.loads(get("/api/stats"))["total"] == 4
     for bad in ("/thumb?path=/etc/passwd", "/nothing"):
         with pytest.raises(HTTPError):
             get(bad)
