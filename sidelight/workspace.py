@@ -13,20 +13,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_UNSET = {"", "/tmp/checkpoints"}  # the latter is Spark's own default, which nobody set
-
 
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", "") or ""
-    if named not in _UNSET:
+    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
-    if (own := sc._jsc.sc().getCheckpointDir()).isDefined() and own.get().split("file:")[-1].rsplit("/", 1)[0] not in _UNSET:
-        return own.get()
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sidelight-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sidelight-"))
+        own = sc._jsc.sc().getCheckpointDir()
+    return own.get()
 
 
 class Workspace:
