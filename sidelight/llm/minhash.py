@@ -297,6 +297,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = ws.table(_links_of_pairs(again, sigs, texts, percent).union(_links_of_blocks(open_.where(F.col("n") > SMALL), sigs, texts, percent)), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
+    ws.drop(buckets, popular, sigs, texts, leaders, pairs, links, mixed, open_, again, more)
 
     return (
         prints.select("doc", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left")
