@@ -135,24 +135,18 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
                 todo += rules[s - first].tolist()[::-1]
         return out
 
-    symbols = seq[inner] - np.uint32(first)
-    used = np.flatnonzero(np.bincount(symbols, minlength=len(rules)))
-    which = np.zeros(len(rules), np.int64)
-    which[used] = np.arange(len(used))
-    which, used = which[symbols], used + first
+    used = first + np.flatnonzero(np.bincount(seq[inner] - np.uint32(first), minlength=len(rules)))
     for s in used.tolist():  # rules only refer to earlier ones, so short ones come first
         whole[s] = spelt(s)
-    lengths = np.array([len(whole[s]) for s in used.tolist()], np.int64)
-    flat, begins = np.array([x for s in used.tolist() for x in whole[s]], np.uint32), np.cumsum(lengths) - lengths
-    size = np.ones(len(seq), np.int64)
-    size[inner] = lengths[which]
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
-    out[at[~inner]] = seq[~inner]
-    n = size[inner]
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(at[inner], n) + step] = flat[np.repeat(begins[which], n) + step]
-    return out
+    # one table of what every symbol stands for, its own id for a terminal
+    table = np.concatenate((np.arange(first, dtype=np.uint32), np.array([x for s in used.tolist() for x in whole[s]], np.uint32)))
+    size = np.ones(first + len(rules), np.int32)
+    size[used] = [len(whole[s]) for s in used.tolist()]
+    begin = np.arange(first + len(rules), dtype=np.int64)
+    begin[used] = first + np.cumsum(size[used], dtype=np.int64) - size[used]
+    length = size[seq]
+    end = np.cumsum(length, dtype=np.int64)
+    return table[np.repeat(begin[seq] - end + length, length) + np.arange(int(end[-1]))]
 
 
 class Shard:
