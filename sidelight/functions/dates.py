@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sidelight.functions.text import let
 from sidelight.schemas import DATE, QUERY_DATE
 
 MIN_YEAR, MAX_YEAR = 1900, 2100
@@ -94,8 +95,8 @@ def _day_before(text: Column, pos: Column) -> Column:
 
 def from_filename(stem: Column) -> Column:
     """struct<year, month, day> packed into a file name, or null."""
-    year = _group(stem, NAME_DATE, 1)
-    return F.when(year.isNotNull() & valid_year(year), F.struct(year.alias("year"), _group(stem, NAME_DATE, 2).alias("month"), _group(stem, NAME_DATE, 3).alias("day")))
+    parts = F.struct(*(_group(stem, NAME_DATE, n).alias(k) for n, k in ((1, "year"), (2, "month"), (3, "day"))))
+    return let(parts, lambda d: F.when(d["year"].isNotNull() & valid_year(d["year"]), d))
 
 
 def from_folders(parts: Column) -> Column:
@@ -103,22 +104,23 @@ def from_folders(parts: Column) -> Column:
     start = F.struct(_null("int").alias("year"), _null("int").alias("month"), _null("int").alias("day"))
 
     def step(acc, part):
-        text = F.lower(part)
-        found = find_month(text)
-        return F.struct(
-            F.coalesce(find_year(text), acc["year"]).alias("year"),
-            F.coalesce(found["month"], acc["month"]).alias("month"),
-            F.when(found.isNotNull(), _day_before(text, found["pos"])).otherwise(acc["day"]).alias("day"),
-        )
+        def merge(x):
+            found = x["found"]
+            return F.struct(
+                F.coalesce(find_year(x["text"]), acc["year"]).alias("year"),
+                F.coalesce(found["month"], acc["month"]).alias("month"),
+                F.when(found.isNotNull(), _day_before(x["text"], found["pos"])).otherwise(acc["day"]).alias("day"),
+            )
+
+        return let(F.lower(part), lambda text: let(F.struct(text.alias("text"), find_month(text).alias("found")), merge))
 
-    out = F.aggregate(parts, start, step)
-    return F.when(out["year"].isNotNull() | out["month"].isNotNull(), out)
+    return let(F.aggregate(parts, start, step), lambda out: F.when(out["year"].isNotNull() | out["month"].isNotNull(), out))
 
 
 def from_exif(content: Column) -> Column:
     """The first of three date attributes; out of range it gives null, and no other is tried."""
-    year, month, day = (_group_cs(content, EXIF_DATE, n) for n in (1, 2, 3))
-    return F.when(valid_year(year) & month.between(1, 12) & day.between(1, 31), F.struct(year.alias("year"), month.alias("month"), day.alias("day")))
+    parts = F.struct(*(_group_cs(content, EXIF_DATE, n).alias(k) for n, k in ((1, "year"), (2, "month"), (3, "day"))))
+    return let(parts, lambda d: F.when(valid_year(d["year"]) & d["month"].between(1, 12) & d["day"].between(1, 31), d))
 
 
 def _group_cs(c: Column, pattern: str, n: int) -> Column:
@@ -129,26 +131,32 @@ def date_chain(content: Column, stem: Column, folders: Column) -> Column:
     """EXIF before file name before folders, tagged with where it came from."""
 
     def tagged(d, source):
-        return F.when(d.isNotNull(), F.struct(d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"), F.lit(source).alias("source")))
+        return let(d, lambda x: F.when(x.isNotNull(), F.struct(x["year"].alias("year"), x["month"].alias("month"), x["day"].alias("day"), F.lit(source).alias("source"))))
 
     return F.coalesce(tagged(from_exif(content), "exif"), tagged(from_filename(stem), "filename"), tagged(from_folders(folders), "folder")).cast(DATE)
 
 
 def parse_query(query: Column) -> Column:
     """What a query says about time: struct<year, months, day>, or null. A season is three months."""
-    q = F.lower(F.coalesce(query, F.lit("")))
-
-    def exact(pattern, y, m, d):
-        month, day = _group(q, pattern, m), _group(q, pattern, d)
-        return F.when(month.between(1, 12) & day.between(1, 31), F.struct(_group(q, pattern, y).alias("year"), F.array(month).alias("months"), day.alias("day")))
-
-    found = find_month(q)
-    behind = F.substring(q, found["pos"], F.length(q))
-    day = F.coalesce(_day_before(q, found["pos"]), _in_month(_group(behind, DAY_AFTER, 1)))
-    months = F.coalesce(F.when(found.isNotNull(), F.array(found["month"])), find_season(q))
-    year = find_year(q)
-    loose = F.when(year.isNotNull() | months.isNotNull(), F.struct(year.alias("year"), months.alias("months"), F.when(found.isNotNull(), day).alias("day")))
-    return F.coalesce(exact(DAY_MONTH_YEAR, 3, 2, 1).cast(QUERY_DATE), exact(YEAR_MONTH_DAY, 1, 2, 3).cast(QUERY_DATE), loose.cast(QUERY_DATE))
+    def exact(q, pattern, y, m, d):
+        parts = F.struct(*(_group(q, pattern, n).alias(k) for n, k in ((y, "year"), (m, "month"), (d, "day"))))
+        return let(parts, lambda x: F.when(x["month"].between(1, 12) & x["day"].between(1, 31), F.struct(x["year"], F.array(x["month"]).alias("months"), x["day"])).cast(QUERY_DATE))
+
+    def loose(x):
+        q, found = x["q"], x["found"]
+        behind = F.substring(q, found["pos"], F.length(q))
+        day = F.when(found.isNotNull(), F.coalesce(_day_before(q, found["pos"]), _in_month(_group(behind, DAY_AFTER, 1))))
+        months = F.coalesce(F.when(found.isNotNull(), F.array(found["month"])), find_season(q))
+        parts = F.struct(find_year(q).alias("year"), months.alias("months"), day.alias("day"))
+        return let(parts, lambda p: F.when(p["year"].isNotNull() | p["months"].isNotNull(), p)).cast(QUERY_DATE)
+
+    def parsed(q):
+        return F.coalesce(
+            exact(q, DAY_MONTH_YEAR, 3, 2, 1), exact(q, YEAR_MONTH_DAY, 1, 2, 3),
+            let(F.struct(q.alias("q"), find_month(q).alias("found")), loose),
+        )
+
+    return let(F.lower(F.coalesce(query, F.lit(""))), parsed)
 
 
 def date_label(date: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sidelight.functions.dates import date_chain
-from sidelight.functions.text import strip
+from sidelight.functions.text import let, strip
 from sidelight.schemas import DATE, LOCATION
 
 DC = "http://purl.org/dc/elements/1.1/"
@@ -77,7 +77,7 @@ def location(content: Column) -> Column:
         attribute("CountryName").alias("country"), attribute("City").alias("city"), attribute("ProvinceState").alias("province"),
         strip(unescape(F.regexp_extract(block, _PLACE_NAME, 1))).alias("name"),
     )
-    return F.when(F.concat(*(place[k] for k in ("country", "city", "province", "name"))) != "", place).cast(LOCATION)
+    return let(place, lambda p: F.when(F.concat(*(p[k] for k in ("country", "city", "province", "name"))) != "", p)).cast(LOCATION)
 
 
 def stem_of(path: Column) -> Column:
@@ -88,7 +88,8 @@ def stem_of(path: Column) -> Column:
 def folders(path: Column, root: str) -> Column:
     """Folder names below ``root``; none for a path outside it."""
     base = root.rstrip("/") + "/"
-    return F.when(F.startswith(path, F.lit(base)), F.slice(F.split(F.substring(path, len(base) + 1, 1 << 30), "/"), F.lit(1), F.size(F.split(F.substring(path, len(base) + 1, 1 << 30), "/")) - 1)).otherwise(_strings())
+    inside = let(F.split(F.substring(path, len(base) + 1, 1 << 30), "/"), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+    return F.when(F.startswith(path, F.lit(base)), inside).otherwise(_strings())
 
 
 def folder_hint(path: Column, root: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 
 MIN_WORD, PREFIX = 3, 4
 #: What Python's \w holds less digits and the underscore; Java's own classes differ on thousands of code points.
-LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
+LETTERS = r"[\p{L}\p{Nl}\p{No}]{%d,}+" % MIN_WORD
 _BLANK = r"(?U)[\s\x1c-\x1f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; written out, each mention would compute it again."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 @lru_cache(maxsize=1)
 def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """What case folding changes beyond lower-casing: one-to-one, and one-to-several."""
@@ -29,21 +35,30 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding in the JVM; the long chain runs only where a text holds such a letter."""
+    """Full case folding in the JVM. Up to U+00FF it is lower-casing and two letters; the whole table runs only beyond."""
     ones, folded, several = _foldings()
-    low = F.translate(F.lower(c), ones, folded)
-    chained = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several, low)
-    return F.when(low.rlike("[" + "".join(k for k, _ in several) + "]"), chained).otherwise(low)
+
+    def fold(low):
+        whole = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several, F.translate(low, ones, folded))
+        short = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+        return F.when(low.rlike(r"[^\x00-\xFF]"), whole).otherwise(short)
+
+    return let(F.lower(c), fold)
 
 
 def normalised(c: Column) -> Column:
     """Case-folded, with the two spellings of one Cyrillic vowel as one; null becomes empty."""
-    return F.translate(casefold(F.coalesce(c, F.lit(""))), "ё", "е")
+    return F.replace(casefold(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е"))
+
+
+def split_letters(norm: Column) -> Column:
+    """Runs of letters of at least three in a normalised text."""
+    return F.regexp_extract_all(norm, F.lit(LETTERS), F.lit(0))
 
 
 def words(c: Column) -> Column:
     """Runs of letters of at least three, in order, repeats kept."""
-    return F.filter(F.regexp_extract_all(normalised(c), F.lit(LETTERS), F.lit(0)), lambda w: F.length(w) >= MIN_WORD)
+    return split_letters(normalised(c))
 
 
 def prefix_overlap(a: Column, b: Column, n: int = PREFIX) -> Column:

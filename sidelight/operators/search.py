@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sidelight.functions.dates import date_label, parse_query
-from sidelight.functions.text import has_cjk, normalised, prefix_overlap, words
+from sidelight.functions.text import has_cjk, let, normalised, prefix_overlap, split_letters, words
 from sidelight.functions.vectors import cosine_to, unit_query
 from sidelight.schemas import QUERY_DATE
 
@@ -60,7 +60,7 @@ def match_person(query_words: Column, people: Column) -> Column:
     scored = F.transform(people, lambda p: F.struct(p.alias("name"), hits(p).alias("hits")))
     nobody = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("hits"))
     best = F.aggregate(scored, nobody, lambda a, b: F.when(b["hits"] > a["hits"], b).otherwise(a))
-    return F.when(best["hits"] > 0, best)
+    return let(best, lambda b: F.when(b["hits"] > 0, b))
 
 
 def location_tokens(location: Column, aliases: Column) -> Column:
@@ -73,9 +73,8 @@ def location_tokens(location: Column, aliases: Column) -> Column:
 def match_location(query_words: Column, location: Column, aliases: Column) -> Column:
     """The most specific part of a place that any query word hits; null if none does or all parts are empty."""
 
-    def token_words(t):
-        inner = words(t)
-        return F.when(F.size(inner) > 0, inner).otherwise(F.array(t))
+    def token_words(t):  # tokens are normalised already
+        return let(split_letters(t), lambda inner: F.when(F.size(inner) > 0, inner).otherwise(F.array(t)))
 
     hit = F.exists(location_tokens(location, aliases), lambda t: F.exists(token_words(t), lambda w: F.exists(query_words, lambda q: prefix_overlap(q, w))))
     label = F.coalesce(*(F.nullif(location[k], F.lit("")) for k in ("city", "province", "country")))

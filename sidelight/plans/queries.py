@@ -44,12 +44,12 @@ photos as (
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of one record for each order."""
+    """An index of one record for each order, dealt out as an index table would be: the tables are one file each."""
     o, c, n, r, p, e = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region", "part", "embeddings"))
     rows = (
         o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
         .join(p, p.p_partkey == o.o_orderkey % 200).join(e, e.vec_id == o.o_orderkey % 500)
-    )
+    ).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     day = F.col("o_orderdate")
     return rows.select(
         F.col("o_orderkey").alias("seq"),
