@@ -3,8 +3,9 @@
 The gear hash of the last 32 bytes is taken at every byte of a text. A byte whose
 hash is the largest within ``REACH`` bytes on both sides ends a chunk, so cuts
 depend on nearby bytes alone: an insertion moves the chunks after it but changes
-few. Chunks are more than ``REACH`` bytes long, about twice that on average,
-and cut off at ``LONGEST``.
+few. Chunks are more than ``REACH`` bytes long, about twice that on average. Bytes
+that repeat, as in a run of one word, have no single largest hash; there a chunk
+is cut off at ``LONGEST``, counted from the last such end.
 
 A chunk whose digest more than one document holds is a repeat. Single chunks are
 short enough to be a common phrase; what counts is a run of adjacent repeated
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from sidelight.llm.columns import read
 from sidelight.workspace import Workspace
 
-REACH, LONGEST = 24, 1024
+REACH, LONGEST = 24, 128
 MIN_WORDS = 25
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
