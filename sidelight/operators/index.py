@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -92,30 +93,49 @@ class HashingEmbedder(Embedder):
 
 
 class OnnxEmbedder(Embedder):
-    """A sentence model in a folder with ``model.onnx`` and ``tokenizer.json``, on the CPU."""
+    """A sentence model in a folder with ``tokenizer.json`` and an ONNX file, on the CPU."""
 
+    # The file that is preferred, and the prefixes that the model was trained with.
+    files = ("model_quantized.onnx", "model.onnx")
     prefixes = {"document": "title: none | text: ", "query": "task: search result | query: "}
 
     def __init__(self, folder: str, output: str = "sentence_embedding") -> None:
         self.folder, self.output = folder, output
 
+    def _session(self):
+        import onnxruntime
+
+        found = [p for p in (f"{self.folder}/{name}" for name in self.files) if os.path.exists(p)]
+        if not found:
+            raise FileNotFoundError(f"no embedding model in {self.folder}")
+        return onnxruntime.InferenceSession(found[0], providers=["CPUExecutionProvider"])
+
     def load(self):
         import numpy as np
-        import onnxruntime
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(f"{self.folder}/tokenizer.json")
-        tokenizer.enable_padding()
-        session = onnxruntime.InferenceSession(f"{self.folder}/model.onnx", providers=["CPUExecutionProvider"])
+        tokenizer, session = Tokenizer.from_file(f"{self.folder}/tokenizer.json"), self._session()
+        tokenizer.no_padding()
         wanted = {i.name for i in session.get_inputs()}
 
         def run(texts):
-            coded = tokenizer.encode_batch(texts)
-            feed = {"input_ids": np.array([c.ids for c in coded], np.int64), "attention_mask": np.array([c.attention_mask for c in coded], np.int64)}
+            coded = [c.ids for c in tokenizer.encode_batch(texts)]
+            ids = np.zeros((len(coded), max(map(len, coded), default=0)), np.int64)
+            mask = np.zeros_like(ids)
+            for k, c in enumerate(coded):  # padded on the right, to the longest of the batch
+                ids[k, : len(c)], mask[k, : len(c)] = c, 1
+            feed = {"input_ids": ids, "attention_mask": mask}
             return session.run([self.output], {k: v for k, v in feed.items() if k in wanted})[0].tolist()
 
         return run
 
+    def width(self) -> int:
+        """From the model's own description, else by a probe."""
+        for out in self._session().get_outputs():
+            if out.name == self.output and out.shape and isinstance(out.shape[-1], int):
+                return out.shape[-1]
+        return super().width()
+
 
 def embedded(rows: DataFrame, embedder: Embedder) -> DataFrame:
     """Records with ``vector``, rounded to five digits. The model is loaded once a task at most."""
