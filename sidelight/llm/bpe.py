@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from sidelight.llm.columns import read
 
-MEMO_PIECES = 400_000  # entries; the memo is emptied when full
-MEMO_PAIRS = 1_000_000
+MEMO_PIECES = 200_000  # entries; the memo is emptied when full
+MEMO_PAIRS = 200_000
 PIECE_BYTES = 64
 
 
