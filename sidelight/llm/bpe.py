@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sidelight.llm.columns import read
+from sidelight.llm.memory import sliced
 
 MEMO_PIECES = 200_000  # entries; the memo is emptied when full
 MEMO_PAIRS = 200_000
@@ -166,7 +167,7 @@ def with_tokens(df: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     def encode(batches):
         bpe = _loaded(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches, text_at):
             rows = []
             for text in batch.column(text_at):
                 coded = bpe.encode(text.as_py() or "")

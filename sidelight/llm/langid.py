@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidelight.llm.columns import read
+from sidelight.llm.memory import sliced
 
 BUCKETS, CENTROIDS, TRAIN_ROWS = 1 << 13, 4, 1500
 SLACK = 0.6
@@ -168,7 +169,7 @@ def with_language(df: DataFrame, model: Centroids, text_col: str = "text") -> Da
     at = len(keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, at):
             found = [model.predict(t.as_py()) for t in batch.column(at)]
             lang, score, rejected = zip(*found) if found else ((), (), ())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelight.llm.columns import read
+from sidelight.llm.memory import sliced
 from sidelight.operators.components import connected_components
 from sidelight.workspace import Workspace
 
@@ -108,7 +109,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _fingerprints(batches):
     from xxhash import xxh3_128_digest
 
-    for batch in batches:
+    for batch in sliced(batches, 1):
         size, d1, d2, sigs = [], [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
@@ -214,7 +215,7 @@ def _survivors(percent: int):
 def _verified(percent: int):
     def run(batches):
         last, left = None, None
-        for batch in batches:
+        for batch in sliced(batches, 2):
             good = []
             for k, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
                 ta = ta.as_py()
