@@ -1,23 +1,28 @@
-"""Substring dedup by content-defined chunking with a gear rolling hash.
-
-The gear hash of the last 32 bytes is taken at every byte of a text. A byte whose
-hash is the largest within ``REACH`` bytes on both sides ends a chunk, so cuts
-depend on nearby bytes alone: an insertion moves the chunks after it but changes
-few. Chunks are more than ``REACH`` bytes long, about twice that on average. Bytes
-that repeat, as in a run of one word, have no single largest hash; there a chunk
-is cut off at ``LONGEST``, counted from the last such end.
-
-A chunk whose digest more than one document holds is a repeat. Single chunks are
-short enough to be a common phrase; what counts is a run of adjacent repeated
-chunks of at least ``MIN_WORDS`` words. A passage of fifty words loses at most
-the partial chunks at its two ends and so leaves such a run. In the smallest id
+"""Substring dedup by content-defined chunks that a gear rolling hash chooses.
+
+The gear hash of the last 32 bytes is taken at the end of every word. A word whose
+hash is the largest of any ``WITHIN`` words in a row (the last of equals) ends a
+chunk: the ``CHUNK_WORDS`` words up to it. Chunks overlap, and which are taken
+depends on nearby bytes alone.
+
+A chunk whose digest more than one document holds is a repeat, and repeats that
+overlap or touch are a run. ``CHUNK_WORDS + WITHIN - 1`` whole words (49) that two
+documents share hold ``WITHIN`` ends of chunks, all of whose bytes are shared, and
+so a chunk that both take: a passage of 51 words is always found, also where its
+first and last word are glued to something else. Shorter passages of at least
+``CHUNK_WORDS`` words are found by chance.
+
+Each end of a run is then extended by the words it shares with one other holder
+of its outermost chunk, the smallest id or, in that itself, the largest; that is
+fewer than ``WITHIN`` words, or another chunk would be there. In the smallest id
 that holds a chunk, the chunk is the original; elsewhere it is a copy.
 
-Only digests, ids and positions are shuffled. Digests are counted with map-side
+Digests, ids and positions are shuffled, and each text once by its id, for the
+ends. Digests are counted with map-side
 combine; those that repeat are a table of their own, and adaptive execution
 splits a passage that a third of all documents hold.
 
-Defined results: a null or empty text has no chunk. Rows with one id are one
+Defined results: a text of fewer than ``CHUNK_WORDS`` words has no chunk. Rows with one id are one
 document, so what they share with each other is no repeat; rows equal in id and
 text are reported once. Rows with a null id take no part. An empty table gives an
 empty table.
@@ -33,8 +38,9 @@ from pyspark.sql import functions as F
 from sidelight.llm.columns import read
 from sidelight.workspace import Workspace
 
-REACH, LONGEST = 24, 128
-MIN_WORDS = 25
+CHUNK_WORDS, WITHIN = 37, 13
+MIN_WORDS = CHUNK_WORDS
+REACH, LONGEST = 24, 128  # of cuts()
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -78,29 +84,43 @@ def cuts(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word, and the byte after it."""
+    edges = np.diff(np.concatenate(([True], _SPACE[np.frombuffer(data, np.uint8)], [True])).astype(np.int8))
+    return np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
+
+
+def word_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks of ``data``: the number of the first word, the first byte, and the byte after the last."""
+    begins, ends = word_edges(data)
+    first = np.empty(0, np.int64)
+    if len(ends) >= CHUNK_WORDS:
+        h = gear_hashes(np.frombuffer(data, np.uint8))[ends[CHUNK_WORDS - 1 :] - 1]
+        n = min(WITHIN, len(h))
+        last_largest = n - 1 - np.argmax(np.lib.stride_tricks.sliding_window_view(h, n)[:, ::-1], axis=1)
+        first = np.unique(np.arange(len(last_largest)) + last_largest)
+    return first, begins[first], ends[first + CHUNK_WORDS - 1] if len(first) else first
+
+
 def _chunks(batches):
     from xxhash import xxh3_64_intdigest
 
-    names = ["doc", "row", "start", "size", "words", "digest"]
+    names = ["doc", "row", "word", "start", "end", "digest"]
     for batch in batches:
         cols: list[list] = [[] for _ in names]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = (text.as_py() or "").encode()
-            ends = cuts(data)
-            if not len(ends):
+            word, starts, ends = word_chunks(data)
+            if not len(word):
                 continue
-            starts = np.concatenate(([0], ends[:-1]))
-            space = _SPACE[np.frombuffer(data, np.uint8)]
-            begins = ~space & np.concatenate(([True], space[:-1]))
             view = memoryview(data)
-            cols[0].append(np.full(len(ends), doc, np.int64))
-            cols[1].append(np.full(len(ends), xxh3_64_intdigest(data), np.uint64).view(np.int64))
-            cols[2].append(starts)
-            cols[3].append((ends - starts).astype(np.int32))
-            cols[4].append(np.add.reduceat(begins, starts, dtype=np.int32))
+            cols[0].append(np.full(len(word), doc, np.int64))
+            cols[1].append(np.full(len(word), xxh3_64_intdigest(data), np.uint64).view(np.int64))
+            cols[2].append(word)
+            cols[3].append(starts)
+            cols[4].append(ends)
             cols[5].append(np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64))
-        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), k) for c, k in zip(cols, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for c in cols], names=names)
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,22 +129,88 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the text; a row for each run of repeated chunks."""
     ws = Workspace(df.sparkSession, "chunks")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    chunks = ws.table(docs.mapInArrow(_chunks, "doc long, row long, start long, size int, words int, digest long"), "chunks")
-    repeats = ws.table(
-        chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first"), "repeats"
-    )
-    found = chunks.join(repeats, "digest").drop("digest").dropDuplicates(["doc", "row", "start"])
-    so_far = Window.partitionBy("doc", "row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    # where chunks touch, start less the sizes before it stays the same
-    islands = found.withColumn("island", F.col("start") - F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-    return (
+    chunks = ws.table(docs.mapInArrow(_chunks, "doc long, row long, word long, start long, end long, digest long"), "chunks")
+    repeats = ws.table(chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "repeats")
+    found = ws.table(chunks.join(repeats, "digest").dropDuplicates(["doc", "row", "word"]), "found")
+    ws.drop(chunks, repeats)
+    by_word = Window.partitionBy("doc", "row").orderBy("word")
+    apart = F.col("word") - F.lag("word").over(by_word) > CHUNK_WORDS
+    islands = found.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("island", F.sum("apart").over(by_word))
+    mate = F.when(F.col("first") == F.col("doc"), F.col("last")).otherwise(F.col("first"))
+    runs = ws.table(
         islands.groupBy("doc", "row", "island").agg(
-            F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.sum("words").alias("n_words"),
+            F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.min("word").alias("from"), (F.max("word") + CHUNK_WORDS).alias("to"),
             F.count("*").alias("n_chunks"), F.min("first").alias("first_doc"), F.min(F.col("first") == F.col("doc")).alias("kept"),
-        )
+            F.min_by("digest", "word").alias("digest_l"), F.min_by(mate, "word").alias("mate_l"), F.max_by("digest", "word").alias("digest_r"), F.max_by(mate, "word").alias("mate_r"),
+        ),
+        "runs",
+    )
+    added = _shared_ends(ws, docs, found, runs)
+    return (
+        runs.join(added, ["doc", "row", "island"], "left")
+        .withColumn("n_words", F.col("to") - F.col("from") + F.coalesce("words_l", F.lit(0)) + F.coalesce("words_r", F.lit(0)))
         .where(F.col("n_words") >= min_words)
-        .select(F.col("doc").alias("doc_id"), "start_byte", "end_byte", "n_words", "n_chunks", "first_doc", "kept", "row")
+        .select(
+            F.col("doc").alias("doc_id"), F.coalesce("byte_l", "start_byte").alias("start_byte"), F.coalesce("byte_r", "end_byte").alias("end_byte"),
+            "n_words", "n_chunks", "first_doc", "kept", "row",
+        )
+    )
+
+
+def _shared_ends(ws: Workspace, docs: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
+    """For each run, the words shared with its mates beyond its ends, and the bytes to which they reach."""
+    own = ["doc", "row", "island"]
+    left, right = (
+        runs.select(*own, F.col(at).alias("word"), F.lit(at == "from").alias("left"), F.col(f"digest_{x}").alias("digest"), F.col(f"mate_{x}").alias("mate"))
+        for at, x in (("from", "l"), ("to", "r"))
+    )
+    edges = left.unionByName(right)
+    held = found.where("doc = first or doc = last").select("digest", F.col("doc").alias("mate"), F.col("row").alias("mate_row"), F.col("word").alias("mate_word"))
+    at = F.min(F.struct("mate_row", "mate_word")).alias("at")
+    mates = ws.table(
+        edges.select("digest", "mate", "left").distinct().join(held, ["digest", "mate"]).groupBy("digest", "mate", "left").agg(at)
+        .select("digest", "mate", "left", "at.mate_row", (F.col("at.mate_word") + F.when(F.col("left"), 0).otherwise(CHUNK_WORDS)).alias("mate_word")),
+        "mates",
     )
+    asked = edges.select("doc", "row", "word", "left").union(mates.select("mate", "mate_row", "mate_word", "left")).distinct()
+    per_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("row", "word", "left")).alias("asked"))
+    beside = docs.join(per_doc, "doc").select("doc", "text", "asked").mapInArrow(_words_beside, "doc long, row long, word long, left boolean, hashes array<long>, bytes array<long>")
+    beside = ws.table(beside.dropDuplicates(["doc", "row", "word", "left"]), "beside")
+    theirs = mates.join(
+        beside.select(F.col("doc").alias("mate"), F.col("row").alias("mate_row"), F.col("word").alias("mate_word"), "left", F.col("hashes").alias("theirs")),
+        ["mate", "mate_row", "mate_word", "left"],
+    ).select("digest", "mate", "left", "theirs")
+    n = F.least(F.size("hashes"), F.size("theirs"))
+    differs = F.array_position(F.zip_with(F.slice("hashes", 1, n), F.slice("theirs", 1, n), lambda a, b: a == b), False)
+    met = edges.join(beside, ["doc", "row", "word", "left"]).join(theirs, ["digest", "mate", "left"]).select(
+        *own, "left", "bytes", F.when(differs > 0, differs - 1).otherwise(n).alias("words")
+    ).where("words > 0").withColumn("byte", F.element_at("bytes", F.col("words").cast("int")))
+    side = lambda c, x: F.max(F.when(F.col("left") == (x == "l"), F.col(c))).alias(f"{c}_{x}")
+    return met.groupBy(*own).agg(side("words", "l"), side("byte", "l"), side("words", "r"), side("byte", "r"))
+
+
+def _words_beside(batches):
+    """For each place asked for, hashes of the words before or after it, nearest first, with the space
+    between, and the byte that each reaches."""
+    from xxhash import xxh3_64_intdigest
+
+    names, kinds = ["doc", "row", "word", "left", "hashes", "bytes"], [pa.int64()] * 3 + [pa.bool_()] + [pa.list_(pa.int64())] * 2
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for batch in batches:
+        out = []
+        for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            data = (text.as_py() or "").encode()
+            row = signed(xxh3_64_intdigest(data))
+            begins, ends = word_edges(data)
+            for a in asked.as_py():
+                if a["row"] != row:
+                    continue
+                at = a["word"]
+                marks = begins[max(0, at - WITHIN) : at + 1][::-1] if a["left"] else ends[at - 1 : at + WITHIN]
+                marks = marks.tolist()
+                hashes = [signed(xxh3_64_intdigest(data[min(x, y) : max(x, y)])) for x, y in zip(marks, marks[1:])]
+                out.append((doc, row, at, a["left"], hashes, marks[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(names), kinds)], names=names)
 
 
 def drop_repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

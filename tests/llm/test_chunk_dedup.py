@@ -88,3 +88,29 @@ def test_defined_cases(spark, docs):
     rows = cd.repeated_runs(docs([t, t, t], ids=[1, 2, 2])).collect()
     assert sorted((r.doc_id, r.kept) for r in rows) == [(1, True), (2, False)]
     assert {r.doc_id for r in cd.repeated_runs(docs([t * 30, t * 30])).collect()} == {0, 1}
+
+
+def test_every_passage_of_51_words_is_found(spark, docs):
+    rng = random.Random(11)
+    short = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(1, 4))) for _ in range(n))
+    texts = []
+    for kind in (short, short, lambda n: passage(rng, n)):
+        for _ in range(60):
+            shared = kind(51)
+            texts += [f"{passage(rng, rng.randrange(90))} {shared} {passage(rng, rng.randrange(90))}" for _ in range(2)]
+    texts += ["For " * 51 + passage(rng, 40), passage(rng, 40) + " For" * 51]
+    # the outer words are glued to others
+    shared = short(51)
+    texts += [f"x{shared}y", f"z{shared}"]
+    assert {r.doc_id for r in cd.repeated_runs(docs(texts)).collect()} == set(range(len(texts)))
+
+
+def test_what_is_reported_is_shared(spark, docs):
+    rng = random.Random(12)
+    shared = [passage(rng, n) for n in (30, 36, 51, 90)]
+    texts = [f"{passage(rng, 40)} {s} {passage(rng, 40)}" for s in shared for _ in range(2)]
+    rows = cd.repeated_runs(docs(texts)).collect()
+    assert {r.doc_id for r in rows} == {4, 5, 6, 7}
+    for r in rows:
+        span = texts[r.doc_id].encode()[r.start_byte : r.end_byte].decode()
+        assert span == shared[r.doc_id // 2] and r.n_words == len(span.split())
