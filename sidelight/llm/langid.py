@@ -6,14 +6,21 @@ by inverse document frequency and normalised. Each language has several
 centroids, from spherical k-means over its learning rows; the prediction is the
 language of the centroid with the largest cosine, and that cosine the score.
 
-A document is rejected by distance: if its cosine is below ``SLACK`` times the
-lowest that any learning row of its length class (a power of two of letters) had
-with its own language. A length class without learning rows takes the threshold
-of the next shorter one. A text without a letter is always rejected.
+A document is rejected by distance: if its cosine is below ``SLACK`` times that of
+its length class (a power of two of letters), which is the ``LOW`` quantile of the
+cosines that all labelled rows of the class have with their own language, learning
+rows or not. Classes with less than ``POOL`` rows are one with the next longer ones,
+and what is left at the long end is one with those before; so few odd rows set no
+threshold, and at most ``LOW`` of a pool is rejected. Under ``1 / LOW`` labelled rows
+the quantile is the lowest. A length class longer than all labelled rows takes the
+threshold of the longest, and one shorter than all rejects none. A centroid that
+less than ``SMALL`` of its language's learning rows, or a single one, are nearest
+to is left out: it would take odd rows as the rule. A text without a letter is
+always rejected.
 
 Learning takes at most ``TRAIN_ROWS`` rows of each language, chosen by a hash of
-the id, so that it fits the driver; language counts and everything at prediction
-cover all rows and whole texts. The model is a bounded array
+the id, so that it fits the driver; language counts, thresholds and everything at
+prediction cover all rows and whole texts. The model is a bounded array
 (``BUCKETS`` x ``CENTROIDS`` numbers a language) that the tasks carry.
 
 Defined results: a null text, or one without letters, gives ``und`` with score 0,
@@ -37,7 +44,8 @@ from sidelight.llm.columns import read
 from sidelight.llm.memory import sliced
 
 BUCKETS, CENTROIDS, TRAIN_ROWS = 1 << 13, 4, 1500
-SLACK = 0.6
+SLACK, LOW, POOL, SMALL = 0.6, 0.01, 200, 0.02
+_BINS = 10_000  # of cosines, counted to find quantiles
 UND = "und"
 _PIECE = 1 << 18  # characters counted at a time, so that long texts stay small
 
@@ -79,7 +87,7 @@ class Centroids:
     languages: list[str]  # of each centroid
     vectors: np.ndarray
     idf: np.ndarray
-    lowest: list[float]  # by length class, 0 for none
+    low: list[float]  # the quantile by length class, 0 for none
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts).astype(np.float32) * self.idf
@@ -93,7 +101,7 @@ class Centroids:
         cosines = self.vectors @ self.vector(counts)
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, score < SLACK * self.lowest[_length_class(letters)]
+        return self.languages[best], score, score < SLACK * self.low[_length_class(letters)]
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -109,7 +117,9 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
             if (mine := own == j).any():
                 m = x[mine].sum(axis=0)
                 c[j] = m / max(1e-9, np.linalg.norm(m))
-    return c.astype(np.float32)
+    held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=k)
+    large = held >= min(held.max(), max(2, SMALL * len(x)))
+    return c[large].astype(np.float32)
 
 
 def fit_centroids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
@@ -121,7 +131,51 @@ def fit_centroids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for lang, n in sorted(counts.items()):
         mine = rows.where((F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, 1.2 * TRAIN_ROWS / n))))
         samples[lang] = [r["text"] for r in mine.orderBy(draw, "id", "text").limit(TRAIN_ROWS).toLocalIterator()]
-    return _fit(samples)
+    model = _fit(samples)
+    if model.languages:
+        met = rows.select("lang", "text").mapInArrow(lambda batches: _own_cosines(model, batches), "class int, bin int, n long")
+        model.low = _low(met.groupBy("class", "bin").agg(F.sum("n").alias("n")).collect())
+    return model
+
+
+def _own_cosines(model: Centroids, batches):
+    """Counts of the binned cosines that labelled rows have with their own language, by length class."""
+    of = {lang: model.vectors[[x == lang for x in model.languages]] for lang in set(model.languages)}
+    found = np.zeros((32, _BINS + 1), np.int64)
+    for batch in sliced(batches, 1):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts, letters = ngram_counts(text.as_py())
+            if letters and lang in of:
+                found[_length_class(letters), _bin(float(np.max(of[lang] @ model.vector(counts))))] += 1
+    at = np.nonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(found[at], pa.int64())], names=["class", "bin", "n"])
+
+
+def _bin(cosine: float) -> int:
+    return int(min(1.0, max(0.0, cosine)) * _BINS)
+
+
+def _low(counted) -> list[float]:
+    """The ``LOW`` quantile for each length class, from (class, bin, n); classes are pooled up to ``POOL`` rows."""
+    found = np.zeros((32, _BINS + 1), np.int64)
+    for k, b, n in counted:
+        found[k, b] += n
+    used = np.flatnonzero(found.any(axis=1)).tolist()
+    pools: list[list[int]] = []
+    for k in used:
+        if pools and found[pools[-1]].sum() < POOL:
+            pools[-1].append(k)
+        else:
+            pools.append([k])
+    if len(pools) > 1 and found[pools[-1]].sum() < POOL:
+        last = pools.pop()
+        pools[-1] += last
+    low = [0.0] * 32
+    for pool in pools:
+        so_far = np.cumsum(found[pool].sum(axis=0))
+        value = int(np.searchsorted(so_far, int(LOW * so_far[-1]), "right")) / _BINS
+        low[pool[0] :] = [value] * (32 - pool[0])
+    return low
 
 
 def _fit(samples: dict[str, list]) -> Centroids:
@@ -138,7 +192,7 @@ def _fit(samples: dict[str, list]) -> Centroids:
                 total += 1
     idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     model = Centroids([], np.zeros((0, BUCKETS), np.float32), idf, [0.0] * 32)
-    stacked, lowest = [], [np.inf] * 32
+    stacked, met = [], []
     for lang in sorted(counted):
         x = np.zeros((len(counted[lang]), BUCKETS), np.float32)
         for row, (at, counts, _) in zip(x, counted[lang]):
@@ -147,15 +201,10 @@ def _fit(samples: dict[str, list]) -> Centroids:
         c = _cluster(x, CENTROIDS)
         stacked.append(c)
         model.languages += [lang] * len(c)
-        for cos, (*_, letters) in zip(np.max(x @ c.T, axis=1), counted[lang]):
-            k = _length_class(letters)
-            lowest[k] = min(lowest[k], float(cos))
+        met += [(_length_class(letters), _bin(float(cos)), 1) for cos, (*_, letters) in zip(np.max(x @ c.T, axis=1), counted[lang])]
     if stacked:
         model.vectors = np.concatenate(stacked)
-    last = 0.0
-    for k, low in enumerate(lowest):
-        last = low if np.isfinite(low) else last
-        model.lowest[k] = last
+    model.low = _low(met)
     return model
 
 

@@ -74,3 +74,27 @@ def test_far_texts_are_rejected(spark, docs):
     model = langid._fit({"a": [" ".join(word("abcde") for _ in range(60)) for _ in range(30)], "b": [" ".join(word("fghij") for _ in range(60)) for _ in range(30)]})
     near, far = " ".join(word("abcde") for _ in range(60)), " ".join(word("uvwxyz") for _ in range(60))
     assert [r.rejected for r in sorted(langid.with_language(docs([near, far]), model).collect())] == [False, True]
+
+
+def test_thresholds_are_of_all_labelled_rows(spark):
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(rng.randrange(20, 80)))
+    n = langid.TRAIN_ROWS + 300
+    rows = [(text("abcdefg"), "a") for _ in range(n)] + [(text("hijklmn"), "b") for _ in range(n)]
+    odd = set(range(0, 2 * n, 2 * n // 12))
+    scripts = [0x391, 0x430, 0x531, 0x5D0, 0x621, 0x905, 0xE01, 0x10D0, 0x13A0, 0x1401, 0x3041, 0xAC00, 0xA000]
+    for i, at in zip(sorted(odd), scripts):
+        rows[i] = (text([chr(at + k) for k in range(7)]), rows[i][1])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    out = langid.with_language(df, langid.fit_centroids(df)).collect()
+    assert len(out) == 2 * n and {r.doc_id for r in out if r.rejected} == odd
+    assert all(r.lang_pred == r.lang for r in out if r.doc_id not in odd)
+
+
+def test_small_classes_are_pooled():
+    few, many = [(2, 100, 1)], [(5, 9000 + i, 2) for i in range(500)]
+    low = langid._low(few + many)
+    assert low[:2] == [0.0] * 2 and low[2:] == [0.9004] * 30
+    # what is left at the long end is one with those before
+    assert langid._low(many + [(9, 50, 3)])[9] == langid._low(many + [(9, 50, 3)])[5] > 0.9
+    assert langid._low([]) == [0.0] * 32
