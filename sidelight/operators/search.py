@@ -8,6 +8,7 @@ says is worked out once, before the scan. Ties keep the order of the index (``se
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ DEFAULT_SOURCES = ("photos",)
 PERSON, PER_HIT, PLACE = 1.0, 0.01, 0.7
 DAY, MONTH, YEAR = 0.9, 0.6, 0.3
 TOP = 48
-MAX_BATCH = 1000  # queries of a batch; that many are broadcast
+MAX_BATCH = 1000  # queries that are broadcast at once
 
 # Examples of places by other names; a file adds more.
 ALIASES = {
@@ -147,17 +148,25 @@ def search(index: DataFrame, query: str, vector: list[float], top: int = TOP, so
 def search_many(index: DataFrame, queries: DataFrame, top: int = TOP, aliases: dict | None = None) -> DataFrame:
     """A batch of queries (``query_id, query, vector, sources array<string>``): ``query_id``, ``rank`` and the record.
 
-    The batch is broadcast, so it is refused above ``MAX_BATCH`` queries.
+    Queries are broadcast, so above ``MAX_BATCH`` of them they are met in blocks, by a hash of
+    ``query_id``, of about half as many.
     """
-    if len(queries.limit(MAX_BATCH + 1).select("query_id").collect()) > MAX_BATCH:
-        raise ValueError(f"a batch has at most {MAX_BATCH} queries")
     said = queries.where(F.trim("query") != "").select(
         "query_id", words(F.col("query")).alias("_words"), parse_query(F.col("query")).alias("_asked"), unit_query(F.col("vector")).alias("_unit"), F.col("sources").alias("_sources"),
     )
-    met = index.join(F.broadcast(said), F.array_contains("_sources", F.col("source")))
-    out = scored(met, F.col("_words"), F.col("_asked"), F.col("_unit"), alias_map(ALIASES if aliases is None else aliases))
+    n = queries.count()
+    blocks = 1 if n <= MAX_BATCH else -(-2 * n // MAX_BATCH)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("seq"))
-    return out.drop("_words", "_asked", "_unit", "_sources").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+    def ranked(some: DataFrame) -> DataFrame:
+        met = index.join(F.broadcast(some), F.array_contains("_sources", F.col("source")))
+        out = scored(met, F.col("_words"), F.col("_asked"), F.col("_unit"), alias_map(ALIASES if aliases is None else aliases))
+        return out.drop("_words", "_asked", "_unit", "_sources").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+    if blocks == 1:
+        return ranked(said)
+    return reduce(DataFrame.unionByName, [ranked(said.where(block == b)) for b in range(blocks)])
 
 
 def stats(index: DataFrame) -> DataFrame:

@@ -112,3 +112,13 @@ def test_printed(spark):
     rows = search.clean(index(spark, record("a", [1.0, 0.0], people=["Anna"], keywords=["x", "y"])))
     line = search.printed(search.search(rows, "anna", [1.0, 0.0])).first()
     assert (line["rank"], line.line) == (1, "2.010 [person: Anna]  a\n  d\n  x, y")
+
+
+def test_a_batch_above_the_limit_is_met_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = search.clean(index(spark, *(record(f"p{i}", [rng.gauss(0, 1) for _ in range(3)]) for i in range(20))))
+    asked = spark.createDataFrame([(i, "x", [rng.gauss(0, 1) for _ in range(3)], ["photos"]) for i in range(25)], "query_id int, query string, vector array<double>, sources array<string>")
+    ranks = lambda: sorted((r.query_id, r["rank"], r.path) for r in search.search_many(rows, asked, top=2).collect())
+    whole = ranks()
+    monkeypatch.setattr(search, "MAX_BATCH", 10)
+    assert len(whole) == 50 and ranks() == whole
