@@ -8,10 +8,10 @@ the anchors lack) every word takes an anchor's place. The set of a text's spots,
 hex. A text with words but no spot has its pairs of
 adjacent words instead, or its only word.
 
-Sets are compared through pruned Jaccard: sizes fall into partitions of powers
-of 1 / floor, and sets of partitions that do not touch, or whose smaller size is
-below ``floor`` of the larger, cannot be as alike as ``floor``: they are given 0
-without being intersected.
+Likeness is the exact Jaccard similarity. A search for sets at least as alike as a
+``floor`` may prune: sizes fall into partitions of powers of 1 / floor, and sets of
+partitions that do not touch, or whose smaller size is below ``floor`` of the larger,
+cannot be as alike: they are given 0 without being intersected.
 
 Defined results: a null text is empty. A text without words has the empty
 fingerprint. Equal fingerprints have likeness 1, the empty one and any other 0.
@@ -31,7 +31,6 @@ from sidelight.workspace import Workspace
 
 CHAIN = 2
 LONG_RUN = 6
-FLOOR = 0.1
 BLOCK_BITS = 8  # ids of a block of neighbours: at most 2 ** BLOCK_BITS different ones
 
 # Common words of English, German, French and Spanish.
@@ -89,19 +88,18 @@ def fingerprint(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two sets of spots, 0 where their sizes alone keep it below ``floor``."""
+def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
+    """Jaccard similarity of two sets of spots, with a floor 0 where their sizes alone keep it below."""
     na, nb = F.size(a), F.size(b)
 
     def partition(n):
         return F.floor(F.log(n.cast("double")) / F.lit(log(1 / floor)))
 
-    apart = (F.abs(partition(na) - partition(nb)) > 1) | (F.least(na, nb) < F.lit(floor) * F.greatest(na, nb))
     common = F.size(F.array_intersect(a, b))
-    return (
-        F.when((na == 0) & (nb == 0), F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).when(apart, F.lit(0.0))
-        .otherwise(common / (na + nb - common))
-    )
+    out = F.when((na == 0) & (nb == 0), F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0))
+    if floor > 0:
+        out = out.when((F.abs(partition(na) - partition(nb)) > 1) | (F.least(na, nb) < F.lit(floor) * F.greatest(na, nb)), F.lit(0.0))
+    return out.otherwise(common / (na + nb - common))
 
 
 def with_next(df: DataFrame, ws: Workspace) -> DataFrame:

@@ -92,3 +92,9 @@ def test_equal_texts_equal_fingerprints_and_empty_table(spark, tmp_path):
 def test_no_python_in_the_plan(spark):
     plan = sp.op8_spotsigs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_likeness_of_sets_of_unlike_sizes_is_exact(spark):
+    df = spark.createDataFrame([([1, 2], list(range(100)))], "a array<int>, b array<int>")
+    assert df.select(sp.likeness(F.col("a"), F.col("b")).alias("x")).first().x == 0.02
+    assert df.select(sp.likeness(F.col("a"), F.col("b"), 0.1).alias("x")).first().x == 0.0
