@@ -1,10 +1,13 @@
 """Token ids on disk: Re-Pair grammar compression by shard, with random access.
 
 Documents are dealt out by ranges of their id, encoded in that order, and packed
-into shards of about ``SHARD_TOKENS`` ids. In a shard, frequent pairs of adjacent
-ids are replaced by nonterminals, again and again: each round counts all pairs,
-takes the most frequent ones at once (where two of them overlap, the more
-frequent goes first), and ends when a round no longer pays. A shard stores its
+into shards of about ``SHARD_TOKENS`` ids. A shard is numbered when it is written:
+its range, its place in the range, and the tokens of the range before it. So the
+reader needs one sum for each range to know where every document starts. In a shard, frequent pairs of adjacent
+ids are replaced by nonterminals, again and again: each round counts all pairs and
+takes the most frequent ones at once (where two of them overlap, the more frequent
+goes first). It ends when no pair is used often enough to pay for its rule, or when
+the nonterminals that a symbol's width leaves room for are used up. A shard stores its
 rules, the expansion length of every nonterminal, the documents' ids and
 lengths, and the remaining sequence; by the expansion lengths any range of
 tokens is decoded without expanding what lies before it.
@@ -16,17 +19,22 @@ appear whole or not at all, on any file system, whichever executors are lost.
 Encoding goes through the tokenizers library. A text is cut before spaces that
 precede no white space, where its pattern always starts a new match, and what
 lies between two cuts is encoded once and remembered; texts that hold other runs
-of white space after a space are encoded as they are.
+of white space after a space, or the spelling of one of the tokenizer's added
+tokens, are encoded as they are. Ids are those of the library as the file sets it
+up: the spelling of a special token in a text gives that token's id.
 
 Defined results: a null text is empty and holds its end id alone. Null ids sort
-first. Rows with equal ids lie side by side in the order of their text. An empty
-table gives no shard. Extra columns are not stored.
+first. Rows with equal ids lie side by side in the order of a hash of their text,
+then of the text, so that one id's rows may fill many ranges; equal rows are stored
+each. A text of any length is one document of one shard, which is then as long. An
+empty table gives no shard. Extra columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
 
 import array
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +51,24 @@ from sidelight.workspace import Workspace
 
 SHARD_TOKENS = 1 << 21
 END_ID = 0
-BROADCAST_SHARDS = 1_000_000
 SLICE_BYTES = 12 << 20
 MEMO_CHUNKS = 600_000  # entries; when it is full, new chunks are encoded and not kept
-MIN_COUNT, LEAST_USED, MIN_GAIN, ROUND_RULES = 24, 4, 0.02, 2048
+ROUND_RULES = 1024  # pairs that are replaced at once
+RULE_BYTES = 12  # a pair and its expansion length
 _SLOT_BITS = 18
-SHARD_SCHEMA = "first_doc long, n_docs long, n_tokens long, payload binary"
-_HEAD = struct.Struct("<4sIIIII")  # magic, first nonterminal, rules, documents, tokens, length of the sequence
+SHARD_SCHEMA = "part int, number int, before long, first_doc long, n_docs long, n_tokens long, payload binary"
+_HEAD = struct.Struct("<4sIIIIIII")  # magic, range, number in it, first nonterminal, rules, documents, tokens, length of the sequence
 
 
 # --- grammar ---------------------------------------------------------------------------------
 
 
-def _frequent_pairs(codes: np.ndarray, most: int) -> np.ndarray:
-    """The codes of the ``most`` most frequent pairs, by falling count."""
+def _frequent_pairs(codes: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The codes of the ``most`` most frequent pairs that occur ``least`` times, by falling count."""
     ordered = np.sort(codes)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(starts, len(ordered)))
-    often = np.flatnonzero(counts >= MIN_COUNT)
+    often = np.flatnonzero(counts >= least)
     return ordered[starts[often[np.argsort(-counts[often], kind="stable")[:most]]]]
 
 
@@ -74,10 +83,10 @@ def compress(ids: np.ndarray, first: int, max_rules: int) -> tuple[np.ndarray, n
     wide = first + max_rules > 1 << 16
     kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
     seq, rules = ids.astype(np.uint32), []
-    none = np.int32(1 << 30)
+    none, least, most = np.int32(1 << 30), RULE_BYTES // (4 if wide else 2) + 1, ROUND_RULES
     while len(seq) > 1 and (room := max_rules - len(rules)) > 0:
         codes = (seq[:-1].astype(kind, copy=False) << kind(shift)) | seq[1:]
-        pairs = _frequent_pairs(codes, min(room, ROUND_RULES))
+        pairs = _frequent_pairs(codes, least, min(room, most))
         if not len(pairs):
             break
         # a small table finds a code's rank; of two pairs in one slot the less frequent waits for a later round
@@ -94,9 +103,12 @@ def compress(ids: np.ndarray, first: int, max_rules: int) -> tuple[np.ndarray, n
         take[1:] = place[1:] < np.where(follows, place[:-1], none)
         take[:-1] &= place[:-1] <= np.where(follows, place[1:], none)
         at, place = at[take], place[take]
-        worth = np.bincount(place, minlength=len(pairs)) >= LEAST_USED
-        if len(at) < MIN_GAIN * len(seq) or not worth.any():
-            break
+        worth = np.bincount(place, minlength=len(pairs)) >= least
+        if not worth.any():  # pairs that overlap themselves may stand before others that pay
+            if len(pairs) < most or most >= room:
+                break
+            most *= 4
+            continue
         number = (np.cumsum(worth) - 1 + len(rules) + first).astype(np.uint32)
         chosen = pairs[worth]
         rules.extend(zip((chosen >> kind(shift)).tolist(), (chosen & kind((1 << shift) - 1)).tolist()))
@@ -153,8 +165,8 @@ class Shard:
     """One shard's bytes: header, rules, expansion lengths, document ids (and which are null), their lengths, sequence."""
 
     def __init__(self, payload: bytes) -> None:
-        magic, self.first, n_rules, n_docs, self.n_tokens, n_seq = _HEAD.unpack_from(payload)
-        if magic != b"RPR1":
+        magic, self.part, self.number, self.first, n_rules, n_docs, self.n_tokens, n_seq = _HEAD.unpack_from(payload)
+        if magic != b"RPR2":
             raise ValueError("not a token shard")
         at = _HEAD.size
         narrow = self.first + n_rules <= 1 << 16
@@ -172,13 +184,13 @@ class Shard:
         self.seq = part("<u2" if narrow else "<u4", n_seq).astype(np.uint32)
 
     @staticmethod
-    def pack(doc_ids: list, parts: list[np.ndarray], first: int) -> bytes:
+    def pack(doc_ids: list, parts: list[np.ndarray], first: int, part: int = 0, number: int = 0) -> bytes:
         ids = np.concatenate(parts)
         room = (1 << 16) - first if first < 1 << 16 else 1 << 16
         seq, rules = compress(ids, first, room)
         narrow = first + len(rules) <= 1 << 16
         return b"".join((
-            _HEAD.pack(b"RPR1", first, len(rules), len(doc_ids), len(ids), len(seq)),
+            _HEAD.pack(b"RPR2", part, number, first, len(rules), len(doc_ids), len(ids), len(seq)),
             rules.astype("<u4").tobytes(), expansion_lengths(rules, first).astype("<u4").tobytes(),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
             np.array([len(p) for p in parts], "<u4").tobytes(), seq.astype("<u2" if narrow else "<u4").tobytes(),
@@ -221,7 +233,9 @@ class ChunkedEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        # the library looks for added tokens before anything else, whatever stands around them
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._odd = "|".join([self._other_white, *added])
         vocabulary = self._tokenizer.get_vocab()
         self.vocabulary = len(vocabulary)
         self._bytes_of = np.zeros(self.vocabulary, np.int64)
@@ -243,7 +257,7 @@ class ChunkedEncoder:
             at = stop
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        odd = pc.match_substring_regex(texts, self._other_white).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False)
         alone = iter(self._ids(texts.filter(pa.array(odd)).to_pylist()))
         even = self._cut(texts.filter(pa.array(~odd)))
         for o in odd.tolist():
@@ -302,13 +316,15 @@ def write_token_files(df: DataFrame, tokenizer: str, out: str, id_col: str = "do
 
     def shards(batches):
         coder = _encoder(tokenizer)
+        part = TaskContext.get().partitionId()  # ranges are numbered in their order
         docs: list = []
         parts: list = []
-        held = 0
+        held = before = number = 0
 
         def packed():
-            row = [docs[0]], [len(docs)], [held], [Shard.pack(docs, parts, coder.vocabulary)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["first_doc", "n_docs", "n_tokens", "payload"])
+            row = part, number, before, docs[0], len(docs), held, Shard.pack(docs, parts, coder.vocabulary, part, number)
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names=["part", "number", "before", "first_doc", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
             for doc, coded in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
@@ -317,12 +333,15 @@ def write_token_files(df: DataFrame, tokenizer: str, out: str, id_col: str = "do
                 held += len(coded) + 1
                 if held >= SHARD_TOKENS:
                     yield packed()
+                    before, number = before + held, number + 1
                     docs, parts, held = [], [], 0
         if docs:
             yield packed()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(shards, SHARD_SCHEMA).write.parquet(out)
+    order = F.col("id").asc_nulls_first(), F.xxhash64("text")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    ranged.mapInArrow(shards, SHARD_SCHEMA).write.parquet(out)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -342,13 +361,11 @@ def read_token_files(spark, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    # a row a shard, a few thousand times fewer than documents; a document's shard is placed by its first id
-    heads = files.select("first_doc", "n_tokens", F.xxhash64("payload").alias("_of"))
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "_of").rowsBetween(Window.unboundedPreceding, -1)
-    starts = heads.withColumn("_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("_of", "_start")
-    if files.count() <= BROADCAST_SHARDS:  # two numbers a shard
-        starts = F.broadcast(starts)
-    return files.select(F.xxhash64("payload").alias("_of"), "payload").join(starts, "_of").select("_start", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    # a row for each range, of which there are no more than the partitions of the write
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = files.groupBy("part").agg(F.sum("n_tokens").alias("held")).select("part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
+    placed = files.select("part", "before", "payload").join(F.broadcast(ranges), "part").select(F.col("ahead") + F.col("before"), "payload")
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op2_token_files(spark, sf_dir):

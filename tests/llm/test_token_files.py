@@ -18,7 +18,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -56,13 +55,17 @@ def test_chunked_encoding_is_the_library_s(plain, monkeypatch):
     assert len(coder._memo) == 40
 
 
-def test_files_hold_every_document_in_order(spark, docs, plain, monkeypatch):
+def held(spark, df):
+    path = f"{Workspace(spark, 'test').root}/ids"
+    tf.write_token_files(df, PATH, path)
+    return path, sorted(tf.read_token_files(spark, path).collect(), key=lambda r: r.start)
+
+
+def test_files_hold_every_document_in_order(spark, docs, plain):
     rng = random.Random(9)
-    texts = [" ".join(rng.choices(["the", "of", "ing", "é", "new\nline"], k=rng.randrange(200))) for _ in range(60)] + [None, "", "x y", "x y"]
+    texts = [" ".join(rng.choices(["the", "of", "ing", "é", "new\nline", "<|endoftext|>"], k=rng.randrange(200))) for _ in range(60)] + [None, "", "x y", "x y"]
     ids = [*range(100, 160), 5, None, 7, 7]
-    path = f"{Workspace(spark, 'test').root}/ids"
-    tf.write_token_files(docs(texts, ids), PATH, path)
-    got = sorted(tf.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    _, got = held(spark, docs(texts, ids))
     want = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0))
     start = 0
     for r, (i, t) in zip(got, want, strict=True):
@@ -72,6 +75,38 @@ def test_files_hold_every_document_in_order(spark, docs, plain, monkeypatch):
         start += r.n_tokens
 
 
+def test_the_spelling_of_a_special_token_gives_its_id(spark, docs, plain):
+    _, got = held(spark, docs(["a <|endoftext|> b"]))
+    assert np.frombuffer(got[0].ids, "<u4").tolist() == [64, 220, 50256, 275, tf.END_ID] == [*plain("a <|endoftext|> b"), tf.END_ID]
+
+
+@pytest.mark.parametrize(
+    "ids, texts",
+    [
+        ([*[4] * 6, 9], [*["a b c d " * 20] * 6, "z"]),  # equal rows, each a shard of its own
+        ([5, 5, 6, 7] * 3, ["one two " * 40, "three " * 90, "four " * 80, "x"] * 3),  # one id over several shards
+        ([None, None, 2, 2, 2, 1], ["q " * 70, None, "r " * 70, "s " * 70, "s " * 70, ""]),
+    ],
+)
+def test_shards_of_equal_rows_and_ids_keep_their_place(spark, docs, plain, ids, texts, monkeypatch):
+    monkeypatch.setattr(tf, "SHARD_TOKENS", 64)  # travels with the writer's closure
+    path, got = held(spark, docs(texts, ids))
+    assert spark.read.parquet(path).count() > 3
+    key = lambda i: (i is not None, i or 0)
+    assert [r.doc_id for r in got] == sorted(ids, key=key)
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    coded = lambda t: np.array([*plain(t or ""), tf.END_ID], "<u4").tobytes()
+    assert sorted((key(r.doc_id), bytes(r.ids)) for r in got) == sorted((key(i), coded(t)) for i, t in zip(ids, texts))
+
+
+def test_a_shard_knows_its_number():
+    shard = tf.Shard(tf.Shard.pack([3], [np.array([1, 2, 0], np.uint32)], 50257, 7, 2))
+    assert (shard.part, shard.number, shard.n_tokens) == (7, 2, 3)
+
+
 def test_empty_table(spark, docs):
     path = f"{Workspace(spark, 'test').root}/none"
     tf.write_token_files(docs([]), PATH, path)
