@@ -1,12 +1,11 @@
 """SpotSigs fingerprints, by DataFrame functions alone.
 
-A spot is a chain of ``CHAIN`` content words that follows a common word (an
+A spot is a chain: the ``CHAIN`` content words that follow a common word (an
 anchor). Words are runs of letters and digits, lower-cased; anchors are the
-common words of several languages, and do not count as content words. In a run
-of more than ``LONG_RUN`` content words (tables, lists, text in a language that
-the anchors lack) every word takes an anchor's place. The set of a text's spots, each hashed to 32 bits, is its fingerprint, written as sorted
-hex. A text with words but no spot has its pairs of
-adjacent words instead, or its only word.
+common words of several languages, and do not count as content words. The set of
+a text's spots, each hashed to 32 bits, is its fingerprint, written as sorted hex.
+A text with words but no spot (it has no anchor, or less than ``CHAIN`` content
+words after its last one) has its pairs of adjacent words instead, or its only word.
 
 Likeness is the exact Jaccard similarity. A search for sets at least as alike as a
 ``floor`` may prune: sizes fall into partitions of powers of 1 / floor, and sets of
@@ -15,13 +14,16 @@ cannot be as alike: they are given 0 without being intersected.
 
 Defined results: a null text is empty. A text without words has the empty
 fingerprint. Equal fingerprints have likeness 1, the empty one and any other 0.
-Documents are in descending order of their id, rows with equal ids in the order
-of their texts, rows with null ids last. An empty table gives an empty table.
+Documents are in descending order of their id, rows with null ids last; rows with
+equal ids are in the order of a hash of their texts, so that one id's rows are dealt
+out like any others, and equal rows follow each other. A text of any length is read
+as a whole. An empty table gives an empty table. Extra columns, whatever their
+names, are not returned.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ from sidelight.llm.columns import read
 from sidelight.workspace import Workspace
 
 CHAIN = 2
-LONG_RUN = 6
-BLOCK_BITS = 8  # ids of a block of neighbours: at most 2 ** BLOCK_BITS different ones
+RANGE_ROWS, RANGE_CHARS = 20_000, 1 << 26  # of the rows that one window orders, about
+MAX_RANGES, PER_RANGE = 1 << 16, 16  # at most so many ranges, whose borders come from so many sampled keys each
 
 # Common words of English, German, French and Spanish.
 ANCHORS = """
@@ -61,18 +63,15 @@ def spots(text: Column) -> Column:
     def runs(w):  # every anchor becomes a bar; what lies between two bars is a run of content words
         return F.struct(F.split(F.regexp_replace(w, _ANCHOR, "|"), r"(?:\|\s*)++").alias("r"), w.alias("w"))
 
-    def chains(run, i, all_runs):
-        size = F.length(run) - F.length(F.replace(run, F.lit(" "))) + 1
-        each = F.split(run, " ")
-        inner = F.zip_with(F.slice(each, F.lit(1), size - 1), F.slice(each, F.lit(2), size - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+    def chain(run, i, all_runs):
+        """The first words of a run, and where it has only one, the first of the next; null without."""
         after = F.when(i + 1 < F.size(all_runs), F.nullif(F.substring_index(F.get(all_runs, i + 1), " ", 1), F.lit("")))
-        first = F.when(size >= CHAIN, F.substring_index(run, " ", CHAIN)).otherwise(F.concat(run, F.lit(" "), after))
-        anchored = F.when((i == 0) | first.isNull(), F.array().cast("array<string>")).otherwise(F.array(first))
-        return F.when(run == "", F.array().cast("array<string>")).when(size > LONG_RUN, inner).otherwise(anchored)
+        first = F.when(F.instr(run, " ") > 0, F.substring_index(run, " ", CHAIN)).otherwise(F.concat(run, F.lit(" "), after))
+        return F.when((i > 0) & (run != ""), first)
 
     def of(bound):
         trimmed = F.transform(bound["r"], lambda r: F.trim(r))  # F.trim alone would take the index for what to trim
-        found = F.transform(F.array(F.struct(trimmed.alias("a"))), lambda s: F.flatten(F.transform(s["a"], lambda r, i: chains(r, i, s["a"]))))[0]
+        found = F.transform(F.array(F.struct(trimmed.alias("a"))), lambda s: F.array_compact(F.transform(s["a"], lambda r, i: chain(r, i, s["a"]))))[0]
         plain = F.trim(bound["w"])
         each = F.split(plain, " ")
         pairs = F.zip_with(F.slice(each, F.lit(1), F.size(each) - 1), F.slice(each, F.lit(2), F.size(each) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
@@ -102,30 +101,61 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     return out.otherwise(common / (na + nb - common))
 
 
+def _borders(keys: DataFrame, ranges: int, rows: int) -> list:
+    """About ``ranges`` - 1 evenly spaced keys, of a sample of ``PER_RANGE`` keys a range."""
+    if ranges == 1:
+        return []
+    draw = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) < int((1 << 30) * min(1.0, PER_RANGE * ranges / rows))
+    some = sorted(tuple(r) for r in keys.where(draw).collect())
+    return sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
+
+
+def _range_of(key: Column, borders: list) -> Column:
+    """How many borders do not exceed a key; borders stand in groups, so that few are compared."""
+    if not borders:
+        return F.lit(0)
+    width = ceil(len(borders) ** 0.5)
+    groups = [borders[k : k + width] for k in range(0, len(borders), width)]
+    lit = lambda t: F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(t, ("at", "hash", "place"))))
+    heads, inner = F.array(*(lit(g[0]) for g in groups)), F.array(*(F.array(*map(lit, g)) for g in groups))
+
+    def count(found, k):
+        return F.size(F.filter(found, lambda b: b <= k))
+
+    # the key and its group are bound by lambdas, and so computed once
+    group = lambda k: F.struct(k.alias("k"), count(heads, k).alias("g"))
+    within = lambda s: F.when(s["g"] == 0, F.lit(0)).otherwise((s["g"] - 1) * width + count(F.get(inner, s["g"] - 1), s["k"]))
+    return F.transform(F.transform(F.array(key), group), within)[0]
+
+
 def with_next(df: DataFrame, ws: Workspace) -> DataFrame:
     """``id``, ``text`` of each row and its ``spots``, with ``next_text``, ``next_spots`` of the row after it
     in descending order of ``id``; after the last comes the first.
 
-    Ids are cut into blocks of fixed width, in which the order is a window; where a
-    block ends, the first row of the block below follows. That one is found among
-    block heads, in turn by blocks of blocks, so that no window holds all rows.
+    Rows are dealt out by ranges of their key: the id turned round, a hash of the text, and the
+    row's place in the scan, which spreads equal rows. A window orders each range; where it
+    ends, the first row of the next range follows. Borders are bounded in number and drawn from
+    a sample; they decide where a row is ordered, not what follows it.
     """
-    at = F.coalesce("id", F.lit(-(1 << 63)))
-    rows = df.withColumn("block", F.shiftright(at, BLOCK_BITS))
-    heads = ws.table(rows.select("block", at.alias("at")).groupBy("block").agg(F.max("at").alias("head")), "heads")
-    over = F.shiftright("block", BLOCK_BITS)
-    down = Window.partitionBy("over").orderBy(F.col("block").desc())
-    tops = heads.groupBy(over.alias("over")).agg(F.max("head").alias("top"))
-    all_down = Window.orderBy(F.col("over").desc())
-    tops = tops.select("over", F.coalesce(F.lead("top").over(all_down), F.first("top").over(all_down)).alias("below"))
-    follows = heads.withColumn("over", over).withColumn("after", F.lead("head").over(down)).join(tops, "over").select("block", F.coalesce("after", "below").alias("after"))
-    firsts = rows.select(at.alias("after"), "text").join(heads.select(F.col("head").alias("after")), "after", "left_semi").groupBy("after").agg(F.min("text").alias("edge_text"))
-    edges = ws.table(follows.join(firsts, "after").select("block", "edge_text"), "edges").withColumn("edge_spots", spots(F.col("edge_text")))
+    at = F.coalesce(F.bitwise_not(F.col("id").cast("long")), F.lit((1 << 63) - 1))
+    keys = F.struct(at.alias("at"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    rows = df.select("id", "text", keys.alias("key"))
+    size = df.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).first()
+    ranges = min(MAX_RANGES, max(1, -(-size["n"] // RANGE_ROWS), -(-(size["chars"] or 0) // RANGE_CHARS)))
+    borders = _borders(rows.select("key.*"), ranges, size["n"])
+    dealt = rows.withColumn("range", _range_of(F.col("key"), borders))
+    heads = ws.table(dealt.groupBy("range").agg(F.min("key").alias("head")), "heads")
+    on = Window.orderBy("range")  # a row a range
+    follows = ws.table(heads.select("range", F.coalesce(F.lead("head").over(on), F.first("head").over(on)).alias("after")), "follows")
+    wanted = follows.select(F.col("after.at").alias("at"), F.col("after.hash").alias("hash")).distinct()
+    firsts = rows.select("key.at", "key.hash", "text").join(F.broadcast(wanted), ["at", "hash"]).groupBy("at", "hash").agg(F.min("text").alias("edge_text"))
+    edges = follows.select("range", "after.at", "after.hash").join(firsts, ["at", "hash"]).select("range", "edge_text")
+    edges = ws.table(edges, "edges").withColumn("edge_spots", spots(F.col("edge_text")))
     # dealt out before the spots are made, so that the text alone is shuffled
-    rows = rows.repartition("block").withColumn("spots", spots(F.col("text")))
-    inside = Window.partitionBy("block").orderBy(at.desc(), "text")
-    led = rows.withColumns({"lead_text": F.lead("text").over(inside), "lead_spots": F.lead("spots").over(inside)})
-    return led.join(edges, "block").select(
+    dealt = dealt.repartition("range").withColumn("spots", spots(F.col("text")))
+    inside = Window.partitionBy("range").orderBy("key", "text")
+    led = dealt.withColumns({"lead_text": F.lead("text").over(inside), "lead_spots": F.lead("spots").over(inside)})
+    return led.join(edges, "range").select(
         "id", "text", "spots", F.coalesce("lead_text", "edge_text").alias("next_text"), F.coalesce("lead_spots", "edge_spots").alias("next_spots")
     )
 

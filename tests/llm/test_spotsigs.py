@@ -29,9 +29,7 @@ def plain(text):
     squeezed = [lead] + [r for k, r in enumerate(rest) if r or k == len(rest) - 1]
     out = set()
     for k, r in enumerate(squeezed):
-        if len(r) > sp.LONG_RUN:
-            out |= {f"{a} {b}" for a, b in zip(r, r[1:])}
-        elif k and r:
+        if k and r:
             if len(r) >= 2:
                 out.add(" ".join(r[:2]))
             elif k + 1 < len(squeezed) and squeezed[k + 1]:
@@ -61,24 +59,57 @@ def test_likeness_is_jaccard_above_the_floor(spark):
         assert r.x == pytest.approx(true) or r.x == 0 and true < 0.4
 
 
-def neighbours(rows):
-    """Rows in descending order of id (null last), then of text; each with the next, cyclically."""
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(10**18)), r[1] or ""))
+def neighbours(rows, hashes):
+    """Rows in descending order of id (null last), then of a hash of the text; each with the next, cyclically."""
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(10**19)), hashes[r[1] or ""]))
     return [(i, t or "", (order[(k + 1) % len(order)][1] or "")) for k, (i, t) in enumerate(order)]
 
 
-@pytest.mark.parametrize("ids", [list(range(20)), [5], [3, 3, 7, None, 900, 100000, -4], list(range(0, 5000, 250))])
-def test_next_document_and_edits(spark, ids, tmp_path):
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+HASHED = [random.Random(8).randrange(-(1 << 63), 1 << 63) for _ in range(60)]
+
+
+@pytest.mark.parametrize("ids", [list(range(20)), [5], [3, 3, 7, None, 900, 100000, -4, None], list(range(0, 5000, 250)), HASHED, [4] * 40, [None] * 30])
+def test_every_column_against_a_plain_version(spark, ids, tmp_path, monkeypatch):
+    monkeypatch.setattr(sp, "RANGE_ROWS", 7)
     rng = random.Random(len(ids))
-    texts = [rng.choice(["", None, "é" * rng.randrange(9), "a cat of the house sat on the mat " * rng.randrange(1, 4)]) for _ in ids]
+    texts = [rng.choice(["", None, "é" * rng.randrange(9), "a cat of the house sat on the mat " * rng.randrange(1, 4), " ".join(rng.choices(["the", "und", "cat", "haus", "x"], k=12))]) for _ in ids]
     rows = list(zip(ids, texts))
-    spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, fingerprint string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in sp.op8_spotsigs(spark, str(tmp_path)).collect())
-    want = []
-    for i, t, n in neighbours(rows):
+    spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, fingerprint string, key long").write.parquet(str(tmp_path / "documents.parquet"))
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t or "",) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    want_rows = []
+    for i, t, n in neighbours(rows, hashes):
         k = len(t) // 3
-        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
-    assert got == sorted(want)
+        want_rows.append((i, t, n, t[: len(t) - k] + n[:k]))
+    chains = sorted(set().union(*(plain(x) for r in want_rows for x in r[1:])))
+    codes = {r.c: r.h for r in spark.createDataFrame([(c,) for c in chains], "c string").select("c", F.hash("c").alias("h")).collect()}
+    hexed = lambda t: "".join(f"{h & 0xFFFFFFFF:08x}" for h in sorted({codes[c] for c in plain(t)}))
+    want = [
+        (str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(t), hexed(e), round(jaccard(plain(t), plain(e)), 9), round(jaccard(plain(t), plain(n)), 9))
+        for i, t, n, e in want_rows
+    ]
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in sp.op8_spotsigs(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_no_window_holds_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(sp, "RANGE_ROWS", 50)
+    for df in (
+        spark.range(3000).select(F.xxhash64("id").alias("id"), F.concat(F.lit("the cat "), F.col("id").cast("string")).alias("text")),
+        spark.range(3000).select(F.lit(7).cast("long").alias("id"), F.lit("equal rows").alias("text")),
+    ):
+        ws = sp.Workspace(spark, "test")
+        out = sp.with_next(df, ws)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+        assert out.count() == 3000
+    ranged = df.select("id", "text", F.struct(F.lit(0).cast("long").alias("at"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place")).alias("key"))
+    borders = sp._borders(ranged.select("key.*"), 60, 3000)
+    sizes = [r["count"] for r in ranged.withColumn("range", sp._range_of(F.col("key"), borders)).groupBy("range").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 400 and len(sizes) == len(borders) + 1
 
 
 def test_equal_texts_equal_fingerprints_and_empty_table(spark, tmp_path):
