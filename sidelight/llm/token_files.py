@@ -55,6 +55,7 @@ SLICE_BYTES = 12 << 20
 MEMO_CHUNKS = 600_000  # entries; when it is full, new chunks are encoded and not kept
 ROUND_RULES = 1024  # pairs that are replaced at once
 RULE_BYTES = 12  # a pair and its expansion length
+TABLE_LENGTH = 64  # of what a nonterminal spells, in the table that decoding gathers from
 _SLOT_BITS = 18
 SHARD_SCHEMA = "part int, number int, before long, first_doc long, n_docs long, n_tokens long, payload binary"
 _HEAD = struct.Struct("<4sIIIIIII")  # magic, range, number in it, first nonterminal, rules, documents, tokens, length of the sequence
@@ -128,37 +129,40 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+def _split_once(seq: np.ndarray, long: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """``seq`` with the marked nonterminals as the pairs they stand for."""
+    end = np.cumsum(1 + long, dtype=np.int64)
+    out = np.empty(int(end[-1]), np.uint32)
+    out[end - 1 - long] = seq
+    pair = rules[seq[long] - first]
+    out[end[long] - 2], out[end[long] - 1] = pair[:, 0], pair[:, 1]
+    return out
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """Undoes ``compress``: each nonterminal that occurs is expanded once, then gathered."""
-    inner = seq >= first
-    if not inner.any():
+    """Undoes ``compress``: long nonterminals are taken apart, short ones gathered from a table of what they spell."""
+    if not (seq >= first).any():
         return seq
-    whole: dict[int, list[int]] = {}
-
-    def spelt(symbol: int) -> list[int]:
-        todo, out = [symbol], []
-        while todo:
-            s = todo.pop()
-            if s < first:
-                out.append(s)
-            elif s in whole:
-                out.extend(whole[s])
-            else:
-                todo += rules[s - first].tolist()[::-1]
-        return out
-
-    used = first + np.flatnonzero(np.bincount(seq[inner] - np.uint32(first), minlength=len(rules)))
-    for s in used.tolist():  # rules only refer to earlier ones, so short ones come first
-        whole[s] = spelt(s)
-    # one table of what every symbol stands for, its own id for a terminal
-    table = np.concatenate((np.arange(first, dtype=np.uint32), np.array([x for s in used.tolist() for x in whole[s]], np.uint32)))
     size = np.ones(first + len(rules), np.int32)
-    size[used] = [len(whole[s]) for s in used.tolist()]
-    begin = np.arange(first + len(rules), dtype=np.int64)
-    begin[used] = first + np.cumsum(size[used], dtype=np.int64) - size[used]
+    size[first:] = expansion_lengths(rules, first)
+    while (long := size[seq] > TABLE_LENGTH).any():
+        seq = _split_once(seq, long, rules, first)
+    # the table begins with every terminal as itself
+    begin = np.arange(first + len(rules), dtype=np.int32)
+    short = np.flatnonzero(size[first:] <= TABLE_LENGTH) + first
+    begin[short] = first + np.cumsum(size[short], dtype=np.int32) - size[short]
+    table = np.empty(first + int(size[short].sum()), np.uint32)
+    table[:first] = np.arange(first, dtype=np.uint32)
+    at, many = begin.tolist(), size.tolist()
+    for s, (a, b) in zip(short.tolist(), rules[short - first].tolist()):  # rules only refer to earlier ones
+        here, mid = at[s], at[s] + many[a]
+        table[here:mid] = table[at[a] : at[a] + many[a]]
+        table[mid : mid + many[b]] = table[at[b] : at[b] + many[b]]
     length = size[seq]
-    end = np.cumsum(length, dtype=np.int64)
-    return table[np.repeat(begin[seq] - end + length, length) + np.arange(int(end[-1]))]
+    end = np.cumsum(length, dtype=np.int32)
+    where = np.repeat(begin[seq] - end + length, length)
+    where += np.arange(len(where), dtype=np.int32)
+    return table[where]
 
 
 class Shard:
