@@ -6,8 +6,9 @@ its range, its place in the range, and the tokens of the range before it. So the
 reader needs one sum for each range to know where every document starts. In a shard, frequent pairs of adjacent
 ids are replaced by nonterminals, again and again: each round counts all pairs and
 takes the most frequent ones at once (where two of them overlap, the more frequent
-goes first). It ends when no pair is used often enough to pay for its rule, or when
-the nonterminals that a symbol's width leaves room for are used up. A shard stores its
+goes first). It ends when no pair is used often enough to pay for its rule, when a
+round saves less than ``MIN_GAIN`` of the sequence, or when the nonterminals that a
+symbol's width leaves room for are used up. A shard stores its
 rules, the expansion length of every nonterminal, the documents' ids and
 lengths, and the remaining sequence; by the expansion lengths any range of
 tokens is decoded without expanding what lies before it.
@@ -52,8 +53,9 @@ from sidelight.workspace import Workspace
 SHARD_TOKENS = 1 << 21
 END_ID = 0
 SLICE_BYTES = 12 << 20
-MEMO_CHUNKS = 600_000  # entries; when it is full, new chunks are encoded and not kept
-ROUND_RULES = 1024  # pairs that are replaced at once
+MEMO_CHUNKS = 500_000  # entries; when it is full, new chunks are encoded and not kept
+ROUND_RULES = 4096  # pairs that are replaced at once
+MIN_GAIN = 0.01  # of a sequence, that a round must save to be followed by another
 RULE_BYTES = 12  # a pair and its expansion length
 TABLE_LENGTH = 64  # of what a nonterminal spells, in the table that decoding gathers from
 _SLOT_BITS = 18
@@ -105,6 +107,8 @@ def compress(ids: np.ndarray, first: int, max_rules: int) -> tuple[np.ndarray, n
         take[:-1] &= place[:-1] <= np.where(follows, place[1:], none)
         at, place = at[take], place[take]
         worth = np.bincount(place, minlength=len(pairs)) >= least
+        if len(at) < MIN_GAIN * len(seq):
+            break
         if not worth.any():  # pairs that overlap themselves may stand before others that pay
             if len(pairs) < most or most >= room:
                 break
@@ -139,25 +143,21 @@ def _split_once(seq: np.ndarray, long: np.ndarray, rules: np.ndarray, first: int
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
     """Undoes ``compress``: long nonterminals are taken apart, short ones gathered from a table of what they spell."""
     if not (seq >= first).any():
         return seq
     size = np.ones(first + len(rules), np.int32)
-    size[first:] = expansion_lengths(rules, first)
+    size[first:] = expansion_lengths(rules, first) if lengths is None else lengths
     while (long := size[seq] > TABLE_LENGTH).any():
         seq = _split_once(seq, long, rules, first)
-    # the table begins with every terminal as itself
-    begin = np.arange(first + len(rules), dtype=np.int32)
     short = np.flatnonzero(size[first:] <= TABLE_LENGTH) + first
+    begin = np.arange(first + len(rules), dtype=np.int32)
     begin[short] = first + np.cumsum(size[short], dtype=np.int32) - size[short]
-    table = np.empty(first + int(size[short].sum()), np.uint32)
-    table[:first] = np.arange(first, dtype=np.uint32)
-    at, many = begin.tolist(), size.tolist()
-    for s, (a, b) in zip(short.tolist(), rules[short - first].tolist()):  # rules only refer to earlier ones
-        here, mid = at[s], at[s] + many[a]
-        table[here:mid] = table[at[a] : at[a] + many[a]]
-        table[mid : mid + many[b]] = table[at[b] : at[b] + many[b]]
+    spelt = short.astype(np.uint32)
+    while (inner := spelt >= first).any():
+        spelt = _split_once(spelt, inner, rules, first)
+    table = np.concatenate((np.arange(first, dtype=np.uint32), spelt))  # it begins with every terminal as itself
     length = size[seq]
     end = np.cumsum(length, dtype=np.int32)
     where = np.repeat(begin[seq] - end + length, length)
@@ -211,7 +211,7 @@ class Shard:
         ends = np.cumsum(size)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
         before = int(ends[a] - size[a])
-        return expand(self.seq[a : b + 1], self.rules, self.first)[start - before : stop - before]
+        return expand(self.seq[a : b + 1], self.rules, self.first, self.lengths)[start - before : stop - before]
 
     def document(self, k: int) -> np.ndarray:
         ends = np.cumsum(self.doc_tokens, dtype=np.int64)
@@ -355,7 +355,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard(payload.as_py())
-                ids = expand(shard.seq, shard.rules, shard.first).astype("<u4", copy=False)
+                ids = expand(shard.seq, shard.rules, shard.first, shard.lengths).astype("<u4", copy=False)
                 ends = np.cumsum(shard.doc_tokens, dtype=np.int64)
                 begins = ends - shard.doc_tokens
                 cut = [ids[a:b].tobytes() for a, b in zip(begins, ends)]
