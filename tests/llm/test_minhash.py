@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sidelight.llm import minhash
 
@@ -52,7 +54,9 @@ def test_matches_brute_force(spark, docs, percent):
 def test_large_near_group_goes_through_blocks(spark, docs, monkeypatch):
     """Copies edited from each other as well as from one base, in buckets cut into several blocks."""
     monkeypatch.setattr(minhash, "SMALL", 4)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CELL", 8)
+    monkeypatch.setattr(minhash, "_STRIPE", 5)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     group = [base]
@@ -71,6 +75,16 @@ def test_repeated_and_null_ids(spark, docs):
     assert sorted((tuple(r) for r in got), key=str) == brute_force(rows, 85)
 
 
+def test_ids_with_several_texts_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "CELL", 3)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(rng.randrange(12), " ".join(edited(rng, base, 0.01))) for _ in range(24)]
+    got = minhash.near_duplicates(docs([t for _, t in rows], [i for i, _ in rows]), percent=80).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_force(rows, 80)
+
+
 def test_empty_table(spark, docs):
     assert minhash.near_duplicates(docs([])).collect() == []
 
@@ -83,6 +97,43 @@ def test_drop_keeps_all_columns_and_one_of_each_group(spark, docs):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
 
 
+def test_a_shared_template_moves_no_texts(spark):
+    """Unlike sets that share one bucket: texts are asked for by survivors alone, however large the bucket."""
+    rng = np.random.default_rng(4)
+    needed = []
+    for n in (100, 400):
+        rows = []
+        for d in range(n):
+            sig = rng.integers(0, 1 << 32, minhash.MINIMA, np.uint32)
+            sig[: minhash.ROWS] = 7  # the first band is the template's
+            if d in (20, 21):
+                sig[8:] = 9  # two that are alike
+            rows.append((d, bytearray(sig.tobytes())))
+        sigs = spark.createDataFrame(rows, "doc long, sig binary")
+        members = sigs.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(n).cast("long").alias("n"), "doc", F.col("doc").alias("component"))
+        pairs, docs = minhash._in_cells(minhash._survivors_of_blocks(members, sigs, 85))
+        assert [(r.a, r.b) for r in pairs.collect()] == [(20, 21)]
+        needed.append(docs.count())
+    assert needed == [2, 2]
+
+
+def test_stated_misses_at_the_threshold():
+    """The share of pairs of exactly the threshold's similarity that the sequential test or the bands lose."""
+    from math import comb
+
+    for t, sequential, bands in ((0.85, 9.9e-6, 4.3e-7), (0.80, 8.9e-6, 4.9e-5)):
+        alive = {0: 1.0}  # matches so far, of pairs not yet given up
+        for need in minhash.least_matches(round(100 * t)):
+            after = {}
+            for m, p in alive.items():
+                for k in range(minhash.STEP + 1):
+                    if m + k >= need:
+                        after[m + k] = after.get(m + k, 0.0) + p * comb(minhash.STEP, k) * t**k * (1 - t) ** (minhash.STEP - k)
+            alive = after
+        assert 1 - sum(alive.values()) == pytest.approx(sequential, rel=0.02)
+        assert (1 - t**minhash.ROWS) ** minhash.BANDS == pytest.approx(bands, rel=0.02)
+
+
 def test_least_matches_bounds_the_posterior():
     least = minhash.least_matches(85, 1e-6)
     assert list(least) == sorted(least) and least[-1] < 0.85 * minhash.MINIMA
