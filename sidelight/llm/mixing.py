@@ -7,16 +7,26 @@ point has a closed form: in the order of cap / weight, a source is clamped if
 its cap is no larger than its share of what the clamped ones before it left.
 
 A source with target t and size s takes floor(t / s) whole repetitions of every
-document, and the rest of its target from its documents in a seeded random
-order: whole documents, and of the one document at the end a fractional
-repetition. The order is never sorted as a whole: documents fall into
-``BUCKETS`` hash buckets per source, bucket sums are cumulated, and only the one
-bucket at the end is ordered. All sums are combined map-side, so that one source
-with a third of all rows is like any other.
+document, and the rest of its target from its documents in a seeded random order:
+whole documents, and of the one document at the end a fractional repetition. The
+order is never sorted as a whole. A table of ids, sizes and draws is written once;
+in it the end of each source is found by sums of 4096 buckets of the draw, then of
+4096 buckets inside the one where it lies, and only what is left of that (some
+millionth of the source) is ordered. The end is one row a source, which every document is
+compared with; texts are joined to nothing else. All sums are combined map-side, so
+that one source with a third of all rows is like any other.
+
+The water level is worked out over a row a source, in one task: 60 bytes for each
+of the sources, which are the parts of a mix.
 
 Defined results: a null text has size 0; a null source is a source, the last
-one. Repeated rows count each. A source of size 0 has target 0. An empty table
-gives an empty table. Null ids are allowed; such rows are ordered by size.
+one. Repeated rows count each; where the end falls among rows equal in id, text and
+source, they share what is left evenly, rounded down. A source of size 0 has target
+0. A very long document is cut like any other, by words. An empty table gives an
+empty table. Null ids are allowed; such rows are ordered by their size's draw, then
+by a hash of their text. Extra columns, also such as ``size`` or ``target``, are
+carried along by ``mixed_rows``; they may not be called ``_id``, ``_source``,
+``_size``, ``_text``, ``_draw`` or ``_row``.
 """
 
 from __future__ import annotations
@@ -25,10 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelight.llm.columns import WORD, read, word_count
+from sidelight.workspace import Workspace
 
 WEIGHTS = (5, 2, 1)
 BUDGET = (3, 2)  # words to take, as a fraction of all words
-BUCKETS_HEX = 3  # hex digits: 4096 buckets a source
+DIGITS = 3  # hex digits of a draw that make a bucket: 4096 of them
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs: int = 2) -> DataFrame:
@@ -61,29 +72,58 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, max_epochs:
     )
 
 
-def _planned(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, carry: tuple = ()) -> DataFrame:
-    """``_id``, ``_size``, ``_source_size``, ``_target``, ``_taken`` for each row, and the columns in ``carry``."""
-    sized = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), *carry)
+_KEY = ("_draw", "_id", "_text")
+
+
+def _of_source(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Each row with what ``ends`` (a row a source) says of its source."""
+    return rows.join(ends.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def _end_among(rows: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """Of groups ``by`` of a source's rows, in their order, the one in which the ``_need`` of ``ends`` is met:
+    a row a source, with what is needed of it, its words and its rows. No row where nothing is needed."""
+    sums = rows.groupBy("_source", *by).agg(F.sum("_size").alias("_in"), F.count("*").alias("_rows"))
+    ahead = Window.partitionBy("_source").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _of_source(sums.withColumn("_ahead", F.coalesce(F.sum("_in").over(ahead), F.lit(0))), ends.select("_source", "_need"))
+    met = placed.where((F.col("_need") > F.col("_ahead")) & (F.col("_need") <= F.col("_ahead") + F.col("_in")))
+    return met.select("_source", *by, (F.col("_need") - F.col("_ahead")).alias("_need"), "_rows")
+
+
+def _ends(lean: DataFrame, ws: Workspace) -> DataFrame:
+    """A row a source: ``_source_size``, ``_target``, ``_whole`` repetitions, and where the further one ends (``_end``, with ``_share`` words there)."""
+    first, second = (F.substring("_draw", 1 + k * DIGITS, DIGITS) for k in (0, 1))
+    coarse = lean.withColumn("_first", first)
+    targets = source_targets(lean.groupBy("_source").agg(F.sum("_size").alias("_source_size")))
+    whole = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0).cast("long")
+    targets = targets.withColumn("_whole", whole).withColumn("_need", F.round("_target").cast("long") - F.col("_whole") * F.col("_source_size"))
+    targets = ws.table(targets, "targets")
+
+    def inside(rows, end, by):  # the rows of the group where the end lies
+        marks = end.select(F.col("_source").alias("_s"), F.col(by).alias("_b"))
+        return rows.join(marks, F.col("_source").eqNullSafe(F.col("_s")) & (F.col(by) == F.col("_b"))).drop("_s", "_b")
+
+    one = ws.table(_end_among(coarse, targets, ["_first"]), "first")
+    fine = inside(coarse, one, "_first").withColumn("_second", second)
+    two = ws.table(_end_among(fine, one, ["_second"]), "second")
+    last = _end_among(inside(fine, two, "_second"), two, list(_KEY))
+    ends = last.select(F.col("_source").alias("_s"), F.struct(*_KEY).alias("_end"), F.floor(F.col("_need") / F.col("_rows")).alias("_share"))
+    return ws.table(targets.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "_need"), "ends")
+
+
+def _planned(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, whole_rows: bool = False) -> DataFrame:
+    """``_id``, ``_size``, ``_source_size``, ``_target``, ``_taken`` for each row, and the row itself as ``_row`` if asked for."""
+    text = F.col(text_col)
+    carried = [F.struct(*df.columns).alias("_row")] if whole_rows else []
+    sized = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text).alias("_size"), F.xxhash64(text).alias("_text"), *carried)
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_size").cast("string")).cast("binary"))
-    sized = sized.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, BUCKETS_HEX))
-    buckets = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_in_bucket"))
-    targets = source_targets(buckets.groupBy("_source").agg(F.sum("_in_bucket").alias("_source_size")))
-    up_to = Window.partitionBy("_b_source").orderBy("_b_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    on_source = F.col("_b_source").eqNullSafe(F.col("_source"))
-    ends = (
-        buckets.select(F.col("_source").alias("_b_source"), F.col("_bucket").alias("_b_bucket"), "_in_bucket")
-        .withColumn("_before", F.coalesce(F.sum("_in_bucket").over(up_to), F.lit(0)))
-        .join(targets, on_source).drop("_source")
-        .withColumn("_whole", F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0).cast("long"))
-        .withColumn("_need", F.round("_target").cast("long") - F.col("_whole") * F.col("_source_size") - F.col("_before"))
-    )
-    placed = sized.join(ends, F.col("_b_source").eqNullSafe(F.col("_source")) & (F.col("_b_bucket") == F.col("_bucket")))
-    inner = (F.col("_need") > 0) & (F.col("_need") < F.col("_in_bucket"))
-    ahead = Window.partitionBy("_source", "_bucket").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = placed.where(inner).withColumn("_ahead", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
-    cut = cut.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_need") - F.col("_ahead")))).drop("_ahead")
-    full = placed.where(~inner).withColumn("_extra", F.when(F.col("_need") > 0, F.col("_size")).otherwise(F.lit(0)))
-    return full.unionByName(cut).withColumn("_taken", (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long"))
+    drawn = sized.withColumn("_draw", draw)
+    ws = Workspace(df.sparkSession, "mixing")
+    lean = ws.table(drawn.drop("_row"), "drawn")
+    placed = _of_source(drawn if whole_rows else lean, _ends(lean, ws))
+    key = F.struct(*_KEY)
+    extra = F.when(key < F.col("_end"), F.col("_size")).when(key == F.col("_end"), F.col("_share")).otherwise(F.lit(0))
+    return placed.withColumn("_taken", (F.col("_whole") * F.col("_size") + F.when(F.col("_end").isNull(), F.lit(0)).otherwise(extra)).cast("long"))
 
 
 def mix_plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
@@ -98,7 +138,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     fractional one a row whose text holds its first words. A document without words stays once,
     as it costs nothing.
     """
-    plan = _planned(df, id_col, source_col, text_col, seed, carry=(F.struct(*df.columns).alias("_row"),))
+    plan = _planned(df, id_col, source_col, text_col, seed, whole_rows=True)
     size, taken = F.col("_size"), F.col("_taken")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(1).cast("int")
     part = F.when(size > 0, taken % size).otherwise(0).cast("int")

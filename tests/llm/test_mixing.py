@@ -71,3 +71,40 @@ def test_empty_table_and_null_sources(spark):
     assert mix_plan(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mix_plan(spark.createDataFrame([(1, None, "a b", 0), (2, None, None, 0)], SCHEMA)).collect()
     assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == [(1, 2, 2, 3.0, 3), (2, 0, 2, 3.0, 0)]
+
+
+def plain_taken(rows, seed=17):
+    """What each row gives, from the targets and the whole order of a source; equal rows are interchangeable."""
+    import hashlib
+
+    size = [len((t or "").split()) for _, _, t, _ in rows]
+    per = defaultdict(int)
+    for (_, s, _, _), n in zip(rows, size):
+        per[s] += n
+    target, out = filled(per), []
+    for s in per:
+        mine = [(hashlib.md5(f"{seed}:{'' if i is None else i}:{n}".encode()).hexdigest(), i is not None, i or 0, n) for (i, src, _, _), n in zip(rows, size) if src == s]
+        whole = int(float(target[s]) // per[s]) if per[s] else 0
+        need = round(float(target[s])) - whole * per[s]
+        for _, known, i, n in sorted(mine):
+            extra = max(0, min(n, need))
+            need -= extra
+            out.append((i if known else None, n, whole * n + extra))
+    return sorted(out, key=str)
+
+
+def test_words_taken_match_the_whole_order(spark):
+    rows = [(i, "abcd"[i % 7 % 4], "w " * (i * 37 % 41), 0) for i in range(600)] + [(1000 + i, None, "v " * i, 0) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(((r.doc_id, r.size, r.taken) for r in mix_plan(df).collect()), key=str) == plain_taken(rows)
+
+
+@pytest.mark.parametrize("rows", [[(4, "a", "x y z", 0)] * 50 + [(5, "b", "w " * 9, 0)], [(None, "a", "w " * (1 + i % 3), 0) for i in range(90)]])
+def test_rows_that_are_alike_share_the_end(spark, rows):
+    got = mix_plan(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(target[s] - len(rows) < taken[s] <= target[s] + 1 for s in taken)
