@@ -12,18 +12,22 @@ vectors; its k-th best score there is what any other annulus must be able to
 reach. Annuli are then taken in the order of their bounds, and all from the first
 that falls below are left out. The result is exact; the order of ties is by id.
 
-Pivots are fitted on at most ``SAMPLE`` vectors; every vector is indexed. There
-are at most ``PIVOTS`` x ``RINGS`` annuli, whose summary is all that is collected.
-An annulus, which may hold any share of the vectors (a third of them may be one
-vector), is cut into blocks of about ``BLOCK`` vectors by a hash of the id, the
-queries that visit it into blocks too, and blocks meet blocks as matrices. A task
-keeps the best k of each query it meets, so that little is shuffled for the final k.
+Pivots are fitted on at most ``SAMPLE`` vectors; every vector is indexed. Their
+number grows with the root of the number of vectors, from ``PIVOTS`` to
+``MOST_PIVOTS``, and there are ``RINGS`` annuli around each, whose summary is all
+that is collected. An annulus, which may hold any share of the vectors (a third of
+them may be one vector), is cut into blocks of about ``BLOCK_BYTES`` by a hash of
+the id, the queries that visit it into blocks too, and each two blocks meet as
+matrices under a key of their own, so that the join has as many keys as there are
+pairs of blocks. A task keeps the best k of each query it meets, so that little is
+shuffled for the final k.
 
 Defined results: a null vector, or one with a null or non-finite component, takes
 no part, nor does a row with a null id. Vectors of unequal length are compared as
 if the shorter went on with zeros. Rows with one id are one candidate if their
 vectors are equal, else several; a query's own id is no candidate. Scores are
-exact while below 2 ** 53. An empty table gives an empty table.
+exact while below 2 ** 53. Vectors of any length take part, in smaller blocks. An
+empty table gives an empty table. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +40,17 @@ from pyspark.sql import functions as F
 from sidelight.llm.columns import read
 from sidelight.workspace import Workspace
 
-PIVOTS, RINGS, SAMPLE, BLOCK, SCALE = 16, 4, 4096, 4096, 256
+PIVOTS, MOST_PIVOTS, RINGS, SAMPLE, SCALE = 16, 256, 4, 4096, 256
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+
+
+def pivots_for(n: int) -> int:
+    """16 for up to 16,384 vectors, then the root of their number by 8."""
+    return min(MOST_PIVOTS, max(PIVOTS, int(n**0.5 / 8)))
+
+
+def block_rows(width: int) -> int:
+    return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
 
 
 def quantised(vec):
@@ -82,8 +96,8 @@ def _squares(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 class PivotIndex:
     """Pivots and ring borders, and once all vectors are keyed, the annuli's summary."""
 
-    def __init__(self, sample: np.ndarray) -> None:
-        self.pivots = fit_pivots(sample)
+    def __init__(self, sample: np.ndarray, pivots: int = PIVOTS) -> None:
+        self.pivots = fit_pivots(sample, pivots)
         own, dist = self.nearest(sample) if len(sample) else (np.empty(0, int), np.empty(0))
         steps = np.linspace(0, 1, RINGS + 1)[1:-1]
         self.borders = np.array([np.quantile(dist[own == j], steps) if (own == j).any() else np.zeros(len(steps)) for j in range(len(self.pivots))])
@@ -161,7 +175,9 @@ def top_k(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: s
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     n = rows.count()
     some = rows.where(draw < int((1 << 30) * min(1.0, 1.2 * SAMPLE / max(n, 1)))).orderBy(draw, "id").limit(SAMPLE).select("v").collect()
-    index = PivotIndex(_matrix([np.array(r["v"], np.float64).tobytes() for r in some]))
+    index = PivotIndex(_matrix([np.array(r["v"], np.float64).tobytes() for r in some]), pivots_for(n))
+    widest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    block = block_rows(widest)
 
     def keyed(batches):
         for batch in batches:
@@ -176,16 +192,17 @@ def top_k(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: s
     table = ws.table(rows.distinct().mapInArrow(keyed, "id long, asks boolean, v binary, unit int, dist double, norm double"), "keyed")
     summary = table.groupBy("unit").agg(F.count("*").alias("n"), F.min("dist"), F.max("dist"), F.max("norm")).orderBy("unit").collect()
     index.annuli = [tuple(r) for r in summary]
-    blocks_of = {r["unit"]: -(-r["n"] // BLOCK) for r in summary}
+    units = [a[0] for a in index.annuli]
+    # a row an annulus: in how many blocks it is cut; MOST_PIVOTS x RINGS rows at most
+    cut = F.broadcast(df.sparkSession.createDataFrame([(r["unit"], -(-r["n"] // block)) for r in summary], "unit int, many long"))
 
-    def of_block(c):
-        if not blocks_of:
-            return F.lit(0).cast("long")
-        many = F.element_at(F.create_map(*(F.lit(x) for kv in blocks_of.items() for x in kv)), c("unit"))
-        return F.pmod(F.xxhash64(c("id"), F.lit(1)), many)
+    def packed(members: DataFrame, of: str, seed: int) -> DataFrame:
+        """Rows of ``unit``, ``id``, ``v`` and the number of blocks ``of`` their annulus, as a row a block."""
+        by_hash = F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).alias("block")
+        found = members.select("unit", by_hash, "id", "v").groupBy("unit", "block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+        return found.select("unit", "block", F.col("r.id").alias("ids"), F.col("r.v").alias("vecs"))
 
-    blocks = ws.table(table.withColumn("block", of_block(F.col)).groupBy("unit", "block").agg(F.collect_list(F.struct("id", "v")).alias("r")).select("unit", F.col("r.id").alias("ids"), F.col("r.v").alias("vecs")), "blocks")
-    units = [a[0] for a in index.annuli]
+    blocks = ws.table(packed(table.join(cut, "unit"), "many", 1), "blocks")
 
     def visits(bar: bool):
         """Which annuli a query visits: without a bar yet the one of the highest bound, then, from the
@@ -215,10 +232,13 @@ def top_k(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: s
         return run
 
     def searched(visiting: DataFrame, expected: int) -> DataFrame:
-        many = max(1, -(-expected // BLOCK))
-        packed = visiting.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(many))).groupBy("unit", "block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-        packed = packed.select("unit", F.col("r.id").alias("q_ids"), F.col("r.v").alias("q_vecs"))
-        return packed.join(blocks, "unit").select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+        asked = F.lit(max(1, -(-expected // block)))
+        # each block of queries goes to every block of its annulus, and each of those to every block of queries
+        theirs = packed(visiting.withColumn("asked", asked), "asked", 2).join(cut, "unit").select(
+            "unit", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"),
+        )
+        own = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), asked.cast("long") - 1)).alias("q_block"))
+        return theirs.join(own, ["unit", "block", "q_block"]).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
 
     asking = ws.table(table.where("asks").select("id", "v"), "queries")
     n_queries = asking.count()

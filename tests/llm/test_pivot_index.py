@@ -23,7 +23,7 @@ def brute_force(rows, k):
 
 @pytest.mark.parametrize("kind", ["spread", "clustered", "same", "few"])
 def test_exact(spark, kind, monkeypatch):
-    monkeypatch.setattr(pi, "BLOCK", 64)
+    monkeypatch.setattr(pi, "BLOCK_ROWS", 64)
     rng = random.Random(kind)
     n = 4 if kind == "few" else 600
     centers = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(5)]
