@@ -18,16 +18,21 @@ less than ``SMALL`` of its language's learning rows, or a single one, are neares
 to is left out: it would take odd rows as the rule. A text without a letter is
 always rejected.
 
-Learning takes at most ``TRAIN_ROWS`` rows of each language, chosen by a hash of
-the id, so that it fits the driver; language counts, thresholds and everything at
-prediction cover all rows and whole texts. The model is a bounded array
-(``BUCKETS`` x ``CENTROIDS`` numbers a language) that the tasks carry.
+Learning takes at most ``TRAIN_ROWS`` rows of each language, the first by a hash of
+id and text; rows equal in both are learned from once. Language counts, thresholds
+and everything at prediction cover all rows and whole texts. One pass draws the rows
+of all languages and counts their grams, which are written as a sparse table; how
+many rows hold a gram is an aggregation over it, and each language is clustered in a
+task of its own, on a dense array of ``TRAIN_ROWS`` x ``BUCKETS`` numbers at most. The
+driver sees neither texts nor counts of single rows, but the model: a bounded array
+(``BUCKETS`` x ``CENTROIDS`` numbers a language) that the tasks carry. Labels are
+languages; more than ``MAX_LANGUAGES`` of them are refused with an error.
 
 Defined results: a null text, or one without letters, gives ``und`` with score 0,
 rejected. Without learning rows every text does. Rows with a null id are never
 learned from. Ties between languages go to the first by name. Repeated rows and
-extra columns pass through; columns named like the added ones are replaced. An
-empty table gives an empty table.
+extra columns pass through; columns named like the added ones are replaced. A very
+long text is counted in pieces, as a whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,13 +42,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelight.llm.columns import read
 from sidelight.llm.memory import sliced
+from sidelight.workspace import Workspace
 
-BUCKETS, CENTROIDS, TRAIN_ROWS = 1 << 13, 4, 1500
+BUCKETS, CENTROIDS, TRAIN_ROWS, MAX_LANGUAGES = 1 << 13, 4, 1500, 1000
 SLACK, LOW, POOL, SMALL = 0.6, 0.01, 200, 0.02
 _BINS = 10_000  # of cosines, counted to find quantiles
 UND = "und"
@@ -124,20 +130,83 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_centroids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
     """Learns from the rows of ``df`` with id, text and language; at most ``TRAIN_ROWS`` of each language."""
+    ws = Workspace(df.sparkSession, "langid")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    samples: dict[str, list] = {}
-    for lang, n in sorted(counts.items()):
-        mine = rows.where((F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, 1.2 * TRAIN_ROWS / n))))
-        samples[lang] = [r["text"] for r in mine.orderBy(draw, "id", "text").limit(TRAIN_ROWS).toLocalIterator()]
-    model = _fit(samples)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} holds more than {MAX_LANGUAGES} values")
+    sample = ws.table(_sample(rows, counts), "sample")
+    model = _fit(sample)
+    ws.drop(sample)
     if model.languages:
         met = rows.select("lang", "text").mapInArrow(lambda batches: _own_cosines(model, batches), "class int, bin int, n long")
         model.low = _low(met.groupBy("class", "bin").agg(F.sum("n").alias("n")).collect())
     return model
 
 
+def _sample(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """``lang``, ``draw`` and the sparse counts of the rows to learn from, of all languages in one pass."""
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 62))
+    # about as many pass as are wanted, so that few texts are counted; small languages pass as a whole
+    share = [(lang, int((1 << 62) * min(1.0, 1.2 * TRAIN_ROWS / n))) for lang, n in counts.items()]
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(share, "lang string, bound long"))
+    drawn = rows.select(F.col("lang").cast("string").alias("lang"), "text", draw.alias("draw")).join(bounds, "lang").where("draw < bound")
+    told = drawn.select("lang", "draw", "text").mapInArrow(_sparse_counts, "lang string, draw long, at binary, counts binary")
+    once = told.groupBy("lang", "draw").agg(F.first("at").alias("at"), F.first("counts").alias("counts"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return once.withColumn("place", place).where(F.col("place") <= TRAIN_ROWS).drop("place")
+
+
+def _sparse_counts(batches):
+    """The grams of each text with a letter, as bucket numbers (16 bits) and counts (32)."""
+    for batch in sliced(batches, 2):
+        out: list = [[], [], [], []]
+        for lang, draw, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            counts, letters = ngram_counts(text.as_py())
+            if letters:
+                at = np.flatnonzero(counts)
+                for c, x in zip(out, (lang, draw, at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes())):
+                    c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "draw", "at", "counts"])
+
+
+def _holders(batches):
+    """How many of the rows hold each bucket; under bucket -1, how many rows there are."""
+    seen = np.zeros(BUCKETS + 1, np.int64)
+    for batch in batches:
+        for at in batch.column(0):
+            seen[np.frombuffer(at.as_py(), np.uint16)] += 1
+        seen[-1] += batch.num_rows
+    bucket = np.append(np.arange(BUCKETS), -1)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[seen > 0], pa.int32()), pa.array(seen[seen > 0])], names=["bucket", "n"])
+
+
+def _fit(sample: DataFrame) -> Centroids:
+    """Inverse document frequencies over all rows of the sample, then the centroids of each language in its own task."""
+    held = {r["bucket"]: r["n"] for r in sample.select("at").mapInArrow(_holders, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    seen = np.zeros(BUCKETS)
+    for bucket, n in held.items():
+        if bucket >= 0:
+            seen[bucket] = n
+    idf = np.log((1 + held.get(-1, 0)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+    model = Centroids([], np.zeros((0, BUCKETS), np.float32), idf, [0.0] * 32)
+
+    def clustered(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("draw", "ascending"), ("at", "ascending")])
+        x = np.zeros((table.num_rows, BUCKETS), np.float32)
+        for row, at, counts in zip(x, table.column("at"), table.column("counts")):
+            row[np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(counts.as_py(), np.uint32)
+            row[:] = model.vector(row)
+        vectors = [c.tobytes() for c in _cluster(x, CENTROIDS)]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(vectors), pa.string()), "place": pa.array(range(len(vectors)), pa.int32()), "vector": pa.array(vectors, pa.binary())})
+
+    found = sorted(sample.groupBy("lang").applyInArrow(clustered, "lang string, place int, vector binary").collect())
+    if found:
+        model.languages = [r["lang"] for r in found]
+        model.vectors = np.array([np.frombuffer(r["vector"], np.float32) for r in found])
+    return model
+
+
 def _own_cosines(model: Centroids, batches):
     """Counts of the binned cosines that labelled rows have with their own language, by length class."""
     of = {lang: model.vectors[[x == lang for x in model.languages]] for lang in set(model.languages)}
@@ -178,36 +247,6 @@ def _low(counted) -> list[float]:
     return low
 
 
-def _fit(samples: dict[str, list]) -> Centroids:
-    """Counts are kept sparse, and one language's vectors are dense at a time, to spare the driver."""
-    counted: dict[str, list] = {}
-    seen, total = np.zeros(BUCKETS), 0
-    for lang, texts in samples.items():
-        for t in texts:
-            counts, letters = ngram_counts(t)
-            if letters:
-                at = np.flatnonzero(counts)
-                counted.setdefault(lang, []).append((at.astype(np.uint16), counts[at].astype(np.uint32), letters))
-                seen[at] += 1
-                total += 1
-    idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-    model = Centroids([], np.zeros((0, BUCKETS), np.float32), idf, [0.0] * 32)
-    stacked, met = [], []
-    for lang in sorted(counted):
-        x = np.zeros((len(counted[lang]), BUCKETS), np.float32)
-        for row, (at, counts, _) in zip(x, counted[lang]):
-            row[at] = counts
-            row[:] = model.vector(row)
-        c = _cluster(x, CENTROIDS)
-        stacked.append(c)
-        model.languages += [lang] * len(c)
-        met += [(_length_class(letters), _bin(float(cos)), 1) for cos, (*_, letters) in zip(np.max(x @ c.T, axis=1), counted[lang])]
-    if stacked:
-        model.vectors = np.concatenate(stacked)
-    model.low = _low(met)
-    return model
-
-
 def with_language(df: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score``, ``rejected``, from ``text_col`` alone."""
     added = {"lang_pred": "string", "score": "double", "rejected": "boolean"}

@@ -52,8 +52,83 @@ def test_learning_reads_no_held_out_row(spark):
     assert a.languages == b.languages and np.allclose(a.vectors, b.vectors)
 
 
+def fitted(spark, samples):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in samples.items() for t in ts)]
+    return langid.fit_centroids(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def grams(text):
+    """Hashed counts by the stated rule, gram by gram."""
+    from collections import Counter
+
+    mask = (1 << 32) - 1
+
+    def code(gram):
+        a = [ord(c) * 0x9E3779B1 & mask for c in gram]
+        two = lambda x, y: ((x ^ 0x5BD1E995) * 0x85EBCA6B + y) & mask
+        h = a[0] if len(a) == 1 else two(*a[:2])
+        if len(a) == 3:
+            h = ((h ^ h >> 15) * 0xC2B2AE35 + a[2]) & mask
+        return ((h ^ h >> 13) * 0x27D4EB2F & mask) >> 19
+
+    return Counter(map(code, plain_counts(text)))
+
+
+def test_every_column_against_a_plain_version(spark, docs):
+    """TF-IDF vectors, centroids, cosines and rejection written out; one centroid a language, so that clustering is a mean."""
+    rng = random.Random(21)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 6))) for _ in range(rng.randrange(4, 40)))
+    labelled = [(text("abcdeé"), "a") for _ in range(40)] + [(text("defgh"), "b") for _ in range(40)]
+    seen = [grams(t) for t, _ in labelled]
+    idf = lambda g: np.log((1 + len(seen)) / (1 + sum(g in s for s in seen))) + 0.1
+    weight = {g: idf(g) for g in set().union(*seen)}
+
+    def vector(counts):
+        v = np.zeros(langid.BUCKETS)
+        for g, n in counts.items():
+            v[g] = np.log1p(n) * weight.get(g, np.log(1 + len(seen)) + 0.1)
+        return v / max(1e-12, np.linalg.norm(v))
+
+    mean = {}
+    for lang in "ab":
+        m = sum(vector(s) for s, (_, own) in zip(seen, labelled) if own == lang)
+        mean[lang] = m / np.linalg.norm(m)
+    own = sorted(int(min(1, mean[lang] @ vector(s)) * 10_000) for s, (_, lang) in zip(seen, labelled))
+    asked = [text("abcdeé"), text("defgh"), text("xyz"), text("abcdefgh"), "ab", "", None, "12 !"]
+    before = langid.CENTROIDS
+    langid.CENTROIDS = 1
+    try:
+        model = langid.fit_centroids(spark.createDataFrame([(i, *r) for i, r in enumerate(labelled)], "doc_id long, text string, lang string"))
+    finally:
+        langid.CENTROIDS = before
+    rows = {r.doc_id: r for r in langid.with_language(docs(asked), model).collect()}
+    shortest = min(sum(c.isalpha() for c in t).bit_length() for t, _ in labelled)
+    for i, t in enumerate(asked):
+        r = rows[i]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        cosines = {lang: float(m @ vector(grams(t))) for lang, m in mean.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r.lang_pred == best and r.score == pytest.approx(max(0, cosines[best]), abs=1e-4)
+        letters = sum(c.isalpha() for c in t).bit_length()
+        # fewer than POOL labelled rows are one class, whose quantile is the lowest cosine
+        assert r.rejected == (letters >= shortest and cosines[best] < langid.SLACK * own[0] / 10_000)
+
+
+def test_learning_is_bounded_and_of_distinct_rows(spark, monkeypatch):
+    rows = [(i % 7, f"cat {i % 7}", "en") for i in range(300)] + [(1000 + i, f"hund {'ab'[i % 2] * (i % 40)}", "de") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 50)
+    n = {r.lang: r["count"] for r in langid._sample(df, {"en": 300, "de": 400}).groupBy("lang").count().collect()}
+    assert n["en"] <= 7 and 30 < n["de"] <= 50
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit_centroids(df.withColumnRenamed("id", "doc_id"))
+
+
 def test_defined_cases(spark, docs):
-    model = langid._fit({"en": ["the cat sat on the mat " * 3] * 4, "de": ["der hund und die katze " * 3] * 4})
+    model = fitted(spark, {"en": ["the cat sat on the mat " * 3] * 4, "de": ["der hund und die katze " * 3] * 4})
     df = docs([None, "", "12 %% 3", "the cat", "der hund", "the cat"]).withColumnRenamed("kept", "score")
     out = langid.with_language(df, model)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "rejected"]
@@ -71,7 +146,7 @@ def test_without_learning_rows(spark, docs):
 def test_far_texts_are_rejected(spark, docs):
     rng = random.Random(1)
     word = lambda letters: "".join(rng.choices(letters, k=5))
-    model = langid._fit({"a": [" ".join(word("abcde") for _ in range(60)) for _ in range(30)], "b": [" ".join(word("fghij") for _ in range(60)) for _ in range(30)]})
+    model = fitted(spark, {"a": [" ".join(word("abcde") for _ in range(60)) for _ in range(30)], "b": [" ".join(word("fghij") for _ in range(60)) for _ in range(30)]})
     near, far = " ".join(word("abcde") for _ in range(60)), " ".join(word("uvwxyz") for _ in range(60))
     assert [r.rejected for r in sorted(langid.with_language(docs([near, far]), model).collect())] == [False, True]
 
