@@ -5,12 +5,16 @@ hash is the largest of any ``WITHIN`` words in a row (the last of equals) ends a
 chunk: the ``CHUNK_WORDS`` words up to it. Chunks overlap, and which are taken
 depends on nearby bytes alone.
 
-A chunk whose digest more than one document holds is a repeat, and repeats that
-overlap or touch are a run. ``CHUNK_WORDS + WITHIN - 1`` whole words (49) that two
-documents share hold ``WITHIN`` ends of chunks, all of whose bytes are shared, and
-so a chunk that both take: a passage of 51 words is always found, also where its
-first and last word are glued to something else. Shorter passages of at least
-``CHUNK_WORDS`` words are found by chance.
+A chunk whose 128-bit digest more than one document holds is a repeat. Two repeats of
+a document whose ends are at most ``WITHIN`` words apart are joined if another document
+holds them at the same distance, so that a run is not pieced together from what
+different documents hold; repeats that are joined are a run, with what lies between.
+``CHUNK_WORDS + WITHIN - 1`` whole words (49) that two documents share hold ``WITHIN``
+ends of chunks, all of whose bytes are shared, and so a chunk that both take; in a
+longer passage the chunks that both take follow each other at ``WITHIN`` words or less,
+and are joined. So a passage of 51 words is always found, also where its first and
+last word are glued to something else. Shorter passages of at least ``CHUNK_WORDS``
+words are found by chance; the query leaves out what is below ``SURE_WORDS``.
 
 Each end of a run is then extended by the words it shares with one other holder
 of its outermost chunk, the smallest id or, in that itself, the largest; that is
@@ -18,14 +22,17 @@ fewer than ``WITHIN`` words, or another chunk would be there. In the smallest id
 that holds a chunk, the chunk is the original; elsewhere it is a copy.
 
 Digests, ids and positions are shuffled, and each text once by its id, for the
-ends. Digests are counted with map-side
-combine; those that repeat are a table of their own, and adaptive execution
+ends. Digests are counted with map-side combine, as are those of joined pairs, which
+repeats alone have; those that repeat are a table of their own, and adaptive execution
 splits a passage that a third of all documents hold.
 
-Defined results: a text of fewer than ``CHUNK_WORDS`` words has no chunk. Rows with one id are one
-document, so what they share with each other is no repeat; rows equal in id and
-text are reported once. Rows with a null id take no part. An empty table gives an
-empty table.
+Defined results: a text of fewer than ``CHUNK_WORDS`` words has no chunk; a text of
+any length is read as a whole. Rows with one id are one document, so what they share
+with each other is no repeat; rows equal in id and text are reported once. Of several
+holders the smallest id is the first, and of several places in it the first one. Rows
+with a null id take no part, nor have null or empty texts a chunk. An empty table gives
+an empty table. Extra columns are not read; ``drop_repeated_runs`` carries them along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ from sidelight.workspace import Workspace
 
 CHUNK_WORDS, WITHIN = 37, 13
 MIN_WORDS = CHUNK_WORDS
-REACH, LONGEST = 24, 128  # of cuts()
+SURE_WORDS = CHUNK_WORDS + WITHIN - 1  # whole words of a passage that is always found
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -56,34 +63,6 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _highest_after(h: np.ndarray, n: int) -> np.ndarray:
-    """At each place, the largest of the n values after it; 0 beyond the end."""
-    padded = np.concatenate((h[1:], np.zeros(n + 1, h.dtype)))
-    out, width = padded, 1
-    while 2 * width <= n:
-        out = np.maximum(out[:-width], out[width:])
-        width *= 2
-    return np.maximum(out[: len(h)], out[n - width : n - width + len(h)])
-
-
-def cuts(data: bytes) -> np.ndarray:
-    """The ends of the chunks of ``data``, the last at its end."""
-    n = len(data)
-    if not n:
-        return np.empty(0, np.int64)
-    h = gear_hashes(np.frombuffer(data, np.uint8))
-    after = _highest_after(h, REACH)
-    before = _highest_after(h[::-1], REACH)[::-1]
-    ends = np.flatnonzero((h > before) & (h >= after)) + 1
-    if not len(ends) or ends[-1] != n:
-        ends = np.append(ends, n)
-    gaps = np.diff(ends, prepend=0)
-    if gaps.max() <= LONGEST:
-        return ends
-    out = [np.append(np.arange(e - g + LONGEST, e, LONGEST), e) for e, g in zip(ends.tolist(), gaps.tolist())]
-    return np.concatenate(out)
-
-
 def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The first byte of each word, and the byte after it."""
     edges = np.diff(np.concatenate(([True], _SPACE[np.frombuffer(data, np.uint8)], [True])).astype(np.int8))
@@ -103,9 +82,9 @@ def word_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _chunks(batches):
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-    names = ["doc", "row", "word", "start", "end", "digest"]
+    names = ["doc", "row", "word", "start", "end", "d1", "d2"]
     for batch in batches:
         cols: list[list] = [[] for _ in names]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -114,31 +93,47 @@ def _chunks(batches):
             if not len(word):
                 continue
             view = memoryview(data)
-            cols[0].append(np.full(len(word), doc, np.int64))
-            cols[1].append(np.full(len(word), xxh3_64_intdigest(data), np.uint64).view(np.int64))
-            cols[2].append(word)
-            cols[3].append(starts)
-            cols[4].append(ends)
-            cols[5].append(np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64))
+            digests = b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
+            both = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+            row = np.full(len(word), xxh3_64_intdigest(data), np.uint64).view(np.int64)
+            for c, x in zip(cols, (np.full(len(word), doc, np.int64), row, word, starts, ends, both[:, 0], both[:, 1])):
+                c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for c in cols], names=names)
 
 
+def _joined(ws: Workspace, found: DataFrame) -> DataFrame:
+    """``found`` with ``island``: repeats that another document holds at the same distance, and those between, have one."""
+    by_word = Window.partitionBy("doc", "row").orderBy("word")
+    near = F.collect_list(F.struct("word", "digest")).over(by_word.rangeBetween(-WITHIN, -1))
+    pairs = found.withColumn("near", near).select("doc", "row", "word", "digest", F.explode("near").alias("p"))
+    pairs = pairs.select(
+        "doc", "row", "word", F.col("p.word").alias("back"),
+        F.xxhash64("digest", "p.digest", F.col("word") - F.col("p.word")).alias("h1"), F.xxhash64(F.lit(5), "p.digest", "digest", F.col("word") - F.col("p.word")).alias("h2"),
+    )
+    pairs = ws.table(pairs, "pairs")
+    shared = ws.table(pairs.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h1", "h2"), "joined")
+    # how far back a repeat is joined; the window looks as far ahead as a join can reach
+    reach = pairs.join(shared, ["h1", "h2"]).groupBy("doc", "row", "word").agg(F.min("back").alias("back"))
+    spanned = F.min("back").over(by_word.rangeBetween(0, WITHIN))
+    apart = ~F.coalesce(spanned <= F.lag("word").over(by_word), F.lit(False))
+    marked = found.join(reach, ["doc", "row", "word"], "left").withColumn("apart", apart.cast("int"))
+    return marked.withColumn("island", F.sum("apart").over(by_word)).drop("back", "apart")
+
+
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id``, ``start_byte``, ``end_byte``, ``n_words``, ``n_chunks``, ``first_doc`` (the smallest
     id that holds a chunk of the run), ``kept`` (all of the run is original here), and ``row``, a hash
     of the text; a row for each run of repeated chunks."""
     ws = Workspace(df.sparkSession, "chunks")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    chunks = ws.table(docs.mapInArrow(_chunks, "doc long, row long, word long, start long, end long, digest long"), "chunks")
-    repeats = ws.table(chunks.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "repeats")
-    found = ws.table(chunks.join(repeats, "digest").dropDuplicates(["doc", "row", "word"]), "found")
+    chunks = ws.table(docs.mapInArrow(_chunks, "doc long, row long, word long, start long, end long, d1 long, d2 long"), "chunks")
+    repeats = ws.table(chunks.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "repeats")
+    found = chunks.join(repeats, ["d1", "d2"]).dropDuplicates(["doc", "row", "word"])
+    found = ws.table(found.select("doc", "row", "word", "start", "end", F.struct("d1", "d2").alias("digest"), "first", "last"), "found")
     ws.drop(chunks, repeats)
-    by_word = Window.partitionBy("doc", "row").orderBy("word")
-    apart = F.col("word") - F.lag("word").over(by_word) > CHUNK_WORDS
-    islands = found.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("island", F.sum("apart").over(by_word))
     mate = F.when(F.col("first") == F.col("doc"), F.col("last")).otherwise(F.col("first"))
     runs = ws.table(
-        islands.groupBy("doc", "row", "island").agg(
+        _joined(ws, found).groupBy("doc", "row", "island").agg(
             F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.min("word").alias("from"), (F.max("word") + CHUNK_WORDS).alias("to"),
             F.count("*").alias("n_chunks"), F.min("first").alias("first_doc"), F.min(F.col("first") == F.col("doc")).alias("kept"),
             F.min_by("digest", "word").alias("digest_l"), F.min_by(mate, "word").alias("mate_l"), F.max_by("digest", "word").alias("digest_r"), F.max_by(mate, "word").alias("mate_r"),
@@ -240,10 +235,13 @@ def drop_repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return pd.Series([one(t, c) for t, c in zip(text, found)], dtype=object)
 
-    keyed = df.withColumn("_key", row_hash(F.col(text_col)))
-    joined = keyed.join(spans, (keyed[id_col] == spans["_doc"]) & (keyed["_key"] == spans["_row"]), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_spans")))).select(*df.columns)
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_of"))  # so that no name of df's meets one of ours
+    keyed = whole.withColumn("_key", row_hash(F.col("_of")[text_col]))
+    joined = keyed.join(spans, (F.col("_of")[id_col].cast("long") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left")
+    text = F.col("_of")[text_col]
+    cut = F.when(F.col("_spans").isNull(), text).otherwise(without(text, F.col("_spans")))
+    return joined.select(*(cut.alias(c) if c == text_col else F.col("_of")[c].alias(c) for c in df.columns))
 
 
 def op3_chunk_dedup(spark, sf_dir):
-    return repeated_runs(read(spark, sf_dir, "documents")).drop("row")
+    return repeated_runs(read(spark, sf_dir, "documents"), min_words=SURE_WORDS).drop("row")

@@ -1,47 +1,136 @@
 import random
+import re
 
-import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sidelight.llm import chunk_dedup as cd
 
 
-def plain_cuts(data):
-    """The rule stated byte by byte."""
-    n = len(data)
-    h = [sum(int(cd._GEAR[data[i - k]]) << k for k in range(min(32, i + 1))) % (1 << 32) for i in range(n)]
-    ends = []
-    for i in range(n):
-        left, right = h[max(0, i - cd.REACH) : i], h[i + 1 : i + 1 + cd.REACH]
-        if h[i] > max(left, default=0) and h[i] >= max(right, default=0):
-            ends.append(i + 1)
-    if n and (not ends or ends[-1] != n):
-        ends.append(n)
-    out, last = [], 0
-    for e in ends:
-        while e - last > cd.LONGEST:
-            last += cd.LONGEST
-            out.append(last)
-        out.append(e)
-        last = e
-    return out
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.one_of(st.binary(max_size=400), st.integers(0, 3000).map(lambda n: b"a" * n)))
-def test_cuts_follow_the_rule(data):
-    assert cd.cuts(data).tolist() == plain_cuts(data)
-
-
-def test_cuts_resist_shifts():
-    rng = np.random.default_rng(2)
-    data = bytes(rng.integers(97, 123, 20_000, np.uint8))
-    whole = {data[a:b] for a, b in zip([0, *cd.cuts(data)], cd.cuts(data))}
-    moved = data[:5000] + b"inserted" + data[5000:]
-    ends = cd.cuts(moved).tolist()
-    new = [moved[a:b] for a, b in zip([0, *ends], ends) if moved[a:b] not in whole]
-    assert len(new) <= 5
+def plain_chunks(text):
+    """The rule stated word by word: (number of the first word, first byte, end byte)."""
+    data, words, at = text.encode(), [], 0
+    space = b" \t\n\x0b\x0c\r"
+    while at < len(data):
+        if data[at] in space:
+            at += 1
+            continue
+        end = at
+        while end < len(data) and data[end] not in space:
+            end += 1
+        words.append((at, end))
+        at = end
+    hashes = []
+    for _, end in words[cd.CHUNK_WORDS - 1 :]:
+        window = data[max(0, end - 32) : end]
+        hashes.append(sum(int(cd._GEAR[b]) << (len(window) - 1 - k) for k, b in enumerate(window)) % (1 << 32))
+    width, out = min(cd.WITHIN, len(hashes)), set()
+    for k in range(len(hashes) - width + 1 if hashes else 0):
+        some = hashes[k : k + width]
+        out.add(k + max(i for i, h in enumerate(some) if h == max(some)))
+    return [(w, words[w][0], words[w + cd.CHUNK_WORDS - 1][1]) for w in sorted(out)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="abcé ", min_size=1, max_size=6), max_size=120))
+def test_chunks_follow_the_rule(words):
+    text = "\n".join(words)
+    assert list(zip(*(x.tolist() for x in cd.word_chunks(text.encode())))) == plain_chunks(text)
+
+
+def plain_runs(rows, min_words):
+    """Every column of every run, from lists of chunks; rows are (id, text)."""
+    from collections import defaultdict
+
+    distinct = sorted({(i, t) for i, t in rows if i is not None and t})
+    chunks = {(i, t): [(w, a, b, t.encode()[a:b]) for w, a, b in plain_chunks(t)] for i, t in distinct}
+    holders = defaultdict(set)
+    for (i, _), cs in chunks.items():
+        for *_, bytes_ in cs:
+            holders[bytes_].add(i)
+    found = {k: [c for c in cs if len(holders[c[3]]) > 1] for k, cs in chunks.items()}
+    pairs = defaultdict(set)
+    near = lambda cs: [(x, y) for y in cs for x in cs if 0 < y[0] - x[0] <= cd.WITHIN]
+    for (i, _), cs in found.items():
+        for x, y in near(cs):
+            pairs[x[3], y[3], y[0] - x[0]].add(i)
+    out = []
+
+    def beside(t, word, left):
+        """Words before or after a place with the space between, nearest first."""
+        data = t.encode()
+        edges = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", data)]
+        marks = [e[0] for e in edges[max(0, word - cd.WITHIN) : word + 1]][::-1] if left else [e[1] for e in edges[word - 1 : word + cd.WITHIN]]
+        return [(data[min(x, y) : max(x, y)], y) for x, y in zip(marks, marks[1:])]
+
+    for (i, t), cs in found.items():
+        links = [(x[0], y[0]) for x, y in near(cs) if len(pairs[x[3], y[3], y[0] - x[0]]) > 1]
+        run: list = []
+        for k, c in enumerate(cs):
+            if run and not any(a <= cs[k - 1][0] and c[0] <= b for a, b in links):
+                out.append((i, t, run))
+                run = []
+            run.append(c)
+        if run:
+            out.append((i, t, run))
+    result = []
+    for i, t, run in out:
+        ends = []
+        for left, c in ((True, run[0]), (False, run[-1])):
+            have = holders[c[3]]
+            mate = max(have) if min(have) == i else min(have)
+            places = []
+            for (j, u), cs in found.items():
+                if j == mate:
+                    signed = xxhash.xxh3_64_intdigest(u.encode())
+                    signed -= (1 << 64) if signed >> 63 else 0
+                    places += [(signed, d[0], u) for d in cs if d[3] == c[3]]
+            _, at, u = min(places)
+            word, theirs = (c[0], at) if left else (c[0] + cd.CHUNK_WORDS, at + cd.CHUNK_WORDS)
+            n, byte = 0, None
+            for (x, end), (y, _) in zip(beside(t, word, left), beside(u, theirs, left)):
+                if x != y:
+                    break
+                n, byte = n + 1, end
+            ends.append((n, byte))
+        words = run[-1][0] + cd.CHUNK_WORDS - run[0][0] + ends[0][0] + ends[1][0]
+        firsts = [min(holders[c[3]]) for c in run]
+        if words >= min_words:
+            result.append((i, ends[0][1] if ends[0][0] else run[0][1], ends[1][1] if ends[1][0] else run[-1][2], words, len(run), min(firsts), all(f == i for f in firsts)))
+    return sorted(result)
+
+
+def test_every_column_against_brute_force(spark, docs):
+    rng = random.Random(31)
+    pool = [passage(rng, n) for n in (20, 38, 45, 51, 70, 140)]
+    texts = [" ".join(x for _ in range(rng.randrange(1, 4)) for x in (passage(rng, rng.randrange(0, 50)), rng.choice(pool))) for _ in range(50)]
+    texts += [None, "", "x " * 90, "x " * 70, texts[0], texts[3]]
+    ids = [*range(50), 60, 61, 62, 63, 0, None]
+    ids[7] = 6  # one id, two texts
+    columns = "doc_id", "start_byte", "end_byte", "n_words", "n_chunks", "first_doc", "kept"
+    for least in (cd.MIN_WORDS, cd.SURE_WORDS):
+        got = sorted(tuple(r[c] for c in columns) for r in cd.repeated_runs(docs(texts, ids), min_words=least).collect())
+        assert got == plain_runs(list(zip(ids, texts)), least) and len(got) > 20
+
+
+def test_a_run_is_not_pieced_together(spark, docs):
+    """Two passages that stand side by side in one document, and apart in others, are two runs, too short to report."""
+    rng = random.Random(32)
+    a, b = passage(rng, 40), passage(rng, 40)
+    texts = [f"{passage(rng, 30)} {a} {b} {passage(rng, 30)}", f"{passage(rng, 30)} {a} {passage(rng, 30)}", f"{passage(rng, 30)} {b} {passage(rng, 30)}"]
+    assert cd.repeated_runs(docs(texts), min_words=cd.SURE_WORDS).collect() == []
+    together = texts + [f"{passage(rng, 30)} {a} {b} {passage(rng, 30)}"]
+    assert {r.doc_id for r in cd.repeated_runs(docs(together), min_words=cd.SURE_WORDS).collect()} == {0, 3}
+
+
+def test_clashing_columns_pass(spark):
+    rng = random.Random(33)
+    t = passage(rng, 80)
+    df = spark.createDataFrame([(1, t, 5, "s"), (2, t, 6, "s"), (None, t, 7, "s")], "doc_id long, text string, _key long, _spans string")
+    out = cd.drop_repeated_runs(df)
+    assert out.columns == df.columns
+    assert sorted((r._key, r.text) for r in out.collect()) == [(5, t), (6, ""), (7, t)]
 
 
 def passage(rng, n):
