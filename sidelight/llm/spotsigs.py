@@ -32,8 +32,8 @@ from sidelight.llm.columns import read
 from sidelight.workspace import Workspace
 
 CHAIN = 2
-RANGE_ROWS, RANGE_CHARS = 20_000, 1 << 26  # of the rows that one window orders, about
-MAX_RANGES, PER_RANGE = 1 << 16, 16  # at most so many ranges, whose borders come from so many sampled keys each
+RANGE_ROWS, RANGE_CHARS = 4000, 1 << 23  # of the rows that one window orders, about
+MAX_RANGES, PER_RANGE = 1 << 14, 16  # at most so many ranges, whose borders come from so many sampled keys each
 
 # Common words of English, German, French and Spanish.
 ANCHORS = """
