@@ -17,13 +17,17 @@ popular of the buckets' leaders (of the largest buckets together, as the text
 that others were copied from is); what is linked then is one component. After
 that only buckets that still hold several components go on, and only pairs
 across components. Buckets of up to ``SMALL`` sets make their few pairs in a
-join. Larger ones are cut into blocks of at most about ``BLOCK`` sets, and each
-two blocks meet on their minima alone, as matrices; a pair is taken up in the first
-band that it shares, so once. What survives is dealt into cells of about ``CELL``
-sets of a bucket, to which only the texts that a survivor asks for are joined; a cell
-gives back no more links than connect its sets. No pair is skipped but those already
-connected. A bucket of n sets so moves n * n / ``BLOCK`` rows of minima, but texts only
-for survivors: a template that many unlike documents share moves none.
+join. Larger ones are cut into blocks of about ``BLOCK`` sets, and each two blocks
+meet on their minima alone, as matrices; a pair is taken up in the first band that
+it shares, so once. They meet twice. The first time a set gives back only the one
+that it has most minima in common with, which joins most of what belongs together.
+The second time the rest is compared to the end: blocks give back, not pairs, but
+which of their sets have a survivor in another component, by cells of about ``CELL``
+sets. To those alone texts are joined; a cell finds its survivors again, verifies
+them, and gives back no more links than connect its sets. No pair is skipped but
+those already connected. A bucket of n sets so moves n * n / ``BLOCK`` rows of minima,
+and a text only to cells where it has a survivor that no link has reached: a template
+that many unlike documents share moves none.
 
 Disk holds the minima, the band keys and the texts of bucketed sets once each.
 All steps are joins and combining aggregations over written tables; nothing is
@@ -58,7 +62,7 @@ from sidelight.workspace import Workspace
 WIDTH, BANDS, ROWS, STEP = 5, 25, 5, 16
 MINIMA = 128  # the bands use 125, the Bayesian test all
 MISS = 1e-6
-SMALL, BLOCK, CELL = 16, 1024, 256
+SMALL, BLOCK, CELL = 16, 1024, 256  # a block is BLOCK // CELL cells
 _STRIPE = 128  # rows of a block whose pairs are compared at a time
 _RNG = np.random.default_rng(20240501)
 _MUL = _RNG.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)
@@ -133,41 +137,77 @@ def _fingerprints(batches):
         )
 
 
-def _block_survivors(percent: int):
-    """The pairs across components, of one block or between two, that are first met in its band and may be links."""
+def _survivors_in(table: pa.Table, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows of one block, or of two, the pairs (i, j) across components that are first met in its band and
+    pass the sequential test, with their matches."""
+    docs, side, comp = (table.column(c).to_numpy() for c in ("doc", "side", "component"))
+    band, sigs = table.column("band")[0].as_py(), _minima_of(table.column("sig"))
+    alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    n = len(docs) if alone else int((side == 0).sum())
+    met = [[np.empty(0, np.int64)] * 3]
+    for at in range(0, n, _STRIPE):
+        rows = np.arange(at, min(n, at + _STRIPE))
+        i, j = (x.ravel() for x in np.meshgrid(rows, np.arange(at if alone else n, len(docs)), indexing="ij"))
+        open_ = (comp[i] != comp[j]) & (i < j)
+        i, j = i[open_], j[open_]
+        keep, matches = _likely(sigs, sigs, i, j, least)
+        i, j = i[keep], j[keep]
+        same = (sigs[i, : BANDS * ROWS] == sigs[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(axis=2)
+        here = same.any(axis=1) & (same.argmax(axis=1) == band)
+        met.append([i[here], j[here], matches[here].astype(np.int64)])
+    i, j, matches = (np.concatenate(c) for c in zip(*met))
+    return i, j, matches
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.combine_chunks().sort_by([("side", "ascending"), ("doc", "ascending")])
+
+
+def _nearest(percent: int):
+    """For each set of a block with a survivor, the one it has most minima in common with, the smallest id of equals."""
     least = least_matches(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("side", "ascending"), ("doc", "ascending")])
-        docs, side, comp = (table.column(c).to_numpy() for c in ("doc", "side", "component"))
-        key, band, cells = (table.column(c)[0].as_py() for c in ("key", "band", "cells"))
-        sigs = _minima_of(table.column("sig"))
-        alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        n = len(docs) if alone else int((side == 0).sum())
-        met: list = []
-        for at in range(0, n, _STRIPE):
-            rows = np.arange(at, min(n, at + _STRIPE))
-            i, j = (x.ravel() for x in np.meshgrid(rows, np.arange(at if alone else n, len(docs)), indexing="ij"))
-            open_ = (comp[i] != comp[j]) & (i < j)
-            i, j = i[open_], j[open_]
-            keep, matches = _likely(sigs, sigs, i, j, least)
-            i, j = i[keep], j[keep]
-            same = (sigs[i, : BANDS * ROWS] == sigs[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(axis=2)
-            here = same.any(axis=1) & (same.argmax(axis=1) == band)
-            met.append((docs[i[here]], docs[j[here]], comp[i[here]], comp[j[here]], matches[here]))
-        a, b, ca, cb, matches = (np.concatenate(c) for c in zip(*met)) if met else [np.empty(0, np.int64)] * 5
+        table = _sorted(table)
+        docs = table.column("doc").to_numpy()
+        i, j, matches = _survivors_in(table, least)
+        own, other, both = docs[np.append(i, j)], docs[np.append(j, i)], np.append(matches, matches)
+        order = np.lexsort((other, -both, own))
+        first = order[np.flatnonzero(np.diff(own[order], prepend=np.int64(-1) if not len(own) else own[order[0]] - 1))]
+        return pa.table({"doc": own[first], "other": other[first], "matches": both[first]})
+
+    return run
+
+
+def _with_survivors(percent: int):
+    """The sets of a block that have a survivor, once for each pair of cells where they do."""
+    least = least_matches(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _sorted(table)
+        docs, comp, cell = (table.column(c).to_numpy() for c in ("doc", "component", "cell"))
+        i, j, _ = _survivors_in(table, least)
+        low, high = np.minimum(cell[i], cell[j]), np.maximum(cell[i], cell[j])
+        met = np.unique(np.stack([np.append(low, low), np.append(high, high), np.append(i, j)], axis=1).reshape(-1, 3), axis=0)
+        low, high, at = met.T
+        key, band = (np.full(len(at), table.column(c)[0].as_py()) for c in ("key", "band"))
         return pa.table({
-            "key": pa.array(np.full(len(a), key), pa.int64()), "cells": pa.array(np.full(len(a), cells), pa.int32()), "a": a, "b": b,
-            "comp_a": ca, "comp_b": cb, "matches": pa.array(matches, pa.int32()),
+            "key": pa.array(key, pa.int64()), "band": pa.array(band, pa.int32()), "i": pa.array(low, pa.int32()), "j": pa.array(high, pa.int32()),
+            "doc": docs[at], "component": comp[at], "side": pa.array((cell[at] != low).astype(np.int32)),
         })
 
     return run
 
 
 def _cell_links(percent: int):
-    """Verifies a cell's pairs by falling matches, on full sets; those it has connected meanwhile are passed over."""
+    """Verifies the survivors of a cell, or between two, by falling matches, on full sets; what it has connected meanwhile is passed over."""
+    least = least_matches(percent)
 
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    def run(table: pa.Table, texts: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        table = _sorted(table)
+        docs, comp = table.column("doc").to_pylist(), table.column("component").to_pylist()
         rows_of: dict = {}
         for k, d in enumerate(texts.column("doc").to_pylist()):
             rows_of.setdefault(d, []).append(k)
@@ -183,13 +223,14 @@ def _cell_links(percent: int):
                 sets[doc] = [shingles(column[k].as_py()) for k in rows_of[doc]]
             return sets[doc]
 
-        best_first = pairs.sort_by([("matches", "descending"), ("a", "ascending"), ("b", "ascending")])
-        for x, y, cx, cy in zip(*(best_first.column(c).to_pylist() for c in ("a", "b", "comp_a", "comp_b"))):
-            a, b = find(cx), find(cy)
-            if a != b and any(similar(s, t, percent) for s in sets_of(x) for t in sets_of(y)):
+        i, j, matches = _survivors_in(table, least)
+        order = np.argsort(-matches, kind="stable")
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            a, b = find(comp[x]), find(comp[y])
+            if a != b and any(similar(s, t, percent) for s in sets_of(docs[x]) for t in sets_of(docs[y])):
                 root[max(a, b)] = min(a, b)
-                out[0].append(min(x, y))
-                out[1].append(max(x, y))
+                out[0].append(min(docs[x], docs[y]))
+                out[1].append(max(docs[x], docs[y]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
@@ -267,34 +308,39 @@ def _links_of_pairs(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent
     )
 
 
-def _survivors_of_blocks(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components inside large buckets that pass the sequential test; ``members``: key, band, n, doc, component."""
-    many = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), F.col("many")).cast("int")
-    dealt = members.withColumn("many", many).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+def _in_blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members of large buckets (key, band, n, doc, component) and their minima, dealt to each two blocks that meet."""
+    cells = max(1, BLOCK // CELL)
+    many = F.ceil(F.col("n") / (cells * CELL)).cast("int")
+    dealt = members.withColumn("many", many).withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("many") * cells).cast("int"))
+    dealt = dealt.withColumn("mine", F.floor(F.col("cell") / cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     dealt = dealt.select(
-        "key", "band", F.ceil(F.col("n") / CELL).cast("int").alias("cells"), "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"),
+        "key", "band", "cell", "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"),
     )
-    kinds = "key long, cells int, a long, b long, comp_a long, comp_b long, matches int"
-    return dealt.join(sigs, "doc").groupBy("key", "i", "j").applyInArrow(_block_survivors(percent), kinds)
+    return dealt.join(sigs, "doc")
+
 
+def _nearest_pairs(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """For each set with a survivor in its buckets, the pair (a, b) with its nearest one: as many as there are sets, at most."""
+    near = _in_blocks(members, sigs).groupBy("key", "i", "j").applyInArrow(_nearest(percent), "doc long, other long, matches long")
+    best = near.groupBy("doc").agg(F.max_by("other", F.struct("matches", -F.col("other"))).alias("other"))
+    return best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
-def _in_cells(survivors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs with their cell (key, i, j), and the documents whose texts each cell needs."""
-    cell = {c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("cells")).cast("int") for c in ("a", "b")}
-    pairs = survivors.withColumns({"i": F.least(*cell.values()), "j": F.greatest(*cell.values())}).drop("cells")
-    return pairs, pairs.select("key", "i", "j", F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+def _met_sets(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Which sets still have survivors in other components, by pairs of cells (key, i, j)."""
+    kinds = "key long, band int, i int, j int, doc long, component long, side int"
+    return _in_blocks(members, sigs).groupBy("key", "i", "j").applyInArrow(_with_survivors(percent), kinds)
 
 
 def _links_of_blocks(ws: Workspace, members: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links across components inside large buckets, no more than connect the sets of a cell."""
-    survivors = ws.table(_survivors_of_blocks(members, sigs, percent), "survivors")
-    pairs, needed = _in_cells(survivors)
-    # both read anew, as a join of a table's own columns with each other would be ambiguous
-    asked = ws.table(needed.join(texts, "doc").select("key", "i", "j", "doc", "text"), "asked")
+    met = ws.table(_met_sets(members, sigs, percent), "met")
     cell = "key", "i", "j"
-    return pairs.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_cell_links(percent), "a long, b long")
+    # tables of their own, as the sides of a cogroup that come from one table would be ambiguous
+    asked = ws.table(met.select(*cell, "doc").distinct().join(texts, "doc").select(*cell, "doc", "text"), "asked")
+    compared = met.join(sigs, "doc").select(*cell, "band", "doc", "component", "side", "sig")
+    return compared.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_cell_links(percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -328,19 +374,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def components(found):
         return ws.table(connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), ws), "labels")
 
+    def open_buckets(labels):
+        """Buckets that hold several components, with their members'."""
+        placed = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return ws.table(placed.join(ws.table(mixed, "mixed"), "key", "left_semi"), "open")
+
     labels = components(links)
-    placed = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    mixed = ws.table(mixed, "mixed")
-    open_ = ws.table(placed.join(mixed, "key", "left_semi"), "open")
-    few = open_.where(F.col("n") <= SMALL)
+    open_ = open_buckets(labels)
+    large = F.col("n") > SMALL
+    nearest = ws.table(_nearest_pairs(open_.where(large), sigs, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not nearest.isEmpty():
+        links, first_links = ws.table(links.union(_links_of_pairs(nearest, sigs, texts, percent)), "links"), links
+        labels = components(links)
+        ws.drop(open_, first_links)
+        open_ = open_buckets(labels)
+    few = open_.where(~large)
     other = few.select("key", F.col("doc").alias("a"), F.col("component").alias("other"))
     again = few.select("key", F.col("doc").alias("b"), "component").join(other, "key").where("a < b and component <> other").select("a", "b").distinct()
-    again = ws.table(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = ws.table(_links_of_pairs(again, sigs, texts, percent).union(_links_of_blocks(ws, open_.where(F.col("n") > SMALL), sigs, texts, percent)), "links")
+    again = ws.table(again.join(pairs.union(nearest), ["a", "b"], "left_anti"), "pairs")
+    more = ws.table(_links_of_pairs(again, sigs, texts, percent).union(_links_of_blocks(ws, open_.where(large), sigs, texts, percent)), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    ws.drop(buckets, popular, sigs, texts, leaders, pairs, links, mixed, open_, again, more)
+    ws.drop(buckets, popular, sigs, texts, leaders, pairs, nearest, links, open_, again, more)
 
     return (
         prints.select("doc", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left")

@@ -97,24 +97,39 @@ def test_drop_keeps_all_columns_and_one_of_each_group(spark, docs):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
 
 
-def test_a_shared_template_moves_no_texts(spark):
-    """Unlike sets that share one bucket: texts are asked for by survivors alone, however large the bucket."""
+def bucket(spark, n, alike):
+    """A bucket of sets that share one band, by a template, and are unlike but for some; and their minima."""
     rng = np.random.default_rng(4)
-    needed = []
+    rows = []
+    for d in range(n):
+        sig = rng.integers(0, 1 << 32, minhash.MINIMA, np.uint32)
+        sig[: minhash.ROWS] = 7
+        if alike(d):
+            sig[8:] = 9
+        rows.append((d, bytearray(sig.tobytes())))
+    sigs = spark.createDataFrame(rows, "doc long, sig binary")
+    return sigs.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(n).cast("long").alias("n"), "doc", F.col("doc").alias("component")), sigs
+
+
+def test_a_shared_template_moves_no_texts(spark, monkeypatch):
+    """Texts are asked for by survivors alone, however large the bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "CELL", 16)
     for n in (100, 400):
-        rows = []
-        for d in range(n):
-            sig = rng.integers(0, 1 << 32, minhash.MINIMA, np.uint32)
-            sig[: minhash.ROWS] = 7  # the first band is the template's
-            if d in (20, 21):
-                sig[8:] = 9  # two that are alike
-            rows.append((d, bytearray(sig.tobytes())))
-        sigs = spark.createDataFrame(rows, "doc long, sig binary")
-        members = sigs.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(n).cast("long").alias("n"), "doc", F.col("doc").alias("component"))
-        pairs, docs = minhash._in_cells(minhash._survivors_of_blocks(members, sigs, 85))
-        assert [(r.a, r.b) for r in pairs.collect()] == [(20, 21)]
-        needed.append(docs.count())
-    assert needed == [2, 2]
+        members, sigs = bucket(spark, n, lambda d: d in (20, 21))
+        assert {r.doc for r in minhash._met_sets(members, sigs, 85).collect()} == {20, 21}
+        assert [tuple(r) for r in minhash._nearest_pairs(members, sigs, 85).collect()] == [(20, 21)]
+
+
+def test_a_dense_bucket_gives_back_sets_and_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "CELL", 16)
+    for n in (128, 256):
+        members, sigs = bucket(spark, n, lambda d: True)
+        assert minhash._nearest_pairs(members, sigs, 85).count() < n
+        assert minhash._met_sets(members, sigs, 85).count() <= n * n // 16 + n
+    linked = members.withColumn("component", F.lit(0).cast("long"))
+    assert minhash._met_sets(linked, sigs, 85).count() == 0
 
 
 def test_stated_misses_at_the_threshold():
