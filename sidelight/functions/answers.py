@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sidelight.functions.text import split_words, strip
 
 SHORT, LONG_LIST, LONG = 3, 5, 5  # words of a keyword; items of a list that may hold longer ones; their words
+# What logs say.
 SILENT = "provider returned null content (silent refusal?)"
 UNPARSED = "failed to parse description/keywords"
 UNPARSED_REPAIR = "failed to parse"

@@ -37,11 +37,11 @@ def answer_of(status: int, body: str) -> dict:
     try:
         reply = json.loads(body)
     except ValueError:
-        return {"error": f"non-JSON response body: {body[:500]}"}
+        return {"error": f"a reply that is no JSON: {body[:500]}"}
     try:
         return {"text": reply["choices"][0]["message"]["content"], "cost": (reply.get("usage") or {}).get("cost")}
     except (KeyError, IndexError, TypeError, AttributeError):
-        return {"error": f"unexpected response: {json.dumps(reply)[:500]}"}
+        return {"error": f"a reply without an answer: {json.dumps(reply)[:500]}"}
 
 
 def http_call(url: str, key: str, model: str, reasoning: bool | None = None) -> Call:
