@@ -35,13 +35,14 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding in the JVM. Up to U+00FF it is lower-casing and two letters; the whole table runs only beyond."""
+    """Full case folding in the JVM: lower-casing, and the whole table only where a text holds a letter that it changes."""
     ones, folded, several = _foldings()
+    rare = "[" + "".join(c for c in ones if c != "µ") + "".join(c for c, _ in several if c != "ß") + "]"
 
     def fold(low):
+        short = F.replace(F.translate(low, "µ", "μ"), F.lit("ß"), F.lit("ss"))
         whole = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several, F.translate(low, ones, folded))
-        short = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
-        return F.when(low.rlike(r"[^\x00-\xFF]"), whole).otherwise(short)
+        return F.when(low.rlike(r"[^\x00-\xFF]") & low.rlike(rare), whole).when(low.rlike("[ßµ]"), short).otherwise(low)
 
     return let(F.lower(c), fold)
 
@@ -66,6 +67,11 @@ def prefix_overlap(a: Column, b: Column, n: int = PREFIX) -> Column:
     return F.when((F.length(a) >= n) & (F.length(b) >= n), F.left(a, F.lit(n)) == F.left(b, F.lit(n))).otherwise(a == b)
 
 
+def match_key(word: Column, n: int = PREFIX) -> Column:
+    """Equal for two words just if they match by ``prefix_overlap``: the first ``n`` letters, a shorter word as a whole."""
+    return F.left(word, F.lit(n))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{_BLANK}+$|^{_BLANK}+", "")
 

@@ -13,6 +13,7 @@ from sidelight.functions.sidecar import extracted, subject_present
 from sidelight.functions.text import decoded
 from sidelight.functions.vectors import quantised
 from sidelight.operators.logs import without
+from sidelight.operators.search import keyed
 from sidelight.schemas import RECORD_DDL, schema
 
 MAX_DESCRIPTION = 1500
@@ -163,7 +164,8 @@ def embedded(rows: DataFrame, embedder: Embedder) -> DataFrame:
 def append_index(found: DataFrame, index_path: str, anomaly_path: str, embedder: Embedder) -> None:
     """Embeds and appends what a Parquet index lacks, and logs anomalies; safe to run again after any failure.
 
-    ``seq`` goes on from the index's largest, in the order of path components.
+    ``seq`` goes on from the index's largest, in the order of path components. What searching needs of a
+    record is stored with it.
     """
     spark = found.sparkSession
     try:
@@ -175,6 +177,8 @@ def append_index(found: DataFrame, index_path: str, anomaly_path: str, embedder:
         index, last = spark.createDataFrame([], schema(RECORD_DDL).add("seq", "long")), None
     fresh, odd = new_records(found, index)
     odd.write.mode("append").json(anomaly_path)
-    # ranges keep the order of paths; within the whole the id only has to grow with it
-    placed = embedded(fresh, embedder).repartitionByRange(F.split("path", "/")).sortWithinPartitions(F.split("path", "/"))
-    placed.withColumn("seq", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)).write.mode("append").parquet(index_path)
+    # ranges keep the order of paths; within the whole the id only has to grow with it. They are drawn from a sample of
+    # the records, so the model comes after them, and sees each record once
+    placed = fresh.repartitionByRange(F.split("path", "/")).sortWithinPartitions(F.split("path", "/"))
+    numbered = keyed(embedded(placed, embedder)).withColumn("seq", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1))
+    numbered.write.mode("append").parquet(index_path)

@@ -1,28 +1,39 @@
 """Hybrid ranked search: cosine of embeddings plus bonuses for people, places and dates.
 
-The index is scored in one projection after its scope filter, so that a scan reads
-only what the scope keeps, and ranked by TakeOrderedAndProject. What the query
-says is worked out once, before the scan. Ties keep the order of the index (``seq``).
+What matching needs of a record is worked out once, when it is indexed (``keyed``):
+the first letters of the words of its people and places. The index is scored in one
+projection after its scope filter, so that a scan reads only what the scope keeps, and
+ranked by TakeOrderedAndProject. What the query says is worked out once, before the
+scan. Ties keep the order of the index (``seq``).
+
+A batch of queries is met in blocks of bounded size, which a scan scores as matrices;
+a task keeps the best of each query it has seen, and what the best are called is
+worked out for them alone.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sidelight.functions.dates import date_label, parse_query
-from sidelight.functions.text import has_cjk, let, normalised, prefix_overlap, split_letters, words
-from sidelight.functions.vectors import cosine_to, unit_query
+from sidelight.functions.text import MIN_WORD, has_cjk, let, match_key, normalised, split_letters, words
+from sidelight.functions.vectors import TINY, cosine_to
 from sidelight.schemas import QUERY_DATE
 
 DEFAULT_SOURCES = ("photos",)
 PERSON, PER_HIT, PLACE = 1.0, 0.01, 0.7
 DAY, MONTH, YEAR = 0.9, 0.6, 0.3
 TOP = 48
-MAX_BATCH = 1000  # queries that are broadcast at once
+MAX_BATCH, MAX_BATCH_BYTES = 1000, 32 << 20  # queries of a block, and bytes of their vectors
+_SLICE = 4096  # records that are scored at a time
 
 # Examples of places by other names; a file adds more.
 ALIASES = {
@@ -46,40 +57,62 @@ def load_aliases(spark: SparkSession, path: str | None = None) -> dict[str, list
     return out
 
 
-def alias_map(aliases: dict[str, list[str]]) -> Column:
-    if not aliases:
-        return F.create_map().cast("map<string,array<string>>")
-    return F.create_map(*(x for k, v in aliases.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+def _keys(found: Column) -> Column:
+    return F.transform(found, lambda w: match_key(w))  # match_key alone would take the index for its n
 
 
-def match_person(query_words: Column, people: Column) -> Column:
-    """struct<name, hits> of the name with the most matching pairs of words, the first of equals; null without a hit."""
+def people_keys(people: Column) -> Column:
+    """For each name, the keys of its words."""
+    return F.transform(people, lambda p: _keys(words(p)))
 
-    def hits(name):
-        return F.aggregate(words(name), F.lit(0), lambda n, w: n + F.size(F.filter(query_words, lambda q: prefix_overlap(q, w))))
 
-    scored = F.transform(people, lambda p: F.struct(p.alias("name"), hits(p).alias("hits")))
-    nobody = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("hits"))
-    best = F.aggregate(scored, nobody, lambda a, b: F.when(b["hits"] > a["hits"], b).otherwise(a))
-    return let(best, lambda b: F.when(b["hits"] > 0, b))
+def place_parts(location: Column) -> Column:
+    """City, province and country where they are given, normalised."""
+    given = F.filter(F.array(*(location[k] for k in ("city", "province", "country"))), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.when(location.isNotNull(), F.transform(given, normalised)).otherwise(F.array().cast("array<string>"))
+
+
+def place_keys(parts: Column, name: Column) -> Column:
+    """The keys of the words of a place's parts and of its name; a part without a word counts as one itself."""
+
+    def words_of(part):
+        return let(split_letters(part), lambda inner: F.when(F.size(inner) > 0, inner).otherwise(F.array(part)))
 
+    return _keys(F.array_distinct(F.concat(F.flatten(F.transform(parts, words_of)), words(name))))
 
-def location_tokens(location: Column, aliases: Column) -> Column:
-    """City, province and country, each followed by its aliases, then the words of the name."""
-    parts = F.filter(F.array(*(location[k] for k in ("city", "province", "country"))), lambda v: F.coalesce(v, F.lit("")) != "")
-    named = F.flatten(F.transform(F.transform(parts, normalised), lambda v: F.concat(F.array(v), F.coalesce(F.try_element_at(aliases, v), F.array().cast("array<string>")))))
-    return F.concat(named, words(location["name"]))
+
+def keyed(index: DataFrame) -> DataFrame:
+    """``index`` with what matching needs of it, as ``people_keys``, ``place_parts``, ``place_keys``; an index that has them is left as it is."""
+    if "people_keys" in index.columns:
+        return index
+    none = F.array().cast("array<string>")
+    added = index.withColumns({"people_keys": people_keys(F.coalesce("people", none)), "place_parts": place_parts(F.col("location"))})
+    return added.withColumn("place_keys", place_keys(F.col("place_parts"), F.col("location.name")))
 
 
-def match_location(query_words: Column, location: Column, aliases: Column) -> Column:
-    """The most specific part of a place that any query word hits; null if none does or all parts are empty."""
+def aliased_parts(query_keys: list[str], aliases: dict[str, list[str]]) -> list[str]:
+    """The parts of places, by their normalised name, that have an alias which the query hits."""
+    asked, letters = set(query_keys), re.compile(r"[^\W\d_]{%d,}" % MIN_WORD)
+    key = lambda w: w[:4]
+    return sorted(part for part, others in aliases.items() if any(asked & set(map(key, letters.findall(t) or [t])) for t in others))
 
-    def token_words(t):  # tokens are normalised already
-        return let(split_letters(t), lambda inner: F.when(F.size(inner) > 0, inner).otherwise(F.array(t)))
 
-    hit = F.exists(location_tokens(location, aliases), lambda t: F.exists(token_words(t), lambda w: F.exists(query_words, lambda q: prefix_overlap(q, w))))
-    label = F.coalesce(*(F.nullif(location[k], F.lit("")) for k in ("city", "province", "country")))
-    return F.when(location.isNotNull() & hit, label)
+def match_person(query_keys: Column, people: Column, keys: Column) -> Column:
+    """struct<name, hits> of the name with the most matching pairs of words, the first of equals; null without a hit."""
+
+    def hits(name):
+        return F.aggregate(name, F.lit(0), lambda n, w: n + F.size(F.filter(query_keys, lambda q: q == w)))
+
+    scored = F.zip_with(people, keys, lambda p, k: F.struct(p.alias("name"), hits(k).alias("hits")))
+    nobody = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("hits"))
+    best = F.aggregate(scored, nobody, lambda a, b: F.when(b["hits"] > a["hits"], b).otherwise(a))
+    return F.when(F.arrays_overlap(F.flatten(keys), query_keys), best)
+
+
+def match_location(query_keys: Column, query_parts: Column, location: Column, parts: Column, keys: Column) -> Column:
+    """The most specific part of a place that a query word hits, itself or by an alias; null if none does or all parts are empty."""
+    hit = F.arrays_overlap(keys, query_keys) | F.arrays_overlap(parts, query_parts)
+    return F.when(hit, F.coalesce(*(F.nullif(location[k], F.lit("")) for k in ("city", "province", "country"))))
 
 
 def match_date(asked: Column, date: Column) -> Column:
@@ -96,15 +129,15 @@ def match_date(asked: Column, date: Column) -> Column:
     return F.when(fits, F.struct(bonus.alias("bonus"), date_label(date).alias("label")))
 
 
-def scored(index: DataFrame, query_words: Column, asked: Column, query_unit: Column, aliases: Column) -> DataFrame:
-    """``index`` with ``cosine``, ``score``, ``match_type``, ``match_label``.
+def scored(index: DataFrame, query_keys: Column, query_parts: Column, asked: Column, query_unit: Column) -> DataFrame:
+    """A keyed ``index`` with ``cosine``, ``score``, ``match_type``, ``match_label``.
 
     A person outranks a place, and a place a date, in what the match is called; bonuses add up.
     """
     out = index.withColumns({
         "cosine": cosine_to(F.col("vector"), query_unit),
-        "_person": match_person(query_words, F.col("people")),
-        "_place": match_location(query_words, F.col("location"), aliases),
+        "_person": match_person(query_keys, F.col("people"), F.col("people_keys")),
+        "_place": match_location(query_keys, query_parts, F.col("location"), F.col("place_parts"), F.col("place_keys")),
         "_date": match_date(asked, F.col("date")),
     })
     zero = F.lit(0.0)
@@ -115,58 +148,171 @@ def scored(index: DataFrame, query_words: Column, asked: Column, query_unit: Col
         + F.coalesce(F.col("_date.bonus"), zero),
         "match_type": F.when(F.col("_person").isNotNull(), "person").when(F.col("_place").isNotNull(), "location").when(F.col("_date").isNotNull(), "date"),
         "match_label": F.coalesce(F.col("_person.name"), F.col("_place"), F.col("_date.label")),
-    }).drop("_person", "_place", "_date")
+    }).drop("_person", "_place", "_date", "people_keys", "place_parts", "place_keys")
 
 
 def clean(index: DataFrame) -> DataFrame:
-    """The index as it is searched: without glitched records, missing parts as empty ones."""
+    """The index as it is searched: without glitched records and those without a vector, missing parts as empty ones, keyed."""
     none = F.array().cast("array<string>")
-    return index.where(~has_cjk(F.col("description"), F.col("keywords"))).withColumns({
+    return keyed(index.where(~has_cjk(F.col("description"), F.col("keywords")) & F.col("vector").isNotNull()).withColumns({
         "keywords": F.coalesce("keywords", none), "people": F.coalesce("people", none),
         "source": F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("photos")),
-    })
+    }))
+
+
+def _said(spark: SparkSession, texts: list[str], aliases: dict | None) -> list[tuple]:
+    """What each query says: the keys of its words, the parts of places that it names by an alias, its date."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, q string")
+    found = rows.select("i", _keys(words(F.col("q"))).alias("w"), parse_query(F.col("q")).alias("d")).collect()
+    known = ALIASES if aliases is None else aliases
+    return [(r.w, aliased_parts(r.w, known), r.d) for r in sorted(found, key=lambda r: r.i)]
+
+
+def _unit(vector: list[float]) -> list[float]:
+    length = sum(float(x) * float(x) for x in vector) ** 0.5 + TINY
+    return [float(x) / length for x in vector]
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
 def search(index: DataFrame, query: str, vector: list[float], top: int = TOP, sources=DEFAULT_SOURCES, aliases: dict | None = None) -> DataFrame:
     """The ``top`` records of a cleaned index for one query, best first. A blank query has no results."""
-    scope = index.where(F.col("source").isin(*sources))
-    said = index.sparkSession.range(1).select(words(F.lit(query)).alias("w"), parse_query(F.lit(query)).alias("d")).first()
-    given = F.array(*map(F.lit, said.w)).cast("array<string>")
+    scope = index.where(F.col("source").isin(*sources) & (F.size("vector") == len(vector)))
+    (given, parts, date), = _said(index.sparkSession, [query], aliases)
     asked = F.lit(None).cast(QUERY_DATE)
-    if said.d is not None:
-        months = F.lit(None) if said.d.months is None else F.array(*map(F.lit, said.d.months))
-        asked = F.struct(F.lit(said.d.year).cast("int").alias("year"), months.cast("array<int>").alias("months"), F.lit(said.d.day).cast("int").alias("day"))
-    q = [float(x) for x in vector]
-    length = sum(x * x for x in q) ** 0.5 + 1e-9
-    query_unit = F.array(*(F.lit(x / length) for x in q)).cast("array<double>")
-    out = scored(scope, given, asked, query_unit, alias_map(ALIASES if aliases is None else aliases))
+    if date is not None:
+        months = F.lit(None) if date.months is None else F.array(*map(F.lit, date.months))
+        asked = F.struct(F.lit(date.year).cast("int").alias("year"), months.cast("array<int>").alias("months"), F.lit(date.day).cast("int").alias("day"))
+    query_unit = F.array(*map(F.lit, _unit(vector))).cast("array<double>")
+    out = scored(scope, _strings(given), _strings(parts), asked, query_unit)
     if not query.strip():
         out = out.where(F.lit(False))
     return out.orderBy(F.col("score").desc(), F.col("seq")).limit(max(0, top))
 
 
+class _Block:
+    """Queries of one block, as matrices over records."""
+
+    def __init__(self, said: list[tuple], units: list[list[float]], sources: list[list[str]]) -> None:
+        self.units, self.sources, self.dates = np.array(units, np.float64), [set(s) for s in sources], [d for *_, d in said]
+        self.words, self.parts = {}, {}  # word key to (query, times); part to queries
+        for q, (keys, parts, _) in enumerate(said):
+            for k in set(keys):
+                self.words.setdefault(k, []).append((q, keys.count(k)))
+            for p in parts:
+                self.parts.setdefault(p, []).append((q, 1))
+
+    def _hits(self, lists: pa.ListArray, known: dict[str, list]) -> np.ndarray:
+        """Rows x queries: how many pairs of a row's strings and a query's are the same."""
+        out = np.zeros((len(lists), len(self.units)), np.int32)
+        if known:
+            place = pc.index_in(lists.flatten(), value_set=pa.array(list(known), pa.string()))
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            met = np.flatnonzero(pc.is_valid(place).to_numpy(zero_copy_only=False))
+            by_place = list(known.values())
+            for r, k in zip(row[met].tolist(), place.take(pa.array(met)).to_pylist()):
+                for q, times in by_place[k]:
+                    out[r, q] += times
+        return out
+
+    def _dated(self, date: pa.StructArray) -> np.ndarray:
+        out = np.zeros((len(date), len(self.units)))
+        year, month, day = (pc.fill_null(pc.struct_field(date, [k]), -1).to_numpy(zero_copy_only=False) for k in ("year", "month", "day"))
+        for q, asked in enumerate(self.dates):
+            if asked is not None:
+                fits = np.ones(len(date), bool)
+                for part, wanted in ((year, asked.year), (day, asked.day)):
+                    fits &= True if wanted is None else part == wanted
+                fits &= True if asked.months is None else np.isin(month, asked.months)
+                one_month = asked.months is not None and len(asked.months) == 1
+                out[fits & date.is_valid().to_numpy(zero_copy_only=False), q] = DAY if asked.day is not None else MONTH if one_month else YEAR
+        return out
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Rows x queries; minus infinity out of a query's scope."""
+        source, people, parts, places, date, vector = (batch.column(c) for c in ("source", "people_keys", "place_parts", "place_keys", "date", "vector"))
+        x = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+        norm = np.sqrt((x * x).sum(axis=1))
+        out = (x @ self.units.T) / np.where(norm == 0, TINY, norm)[:, None]
+        named = self._hits(people.flatten(), self.words)
+        if named.any():  # of a record's names the best one counts
+            best = np.zeros(out.shape, np.int32)
+            np.maximum.at(best, pc.list_parent_indices(people).to_numpy(zero_copy_only=False), named)
+            out += np.where(best > 0, PERSON + PER_HIT * best, 0.0)
+        out += np.where((self._hits(places, self.words) > 0) | (self._hits(parts, self.parts) > 0), PLACE, 0.0) * self._labelled(parts)[:, None]
+        out += self._dated(date)
+        names = source.dictionary_encode()
+        scope = np.array([[n in s for s in self.sources] for n in names.dictionary.to_pylist()], bool).reshape(-1, len(self.sources))
+        out[~scope[names.indices.to_numpy(zero_copy_only=False)]] = -np.inf
+        return out
+
+    @staticmethod
+    def _labelled(parts: pa.ListArray) -> np.ndarray:
+        """A place of which only a name is known matches nothing."""
+        return pc.list_value_length(parts).to_numpy(zero_copy_only=False) > 0
+
+    def best(self, top: int):
+        def run(batches):
+            kept = [(np.empty(0), np.empty(0, np.int64))] * len(self.units)
+            for whole in batches:
+                for at in range(0, whole.num_rows, _SLICE):
+                    batch = whole.slice(at, _SLICE)
+                    seq, scores = batch.column("seq").to_numpy(zero_copy_only=False), self.scores(batch)
+                    for q, column in enumerate(scores.T):
+                        floor = kept[q][0][-1] if len(kept[q][0]) == top else -np.inf
+                        if len(column) > top:
+                            floor = max(floor, np.partition(column, -top)[-top])
+                        new = np.flatnonzero((column >= floor) & (column > -np.inf))
+                        if len(new):
+                            s, v = np.concatenate((kept[q][0], column[new])), np.concatenate((kept[q][1], seq[new]))
+                            order = np.lexsort((v, -s))[:top]
+                            kept[q] = s[order], v[order]
+            for q, (s, v) in enumerate(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q), pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["_q", "seq", "_s"])
+
+        return run
+
+
 def search_many(index: DataFrame, queries: DataFrame, top: int = TOP, aliases: dict | None = None) -> DataFrame:
     """A batch of queries (``query_id, query, vector, sources array<string>``): ``query_id``, ``rank`` and the record.
 
-    Queries are broadcast, so above ``MAX_BATCH`` of them they are met in blocks, by a hash of
-    ``query_id``, of about half as many.
+    Queries are taken up in blocks of at most ``MAX_BATCH``, and of about ``MAX_BATCH_BYTES``, by a hash of
+    ``query_id``; one block is on the driver at a time. ``index`` is cleaned, and ``seq`` tells its records apart.
+    Blank queries, and records whose vectors have another width than the query's, have no results.
     """
-    said = queries.where(F.trim("query") != "").select(
-        "query_id", words(F.col("query")).alias("_words"), parse_query(F.col("query")).alias("_asked"), unit_query(F.col("vector")).alias("_unit"), F.col("sources").alias("_sources"),
-    )
-    n = queries.count()
-    blocks = 1 if n <= MAX_BATCH else -(-2 * n // MAX_BATCH)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("seq"))
-
-    def ranked(some: DataFrame) -> DataFrame:
-        met = index.join(F.broadcast(some), F.array_contains("_sources", F.col("source")))
-        out = scored(met, F.col("_words"), F.col("_asked"), F.col("_unit"), alias_map(ALIASES if aliases is None else aliases))
-        return out.drop("_words", "_asked", "_unit", "_sources").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-
-    if blocks == 1:
-        return ranked(said)
-    return reduce(DataFrame.unionByName, [ranked(said.where(block == b)) for b in range(blocks)])
+    spark, top = index.sparkSession, max(0, top)
+    asked = queries.where((F.trim("query") != "") & F.col("vector").isNotNull()).select("query_id", "query", F.col("vector").cast("array<double>").alias("vector"), "sources")
+    sizes = [(r["width"], r["n"]) for r in asked.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect()]
+    found = []
+    for width, n in sorted(sizes):
+        most = max(1, min(MAX_BATCH, MAX_BATCH_BYTES // (8 * max(1, width))))
+        blocks = 1 if n <= most else -(-2 * n // most)
+        of_width = asked.where(F.size("vector") == width)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        for b in range(blocks):
+            rows = of_width.where(block == b).collect()
+            for at in range(0, len(rows), most):  # a hash may deal unevenly, or ids repeat
+                found.append(_ranked(index.where(F.size("vector") == width), rows[at : at + most], asked.schema["query_id"].dataType.simpleString(), top, aliases))
+    if not found:
+        found = [_ranked(index.where(F.lit(False)), [], asked.schema["query_id"].dataType.simpleString(), top, aliases)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ranked(index: DataFrame, rows: list[Row], id_type: str, top: int, aliases: dict | None) -> DataFrame:
+    spark = index.sparkSession
+    said, units = _said(spark, [r.query for r in rows], aliases) if rows else [], [_unit(r.vector) for r in rows]
+    block = _Block(said, units, [r.sources for r in rows])
+    read = index.select("seq", "source", "people_keys", "place_parts", "place_keys", "date", "vector")
+    near = read.mapInArrow(block.best(top), "_q int, seq long, _s double") if rows and top else spark.createDataFrame([], "_q int, seq long, _s double")
+    order = Window.partitionBy("_q").orderBy(F.col("_s").desc(), F.col("seq"))
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("_s")
+    told = [(q, r.query_id, *s, u) for q, (r, s, u) in enumerate(zip(rows, said, units))]
+    kinds = f"_q int, query_id {id_type}, _keys array<string>, _parts array<string>, _asked {QUERY_DATE}, _unit array<double>"
+    # at most MAX_BATCH x top rows of three numbers, and a block's queries
+    met = index.join(F.broadcast(best), "seq").join(F.broadcast(spark.createDataFrame(told, kinds)), "_q")
+    return scored(met, F.col("_keys"), F.col("_parts"), F.col("_asked"), F.col("_unit")).drop("_q", "_keys", "_parts", "_asked", "_unit")
 
 
 def stats(index: DataFrame) -> DataFrame:

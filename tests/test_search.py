@@ -29,7 +29,8 @@ def found(df):
 def test_person(spark, query, people, want):
     from sidelight.functions.text import words
 
-    x = spark.range(1).select(search.match_person(words(F.lit(query)), F.array(*map(F.lit, people)).cast("array<string>")).alias("x")).first().x
+    names = F.array(*map(F.lit, people)).cast("array<string>")
+    x = spark.range(1).select(search.match_person(search._keys(words(F.lit(query))), names, search.people_keys(names)).alias("x")).first().x
     assert (None if x is None else tuple(x)) == want
 
 
@@ -39,10 +40,10 @@ def test_person(spark, query, people, want):
     ("wien", ("", "Vienna", "", ""), "Vienna"), ("tyrol", ("Austria", "", "Tyrol", ""), "Tyrol"),
 ])
 def test_location(spark, query, place, want):
-    from sidelight.functions.text import words
-
-    df = spark.createDataFrame([(place,)], "l struct<country:string,city:string,province:string,name:string>")
-    got = df.select(search.match_location(words(F.lit(query)), F.col("l"), search.alias_map(search.ALIASES)).alias("x")).first().x
+    (keys, named, _), = search._said(spark, [query], None)
+    df = spark.createDataFrame([(place,)], "l struct<country:string,city:string,province:string,name:string>").withColumn("p", search.place_parts(F.col("l")))
+    own = search.place_keys(F.col("p"), F.col("l.name"))
+    got = df.select(search.match_location(search._strings(keys), search._strings(named), F.col("l"), F.col("p"), own).alias("x")).first().x
     assert got == want
 
 
@@ -102,6 +103,27 @@ def test_batch_equals_single_searches(spark):
         assert [r.path for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == want
 
 
+def test_batch_of_all_kinds_equals_single_searches(spark, monkeypatch):
+    monkeypatch.setattr(search, "_SLICE", 16)
+    rng = random.Random(17)
+    names, places = ["Anna Smith", "Anna Jones", "Мария Ёлкина", "Bo"], [("Austria", "Vienna", "", ""), ("Germany", "", "", "Park"), ("", "", "", "Central Park"), None, ("USA", "Rome", "Tyrol", "")]
+    rows = [
+        record(f"p{i}", [round(rng.gauss(0, 1), 2) for _ in range(4)] if i % 9 else [0.0] * 4, people=rng.sample(names, rng.randrange(3)), location=rng.choice(places),
+               date=rng.choice([None, (2017, 5, 12, "exif"), (2017, None, None, "folder"), (None, 8, None, "folder")]), source=rng.choice(["photos", "media", None, ""]))
+        for i in range(120)
+    ] + [record("none", None), record("wide", [1.0] * 5)]
+    df = search.clean(index(spark, *rows))
+    texts = ["anna smith", "Марии in wien", "deutschland park", "12 May 2017", "summer", "2017 tyrol anna anna", "nothing", "x", " "]
+    asked = [(i, t, [rng.gauss(0, 1) for _ in range(4)], rng.choice([["photos"], ["media", "photos"], ["none"]])) for i, t in enumerate(texts)] + [(99, "anna", [1.0] * 5, ["photos"])]
+    got = search.search_many(df, spark.createDataFrame(asked, "query_id int, query string, vector array<double>, sources array<string>"), top=7).collect()
+    columns = "path", "match_type", "match_label", "score"
+    for i, q, v, s in asked:
+        want = [tuple(r[c] for c in columns) for r in search.search(df, q, v, top=7, sources=s).collect()]
+        have = [tuple(r[c] for c in columns) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i]
+        assert [x[:3] for x in have] == [x[:3] for x in want] and [x[3] for x in have] == pytest.approx([x[3] for x in want]), q
+    assert sorted(r["rank"] for r in got if r.query_id == 7) == list(range(1, 8))
+
+
 def test_aliases_of_a_file_are_appended(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"Austria": ["ÖSTERREICH"], "Italy": ["Italien"]}))
     got = search.load_aliases(spark, str(tmp_path / "a.json"))
