@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelight.functions.vectors import dot, unit
@@ -56,6 +56,8 @@ def _meet(threshold: float):
 def similar_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a``, ``b`` (positions, a < b), ``score``; ``records``: seq, folder, vector. Vectors have one width."""
     sizes = records.groupBy("folder").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
+    # a table of its own, so that the join reads both sides from shuffles and a huge folder can be split
+    sizes = Workspace(records.sparkSession, "folders").table(sizes, "sizes")
     mine = F.pmod(F.xxhash64("seq"), F.col("many")).cast("int")
     dealt = records.join(sizes, "folder").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     dealt = dealt.select(
@@ -95,12 +97,27 @@ def clusters(records: DataFrame, threshold: float = THRESHOLD, min_cluster: int
     return out.select("cluster", "size", "avg_similarity", "photos").orderBy(F.col("size").desc(), F.coalesce("avg_similarity", F.lit(0.0)).desc(), "cluster")
 
 
-def report(records: DataFrame, threshold: float = THRESHOLD, min_cluster: int = MIN_CLUSTER) -> DataFrame:
-    """One row of the report's shape: threshold, total_photos, compared_pairs, clusters."""
-    rank = F.struct((-F.col("size")).alias("s"), (-F.coalesce("avg_similarity", F.lit(0.0))).alias("a"), F.col("cluster").alias("c"), F.struct("size", "avg_similarity", "photos").alias("x"))
-    found = clusters(records, threshold, min_cluster).agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["x"]).alias("clusters"))
-    total = records.agg(F.count("*").alias("total_photos"))
-    one = F.lit(1)
-    parts = [d.withColumn("_one", one) for d in (total, compared_pairs(records), found)]
+def totals(records: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of what is said of the whole: ``threshold``, ``total_photos``, ``compared_pairs``, ``n_clusters``, and
+    ``clustered_photos``, how many records ``found`` (``clusters``) holds."""
+    held = found.agg(F.count("*").alias("n_clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("clustered_photos"))
+    parts = [d.withColumn("_one", F.lit(1)) for d in (records.agg(F.count("*").alias("total_photos")), compared_pairs(records), held)]
     joined = parts[0].join(parts[1], "_one").join(parts[2], "_one")
-    return joined.select(F.lit(float(threshold)).alias("threshold"), "total_photos", "compared_pairs", "clusters")
+    return joined.select(F.lit(float(threshold)).alias("threshold"), "total_photos", "compared_pairs", "n_clusters", "clustered_photos")
+
+
+def report_lines(records: DataFrame, threshold: float = THRESHOLD, min_cluster: int = MIN_CLUSTER) -> DataFrame:
+    """The report as one JSON document, as ``line``s in the order of ``place``: a head, a cluster a line, an end.
+
+    No row holds all clusters. They are ranked in one task, by size, likeness and first position.
+    """
+    found = Workspace(records.sparkSession, "report").table(clusters(records, threshold, min_cluster), "clusters")
+    head = totals(records, found, threshold).select(
+        F.lit(0).cast("long").alias("place"),
+        F.format_string('{"threshold": %s, "total_photos": %d, "compared_pairs": %d, "clusters": [', F.col("threshold").cast("string"), "total_photos", "compared_pairs").alias("line"),
+    )
+    order = Window.orderBy(F.col("size").desc(), F.coalesce("avg_similarity", F.lit(0.0)).desc(), "cluster")
+    ranked = found.select(F.row_number().over(order).cast("long").alias("place"), F.to_json(F.struct("size", "avg_similarity", "photos"), {"ignoreNullFields": "false"}).alias("json"))
+    body = ranked.select("place", F.concat(F.when(F.col("place") > 1, F.lit(",")).otherwise(F.lit("")), F.col("json")).alias("line"))
+    end = records.sparkSession.createDataFrame([((1 << 62), "]}")], "place long, line string")
+    return head.unionByName(body).unionByName(end)

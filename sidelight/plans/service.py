@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 from functools import lru_cache
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
@@ -19,9 +20,10 @@ from sidelight.functions.images import EXTENSIONS, clamped, thumbnail
 from sidelight.operators import search
 from sidelight.operators.index import Embedder, HashingEmbedder, OnnxEmbedder
 from sidelight.session import ship
-from sidelight.sources.files import Snapshot, read_index
+from sidelight.sources.files import Snapshot, newest, read_index
 
 CLI_TOP = 5
+NO_INDEX = {"error": "no index yet"}
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Search</title>
 <form onsubmit="go(event)"><input id="q" autofocus><label><input id="m" type="checkbox">media</label></form><ol id="r"></ol>
 <script>async function go(e){e.preventDefault();const u=new URLSearchParams({q:q.value,media:m.checked?1:0});
@@ -54,7 +56,12 @@ class Service:
         self._thumbs = lru_cache(maxsize=512)(lambda path, mtime, size: thumbnail(Path(path).read_bytes(), size) or Path(path).read_bytes())
         self._vector = lru_cache(maxsize=1024)(lambda q: tuple(embedder.embed([q], "query")[0]))
 
+    def _has_index(self) -> bool:
+        return newest(self.snapshot.spark, self.snapshot.path) > 0
+
     def search(self, query: str, top: int = search.TOP, media: bool = False) -> dict:
+        if not self._has_index():
+            return NO_INDEX
         sources = (*search.DEFAULT_SOURCES, "media") if media else search.DEFAULT_SOURCES
         index = search.clean(self.snapshot.get())
         total = search.scope_total(index, sources).first()["total"]
@@ -65,14 +72,14 @@ class Service:
         return out
 
     def stats(self) -> dict:
+        if not self._has_index():
+            return NO_INDEX
         return search.stats(self.snapshot.get()).first().asDict(recursive=True)
 
     def duplicates(self) -> dict:
         if not self.duplicates_file or not Path(self.duplicates_file).exists():
             return {"error": "no duplicates report yet"}
-        found = Path(self.duplicates_file)
-        parts = sorted(found.glob("part-*")) if found.is_dir() else [found]
-        return json.loads(parts[0].read_text(encoding="utf-8"))
+        return json.loads(Path(self.duplicates_file).read_text(encoding="utf-8"))
 
     def thumb(self, path: str | None, size: int = 400) -> bytes | None:
         found = safe_path(path, self.roots)
@@ -91,14 +98,19 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
         def do_GET(self) -> None:
             url = urlsplit(self.path)
             args = {k: v[0] for k, v in parse_qs(url.query).items()}
+
+            def number(name: str, default: int) -> int:
+                text = args.get(name, "").strip()
+                return int(text) if re.fullmatch(r"[+-]?[0-9]{1,9}", text) else default
+
             if url.path == "/":
                 return self._send(_PAGE.encode(), "text/html; charset=utf-8")
             if url.path == "/thumb":
-                data = service.thumb(args.get("path"), int(args.get("size", 400)))
+                data = service.thumb(args.get("path"), number("size", 400))
                 return self._send(data or b"not found", "image/jpeg" if data else "text/plain", 200 if data else 404)
             routes = {
                 "/api/stats": service.stats, "/api/duplicates": service.duplicates,
-                "/api/search": lambda: service.search(args.get("q", ""), int(args.get("top", search.TOP)), args.get("media") == "1"),
+                "/api/search": lambda: service.search(args.get("q", ""), number("top", search.TOP), args.get("media") == "1"),
             }
             if url.path not in routes:
                 return self._send(b"not found", "text/plain", 404)
@@ -127,12 +139,15 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--root", action="append", default=[])
     args = ap.parse_args(argv)
     spark = ship(SparkSession.builder.appName("sidelight").getOrCreate())
-    width = len(load_index(spark, args.index).select("vector").first()[0]) if not args.model else 0
+    if not newest(spark, args.index):
+        ap.exit(1, f"{NO_INDEX['error']}: {args.index}\n")
+    first = None if args.model else load_index(spark, args.index).select("vector").first()
+    width = len(first[0]) if first else 1
     service = Service(spark, args.index, OnnxEmbedder(args.model) if args.model else HashingEmbedder(width), args.duplicates, args.root)
     if args.what == "serve":
         serve(service, args.port).serve_forever()
     found = service.search(args.query, args.top, args.media)
-    for rank, r in enumerate(found["results"], 1):
+    for rank, r in enumerate(found.get("results", []), 1):
         tag = f" [{r['match_type']}: {r['match_label']}]" if r["match_type"] else ""
         print(f"{rank}. {r['score']:.3f}{tag}  {r['path']}\n   {r['description']}\n   {', '.join(r['keywords'])}")
 

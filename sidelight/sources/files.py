@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from threading import Lock
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ class Collection:
     subdirs: tuple[str, ...] = ()
     reasoning: bool | None = None
     prompt: str = "photos"
+    hidden: bool = False  # also what lies under names with a leading dot or underscore
 
     @property
     def bases(self) -> list[str]:
@@ -39,23 +42,54 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def scan(spark: SparkSession, base: str, content: bool = True) -> DataFrame:
-    """``path``, ``modified``, ``length`` and ``content`` of all files under a folder, recursively.
+def scan(spark: SparkSession, base: str, hidden: bool = False) -> DataFrame:
+    """``path``, ``modificationTime``, ``length`` and ``content`` of all files under a folder, recursively.
 
-    Files and folders whose name starts with ``.`` or ``_`` are skipped, as Spark's
-    readers do. A missing folder is empty. Bytes are read only where a plan asks for them.
+    Files and folders whose name starts with ``.`` or ``_`` are skipped, as Spark's readers
+    do; with ``hidden`` they are added. A missing folder is empty. Bytes are read only where
+    a plan asks for them.
     """
     kinds = "path string, modificationTime timestamp, length bigint, content binary"
     if not _exists(spark, base):
         return spark.createDataFrame([], kinds)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    return seen.unionByName(_hidden(spark, base)) if hidden else seen
+
+
+def _hidden(spark: SparkSession, base: str) -> DataFrame:
+    """The files that Spark's readers pass over: listed through Hadoop's file systems, read through Arrow's on the executors."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    under = len(fs.makeQualified(root).toUri().getPath().rstrip("/")) + 1
+    found, every = [], fs.listFiles(root, True)
+    while every.hasNext():
+        status = every.next()
+        if any(name[0] in "._" for name in status.getPath().toUri().getPath()[under:].split("/")):
+            found.append((status.getPath().toString(), status.getModificationTime(), status.getLen()))
+    listed = spark.createDataFrame(found, "path string, ms long, length long")
+
+    def read(batches):
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            data = []
+            for uri in batch.column(0).to_pylist():
+                # Hadoop writes file:/a without escapes; Arrow takes a plain path or a whole URI
+                system, path = FileSystem.from_uri(uri if "://" in uri else "file://" + quote(uri.removeprefix("file:")))
+                with system.open_input_stream(path) as f:
+                    data.append(f.read())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=["path", "ms", "length", "content"])
+
+    rows = listed.mapInArrow(read, "path string, ms long, length long, content binary")
+    return rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content")
 
 
 def images(spark: SparkSession, collection: Collection, extensions=EXTENSIONS) -> DataFrame:
     """The images of a collection: ``path``, ``modified``, ``length``, ``content``."""
     out = None
     for base in collection.bases:
-        one = scan(spark, base).where(is_image(F.col("path"), extensions))
+        one = scan(spark, base, collection.hidden).where(is_image(F.col("path"), extensions))
         out = one if out is None else out.unionByName(one)
     return out.select(_plain(F.col("path")).alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
 
@@ -67,13 +101,17 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def with_sidecars(spark: SparkSession, collection: Collection, how: str = "left") -> DataFrame:
     """``path``, ``sidecar``, ``content`` (the sidecar's bytes): images of one stem share a sidecar."""
-    found = images(spark, collection).select("path", stem_of(F.col("path")).alias("_stem"))
     cards = None
     for base in collection.bases:
-        one = scan(spark, base).where(F.col("path").endswith(".xmp"))
+        one = scan(spark, base, collection.hidden).where(F.col("path").endswith(".xmp"))
         cards = one if cards is None else cards.unionByName(one)
-    cards = cards.select(_plain(F.col("path")).alias("sidecar"), "content").withColumn("_stem", stem_of(F.col("sidecar")))
-    return found.join(cards, "_stem", how).drop("_stem")
+    return paired(images(spark, collection).select("path"), cards.select(_plain(F.col("path")).alias("sidecar"), "content"), how)
+
+
+def paired(found: DataFrame, cards: DataFrame, how: str = "left") -> DataFrame:
+    """Images (``path``) with the sidecar (``sidecar``, ``content``) of their stem."""
+    stem = stem_of(F.col("sidecar"))
+    return found.withColumn("_stem", stem_of(F.col("path"))).join(cards.withColumn("_stem", stem), "_stem", how).drop("_stem")
 
 
 def configured(spark: SparkSession, collections: list[Collection]) -> list[Collection]:

@@ -8,6 +8,7 @@ twice leaves whole files; backups keep the first copy.
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from sidelight.functions.answers import outcome, parse_answer
 from sidelight.functions.prompts import prompt
 from sidelight.functions.sidecar import HAS_SUBJECT, backup_name, description_xml, folder_hint, merged, new_document, replaced, stem_of, subject_xml
+from sidelight.operators.duplicates import MIN_CLUSTER, THRESHOLD, report_lines
 
 
 def planned(answers: DataFrame, sidecars: DataFrame, model: str) -> DataFrame:
@@ -74,7 +76,7 @@ def write_sidecars(plan: DataFrame, backup_dir: str) -> None:
     """Carries out a plan that has been written before, once for each sidecar."""
 
     def put(path: str, data: bytes) -> None:
-        part = f"{path}.part-{os.getpid()}"
+        part = f"{path}.part-{uuid.uuid4().hex}"  # another host's task may write beside it
         Path(part).write_bytes(data)
         os.replace(part, path)
 
@@ -96,6 +98,16 @@ def append_log(plan: DataFrame, path: str, columns=("path", "status", "error", "
     plan.where("status <> 'skipped_done'").select(*columns).write.mode("append").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """The one row of a duplicates report as one JSON document, replacing an older one."""
-    report.select(F.to_json(F.struct(*report.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_report(records: DataFrame, path: str, threshold: float = THRESHOLD, min_cluster: int = MIN_CLUSTER) -> None:
+    """The duplicates report as one file with one JSON document, replacing an older one when it is whole."""
+    spark, aside = records.sparkSession, f"{path}.part-{uuid.uuid4().hex[:12]}"
+    lines = report_lines(records, threshold, min_cluster)
+    lines.repartition(1).sortWithinPartitions("place").select("line").write.text(aside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, folder = hadoop.Path(path), hadoop.Path(aside)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = [s.getPath() for s in fs.globStatus(hadoop.Path(f"{aside}/part-*"))]
+    fs.delete(old, True)
+    if not fs.rename(made[0], old):
+        raise OSError(f"cannot move the report to {path}")
+    fs.delete(folder, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sidelight.functions.images import data_url, largest_preview, thumbnail_key
 from sidelight.operators import index, logs
-from sidelight.schemas import FIX_LOG_DDL, RUN_LOG_DDL, RUN_STATUSES
+from sidelight.schemas import FIX_LOG_DDL, RECORD_DDL, RUN_LOG_DDL, RUN_STATUSES
 from sidelight.sources import describer, files, settings, writers
 from sidelight.streaming import index_stream
 
@@ -99,6 +99,40 @@ def test_tag_index_and_append(spark, archive, tmp_path):
     assert repaired["e.orf"].status == "still_glitched" and repaired["e.orf"].content is None
 
 
+def test_hidden_files_on_demand(spark, tmp_path):
+    for name in ("a.jpg", ".b.jpg", "_edited/c #1.jpg", "d/.e/f.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "_edited/c #1.xmp").write_bytes(b"card")
+    seen = lambda hidden: {r.path.removeprefix(f"{tmp_path}/"): bytes(r.content) for r in files.images(spark, files.Collection("x", str(tmp_path), hidden=hidden)).collect()}
+    assert list(seen(False)) == ["a.jpg"]
+    assert seen(True) == {n: n.encode() for n in ("a.jpg", ".b.jpg", "_edited/c #1.jpg", "d/.e/f.jpg")}
+    cards = files.with_sidecars(spark, files.Collection("x", str(tmp_path), hidden=True), "inner").collect()
+    assert [(r.path.endswith("c #1.jpg"), bytes(r.content)) for r in cards] == [(True, b"card")]
+
+
+def test_the_model_sees_each_new_record_once(spark, tmp_path):
+    class Counting(index.HashingEmbedder):
+        def load(self):
+            run, log = super().load(), str(tmp_path / "calls")
+
+            def told(texts):
+                with open(log, "a") as f:
+                    f.write("".join(f"{t}\n" for t in texts))
+                return run(texts)
+
+            return told
+
+    rows = [(f"/p/{i % 7}/{i}.jpg", f"told {i}", ["k"], ["Anna"], ("Austria", "", "", ""), None, "photos", None) for i in range(300)]
+    found = spark.createDataFrame(rows, RECORD_DDL)
+    for _ in range(2):
+        index.append_index(found, str(tmp_path / "ix"), str(tmp_path / "odd"), Counting(8))
+    calls = (tmp_path / "calls").read_text().splitlines()
+    assert len(calls) == len(set(calls)) == 300
+    kept = spark.read.parquet(str(tmp_path / "ix"))
+    assert kept.count() == 300 and kept.select("people_keys", "place_keys").distinct().collect() == [([["anna"]], ["aust"])]
+
+
 def test_images_of_one_stem_share_a_sidecar(spark, tmp_path):
     said = spark.createDataFrame([("/x/a.jpg", "c", ("T.\n\na, b", 1.0, None)), ("/x/a.png", "c", ("T.\n\na, b", 1.0, None))], "path string, context string, answer struct<text:string,cost:double,error:string>")
     none = spark.createDataFrame([], "path string, sidecar string, content string")
@@ -151,7 +185,7 @@ def test_retries(replies, calls, error):
 
 @pytest.mark.parametrize("status, body, want", [
     (200, '{"choices": [{"message": {"content": "t"}}], "usage": {"cost": 0.1}}', {"text": "t", "cost": 0.1}), (200, '{"choices": [{"message": {"content": null}}], "usage": null}', {"text": None, "cost": None}),
-    (500, "x" * 600, {"error": "HTTP 500: " + "x" * 500}), (200, "<html>", {"error": "non-JSON response body: <html>"}), (200, '{"choices": []}', {"error": 'unexpected response: {"choices": []}'}),
+    (500, "x" * 600, {"error": "HTTP 500: " + "x" * 500}), (200, "<html>", {"error": "a reply that is no JSON: <html>"}), (200, '{"choices": []}', {"error": 'a reply without an answer: {"choices": []}'}),
 ])
 def test_answers(status, body, want):
     assert describer.answer_of(status, body) == want

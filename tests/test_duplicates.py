@@ -31,21 +31,32 @@ def test_blocks_and_join_find_the_same_pairs(spark, monkeypatch, block):
     assert a == b and len(a) == 5
 
 
-def test_report_is_written_and_read(spark, tmp_path):
-    rep = duplicates.report(records(spark), 0.93)
-    writers.write_report(rep, str(tmp_path / "r"))
-    r = files.read_report(spark, str(tmp_path / "r")).first()
+def test_report_is_one_file_and_read_again(spark, tmp_path):
+    for _ in range(2):  # the second replaces the first
+        writers.write_report(records(spark), str(tmp_path / "r.json"), 0.93)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["r.json"]
+    r = files.read_report(spark, str(tmp_path / "r.json")).first()
     assert (r.threshold, r.total_photos, r.compared_pairs) == (0.93, 6, 6)
     assert [(c["size"], [p.path for p in c.photos]) for c in r.clusters] == [(3, ["B/0.jpg", "B/1.jpg", "B/2.jpg"]), (2, ["A/0.jpg", "A/1.jpg"])]
-    text = next((tmp_path / "r").glob("part-*")).read_text()
-    assert json.loads(text)["clusters"][0]["avg_similarity"] == 0.95
+    assert json.loads((tmp_path / "r.json").read_text())["clusters"][0]["avg_similarity"] == 0.95
 
 
-def test_empty_index(spark):
+def test_totals(spark):
+    rec = records(spark)
+    assert tuple(duplicates.totals(rec, duplicates.clusters(rec, 0.93), 0.93).first()) == (0.93, 6, 6, 2, 5)
+
+
+def test_alone_photos_have_no_likeness_in_the_report(spark, tmp_path):
+    writers.write_report(records(spark), str(tmp_path / "r.json"), 0.97, 1)
+    clusters = json.loads((tmp_path / "r.json").read_text())["clusters"]
+    assert len(clusters) == 6 and all("avg_similarity" in c and c["avg_similarity"] is None for c in clusters)
+
+
+def test_empty_index(spark, tmp_path):
     rec = records(spark).where("false")
     assert duplicates.clusters(rec).collect() == []
-    r = duplicates.report(rec).first()
-    assert (r.total_photos, r.compared_pairs, r.clusters) == (0, 0, [])
+    writers.write_report(rec, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"threshold": 0.93, "total_photos": 0, "compared_pairs": 0, "clusters": []}
 
 
 def test_order_of_rows_does_not_matter(spark):

@@ -44,6 +44,23 @@ def test_http(spark, index, tmp_path):
     server.shutdown()
 
 
+def test_without_an_index_and_with_odd_numbers(spark, index, tmp_path):
+    for missing in ("none", "none.jsonl"):
+        service = Service(spark, str(tmp_path / missing), HashingEmbedder(32))
+        assert "error" in service.search("x") and "error" in service.stats() and "error" in service.duplicates()
+        with pytest.raises(SystemExit):
+            main(["search", str(tmp_path / missing), "x"])
+    index.write.parquet(str(tmp_path / "ix"))
+    server = serve(Service(spark, str(tmp_path / "ix"), HashingEmbedder(32), None, [str(tmp_path)]), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert len(json.loads(urlopen(base + "/api/search?q=sea&top=abc").read())["results"]) == 2
+    with pytest.raises(HTTPError) as e:
+        urlopen(base + "/thumb?path=none&size=1e3")
+    assert e.value.code == 404
+    server.shutdown()
+
+
 def test_safe_path(tmp_path):
     root, other = tmp_path / "root", tmp_path / "root-other"
     for d in (root, other):
