@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidelight.functions import answers, dates, sidecar, text, vectors
+from sidelight.functions import answers, dates, prompts, sidecar, text, vectors
 from sidelight.functions.images import EXTENSIONS, is_image
 from sidelight.operators import duplicates, index, logs, search
-from sidelight.schemas import RUN_STATUSES
+from sidelight.schemas import FIX_STATUSES, RUN_LOG_DDL, RUN_STATUSES
+from sidelight.sources import files, writers
 from sidelight.streaming import index_stream
 from sidelight.workspace import Workspace
 
@@ -39,17 +40,19 @@ photos as (
          r_name as country, n_name as city, year(o_orderdate) as y, month(o_orderdate) as m, day(o_orderdate) as d,
          case when o_orderkey % 5 = 0 then 'media' else 'photos' end as source, embedding
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-  join part on p_partkey = o_orderkey % 200 join embeddings on vec_id = o_orderkey % 500
+  join part on p_partkey = o_orderkey % (select count(*) from part) join embeddings on vec_id = o_orderkey % (select count(*) from embeddings)
 )"""
 
+_STORED: dict[tuple[str, str], str] = {}
 
-def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of one record for each order, dealt out as an index table would be: the tables are one file each."""
+
+def photo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each order."""
     o, c, n, r, p, e = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region", "part", "embeddings"))
     rows = (
         o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-        .join(p, p.p_partkey == o.o_orderkey % 200).join(e, e.vec_id == o.o_orderkey % 500)
-    ).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+        .join(p, p.p_partkey == o.o_orderkey % p.count()).join(e, e.vec_id == o.o_orderkey % e.count())
+    )
     day = F.col("o_orderdate")
     return rows.select(
         F.col("o_orderkey").alias("seq"),
@@ -61,6 +64,16 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of these records as a stored table, as an index is: made once a session and folder, then read."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        ws = Workspace(spark, "index")
+        search.keyed(photo_rows(spark, sf_dir)).repartition("seq").write.parquet(f"{ws.root}/photos")
+        _STORED[key] = f"{ws.root}/photos"
+    return spark.read.parquet(_STORED[key])
+
+
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("seq"), F.format_string("%08d", "vec_id").alias("path"), F.col("label").cast("string").alias("description"), F.col("label").cast("string").alias("folder"), F.col("embedding").alias("vector"))
@@ -128,23 +141,42 @@ def cluster_report(spark, sf_dir):
     return out.select("cluster", "size", "avg_similarity", F.array_join(F.transform("photos", lambda p: p["path"]), ",").alias("paths"))
 
 
-@query("""
-with n as (select label, count(*) as n from embeddings group by label)
-select 0.3::double as threshold, sum(n)::bigint as total_photos, sum(n * (n - 1) // 2)::bigint as compared_pairs from n
+@query(REACH_SQL + """,
+n as (select label, count(*) as n from embeddings group by label), sized as (select component, count(*) as size from component group by component)
+select 0.3::double as threshold, (select sum(n) from n)::bigint as total_photos, (select sum(n * (n - 1) // 2) from n)::bigint as compared_pairs,
+  count(*) as n_clusters, coalesce(sum(size), 0)::bigint as clustered_photos from sized
 """)
 def duplicate_totals(spark, sf_dir):
-    """What the report says of the whole."""
-    return duplicates.report(labelled_vectors(spark, sf_dir), 0.3).select("threshold", "total_photos", "compared_pairs")
+    """What is said of the whole."""
+    rows = labelled_vectors(spark, sf_dir)
+    return duplicates.totals(rows, duplicates.clusters(rows, 0.3), 0.3)
+
+
+@query(REACH_SQL + """,
+sized as (select component, count(*)::int as size, list(lpad(node::varchar, 8, '0') order by node) as paths from component group by component),
+alike as (select component, avg(score) as s from pairs join component on a = node group by component),
+ranked as (select *, row_number() over (order by size desc, round(s, 4) desc, component)::int as place from sized join alike using (component))
+select place, size, round(s, 4) as avg_similarity, array_to_string(paths, ',') as paths from ranked
+""")
+def duplicate_report(spark, sf_dir):
+    """The report as one JSON file, read again."""
+    path = f"{Workspace(spark, 'report').root}/duplicates.json"
+    writers.write_report(labelled_vectors(spark, sf_dir), path, 0.3)
+    rows = files.read_report(spark, path).select(F.posexplode("clusters").alias("place", "c"))
+    return rows.select((F.col("place") + 1).alias("place"), "c.size", "c.avg_similarity", F.array_join(F.transform("c.photos", lambda p: p["path"]), ",").alias("paths"))
 
 
 @query("""
-select vec_id, list_transform(embedding, lambda x: round(x::double, 2)::float)::varchar is not null as ok, len(embedding)::int as width, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 5) as square
-from embeddings
+with q as (select vec_id, list_transform(embedding, lambda x: round(x::double, 5)::float) as q from embeddings)
+select vec_id, len(q)::int as width, round(list_sum(list_transform(q, lambda x: x::double)), 6) as total, round(list_sum(list_transform(q, lambda x: x::double * x::double)), 6) as square from q
 """)
 def quantised_vectors(spark, sf_dir):
-    """V5: vectors as they are stored, and that they keep their length."""
-    q = vectors.quantised(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", q.isNotNull().alias("ok"), F.size(q).alias("width"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 5).alias("square"))
+    """V5: vectors as they are stored."""
+    q = F.col("q")
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantised(F.col("embedding")).alias("q"))
+    return stored.select(
+        "vec_id", F.size(q).alias("width"), F.round(F.aggregate(q, F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"), F.round(vectors.dot(q, q), 6).alias("square"),
+    )
 
 
 # --- hybrid search -----------------------------------------------------------------------------------
@@ -174,43 +206,53 @@ def hybrid_search(spark, sf_dir):
 
 @query(f"""
 with {PHOTOS_SQL}, q as (
-  select vec_id as query_id, embedding as qv, case when vec_id < 2 then 'europe may 1998' else 'summer 1996' end as said from embeddings where vec_id < 4
+  select vec_id as query_id, embedding as qv, vec_id // 50 % 3 as k from embeddings where vec_id % 50 = 0
 ), scored as (
-  select query_id, seq, list_cosine_similarity(embedding::double[], qv::double[])
-    + case when query_id < 2 and country = 'EUROPE' then 0.7 else 0 end
-    + case when query_id < 2 and y = 1998 and m = 5 then 0.6 when query_id >= 2 and y = 1996 and m in (6, 7, 8) then 0.3 else 0 end as score
-  from photos, q where source in ('photos', 'media')
-), ranked as (select *, row_number() over (partition by query_id order by score desc, seq)::int as rank from scored)
-select query_id, rank, seq, round(score, 6) as score from ranked where rank <= 5
+  select query_id, seq, country, city, y, m, d, k = 0 and country = 'EUROPE' as placed, k = 1 and people[1] like '%cold%' as named, people[1] as name,
+    case when k = 0 then y = 1998 and m = 5 when k = 1 then false else y = 1996 and m in (6, 7, 8) end as dated, k,
+    list_cosine_similarity(embedding::double[], qv::double[]) as cosine
+  from photos, q where source = 'photos' or k <> 2
+), ranked as (
+  select *, cosine + case when named then 1.01 else 0 end + case when placed then 0.7 else 0 end + case when dated then case when k = 0 then 0.6 else 0.3 end else 0 end as score
+  from scored
+), placed_rows as (select *, row_number() over (partition by query_id order by score desc, seq)::int as rank from ranked)
+select query_id, rank, seq, round(score, 6) as score, case when named then 'person' when placed then 'location' when dated then 'date' end as match_type,
+  case when named then name when placed then city when dated then ['January','February','March','April','May','June','July','August','September','October','November','December'][m] end as month_or_name
+from placed_rows where rank <= 5
 """)
 def search_batch(spark, sf_dir):
-    """A batch of queries at once, over both sources."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 4")
-    asked = e.select(
-        F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") < 2, "europe may 1998").otherwise("summer 1996").alias("query"),
-        F.col("embedding").alias("vector"), F.array(F.lit("photos"), F.lit("media")).alias("sources"),
+    """A batch of queries at once, in two scopes."""
+    k = F.expr("vec_id div 50 % 3")
+    both, one = F.array(F.lit("photos"), F.lit("media")), F.array(F.lit("photos"))
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("query_id"), F.when(k == 0, "europe may 1998").when(k == 1, "cold").otherwise("summer 1996").alias("query"),
+        F.col("embedding").alias("vector"), F.when(k == 2, one).otherwise(both).alias("sources"),
     )
     out = search.search_many(search.clean(photos(spark, sf_dir)), asked, top=5)
-    return out.select("query_id", "rank", "seq", F.round("score", 6).alias("score"))
+    label = F.when(F.col("match_type") == "date", F.regexp_extract("match_label", "[A-Z][a-z]+", 0)).otherwise(F.col("match_label"))
+    return out.select("query_id", "rank", "seq", F.round("score", 6).alias("score"), "match_type", label.alias("month_or_name"))
 
 
 @query(f"""
-with {PHOTOS_SQL} select (row_number() over (order by 2 * (people[1] like '%cold%')::int desc, seq))::int as rank, seq from photos where people[1] like '%cold%' order by seq limit 5
+with {PHOTOS_SQL}, hits as (
+  select seq, people, len(list_filter(regexp_extract_all(people[1], '[a-z]+'), lambda w: left(w, 4) in ('cold', 'widg') and length(w) > 2)) as a, 1 as b from photos
+)
+select seq, case when a >= b then people[1] else people[2] end as name, greatest(a, b)::int as hits from hits
 """)
 def person_matches(spark, sf_dir):
-    """Records whose people a query names."""
-    said = F.array(F.lit("cold"))
-    hit = photos(spark, sf_dir).where(search.match_person(said, F.col("people")).isNotNull()).select("seq")
-    from pyspark.sql import Window
+    """The best name of every record, the first of equals, and its hits."""
+    said = search._keys(text.words(F.lit("cold widget of a customer")))
+    best = search.match_person(said, F.col("people"), F.col("people_keys"))
+    return photos(spark, sf_dir).select("seq", best.alias("x")).where("x is not null").select("seq", "x.name", "x.hits")
 
-    return hit.orderBy("seq").limit(5).select(F.row_number().over(Window.orderBy("seq")).alias("rank"), "seq")
 
-
-@query(f"with {PHOTOS_SQL} select country, city, count(*) as n from photos where country = 'EUROPE' group by country, city")
+@query(f"with {PHOTOS_SQL} select seq, city as label from photos where country in ('EUROPE', 'ASIA')")
 def location_matches(spark, sf_dir):
-    """Places by an alias; the label is the most specific part."""
-    label = search.match_location(F.array(F.lit("abendland")), F.col("location"), search.alias_map({"europe": ["abendland"]}))
-    return photos(spark, sf_dir).select(F.col("location.country").alias("country"), label.alias("city")).where("city is not null").groupBy("country", "city").agg(F.count("*").alias("n"))
+    """Places by an alias and by their own name; the label is the most specific part."""
+    keys = search._keys(text.words(F.lit("the abendland, and Asia")))
+    named = search._strings(search.aliased_parts(["aben"], {"europe": ["abendland"], "asia": ["morgenland"]}))
+    label = search.match_location(keys, named, F.col("location"), F.col("place_parts"), F.col("place_keys"))
+    return photos(spark, sf_dir).select("seq", label.alias("label")).where("label is not null")
 
 
 @query(f"""
@@ -223,10 +265,12 @@ def index_stats(spark, sf_dir):
     return search.stats(rows).select("indexed", "total", "skipped_cjk", F.col("by_source")["media"].alias("media"), F.col("by_source")["photos"].alias("photos"))
 
 
-@query("select source, count(*) as n from documents where source in ('src0', 'src1') group by source")
+@query("select 'src0' as scope, count(*) as total from documents where source = 'src0' union all select 'src0,src1', count(*) from documents where source in ('src0', 'src1') union all select 'none', 0")
 def scope_counts(spark, sf_dir):
-    """Rows in scope by source."""
-    return table(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1")).groupBy("source").agg(F.count("*").alias("n"))
+    """Records in scope, whether or not they match."""
+    rows = table(spark, sf_dir, "documents")
+    counts = [search.scope_total(rows, scope.split(",")).select(F.lit(scope).alias("scope"), "total") for scope in ("src0", "src0,src1", "none")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 # --- text ------------------------------------------------------------------------------------------
@@ -269,27 +313,42 @@ def length_anomalies(spark, sf_dir):
     return d.select("doc_id", F.length("text").alias("description_len"))
 
 
-_HEAD = "regexp_replace(left(text, 40), '[\\n,]', ' ', 'g')"
+_WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
-@query(f"""
-with a as (select doc_id, trim({_HEAD}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as head, doc_id % 4 as k, lang, source from documents)
-select doc_id,
-  case k when 0 then head when 1 then head when 2 then head || chr(10) || chr(10) || 'The light is low and soft, the water lies still' else head end as description,
-  case k when 0 then lang || ',' || source || ',photo' when 1 then lang || ',' || source else '' end as keywords
-from a
+def _keywords_sql(line: str) -> str:
+    """The items of a comma-separated list, or none where it reads as prose."""
+    items = f"list_transform(list_filter(list_transform(string_split({line}, ','), lambda x: regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(x, '[.]+$', ''))"
+    longest = f"list_max(list_transform({items}, lambda x: len(regexp_split_to_array(x, '{_WHITE}+'))))"
+    return f"case when len({items}) >= 2 and ({longest} <= 3 or len({items}) >= 5 and {longest} <= 5) then {items} else []::varchar[] end"
+
+
+@query(rf"""
+with said as (
+  select doc_id, text || case doc_id % 4 when 0 then chr(10) || chr(10) || concat_ws(', ', lang, source, 'photo.') when 1 then chr(10) || concat_ws(', ', lang, source)
+    when 2 then chr(10) || chr(10) || 'The light is low and soft, the water lies still' else '' end as t
+  from documents
+), cut as (
+  select doc_id, t, regexp_extract(t, '(?s)^(.*)\n\n(.*)$', 1) as head, regexp_extract(t, '(?s)^(.*)\n\n(.*)$', 2) as tail,
+    regexp_extract(t, '(?s)^(.*)\n(.*)$', 1) as first, regexp_extract(t, '(?s)^(.*)\n(.*)$', 2) as last
+  from said
+), listed as (
+  select *, case when head <> '' then {_keywords_sql('tail')} else [] end as by_gap, case when first <> '' then {_keywords_sql('last')} else [] end as by_line from cut
+)
+select doc_id, sha256(regexp_replace(case when len(by_gap) > 0 then head when len(by_line) > 0 then first else t end, '^{_WHITE}+|{_WHITE}+$', '', 'g')) as description_sha256,
+  array_to_string(case when len(by_gap) > 0 then by_gap else by_line end, ',') as keywords
+from listed
 """)
 def answer_parsing(spark, sf_dir):
-    """Answers of four shapes: blank line, single line, prose, no list."""
-    head = text.strip(F.regexp_replace(F.left("text", F.lit(40)), r"[\n,]", " "))
+    """Whole texts as answers, with a list after a blank line, on the last line, with prose there, or as they are."""
     k = F.col("doc_id") % 4
-    said = (
-        F.when(k == 0, F.concat(head, F.lit("\n\n"), F.concat_ws(", ", "lang", "source", F.lit("photo."))))
-        .when(k == 1, F.concat(head, F.lit("\n"), F.concat_ws(", ", "lang", "source")))
-        .when(k == 2, F.concat(head, F.lit("\n\nThe light is low and soft, the water lies still"))).otherwise(head)
+    added = (
+        F.when(k == 0, F.concat(F.lit("\n\n"), F.concat_ws(", ", "lang", "source", F.lit("photo."))))
+        .when(k == 1, F.concat(F.lit("\n"), F.concat_ws(", ", "lang", "source")))
+        .when(k == 2, F.lit("\n\nThe light is low and soft, the water lies still")).otherwise(F.lit(""))
     )
-    parsed = table(spark, sf_dir, "documents").select("doc_id", answers.parse_answer(said).alias("x"))
-    return parsed.select("doc_id", "x.description", F.array_join("x.keywords", ",").alias("keywords"))
+    parsed = table(spark, sf_dir, "documents").select("doc_id", answers.parse_answer(F.concat("text", added)).alias("x"))
+    return parsed.select("doc_id", F.sha2(F.col("x.description").cast("binary"), 256).alias("description_sha256"), F.array_join("x.keywords", ",").alias("keywords"))
 
 
 @query("""
@@ -353,23 +412,24 @@ def date_chain(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x")).select("o_orderkey", "x.source", F.col("x.year").alias("y"), F.col("x.month").alias("m"), F.col("x.day").alias("d"))
 
 
-_ASKED = (
-    ("trip 12.05.2017", 2017, "5", 12), ("2017-05-12 at the sea", 2017, "5", 12), ("May 12, 2017", 2017, "5", 12), ("photos from last summer", None, "6,7,8", None),
-    ("photos from 2020", 2020, "", None), ("just a holiday by the sea", None, None, None), ("december trip, january return", None, "12", None), ("", None, None, None),
-    ("4-8 May 2017", 2017, "5", 4), ("31.13.2017 in march", 2017, "3", None), ("fall 1999", 1999, "9,10,11", None),
-)
-
-
-def _sql(v) -> str:
-    return "null" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
-
-
-@query("select * from (values " + ", ".join(f"({_sql(q)}, {_sql(y)}::int, {_sql(m)}, {_sql(d)}::int)" for q, y, m, d in _ASKED) + ") t(query, year, months, day)")
+@query(f"""
+select o_orderkey, case when k = 4 then null when k = 5 then null else year(o_orderdate)::int end as year,
+  case k when 3 then '' when 4 then '6,7,8' when 5 then null else month(o_orderdate)::varchar end as months, case when k < 3 then day(o_orderdate)::int end as day
+from (select *, o_orderkey % 6 as k from orders)
+""")
 def query_dates(spark, sf_dir):
-    """What queries say about time."""
-    rows = spark.createDataFrame([(q[0],) for q in _ASKED], "query string").select("query", dates.parse_query(F.col("query")).alias("x"))
+    """What queries say about time, in six forms."""
+    day = F.col("o_orderdate")
+    said = F.element_at(
+        F.array(
+            F.concat(F.lit("trip "), F.date_format(day, "dd.MM.yyyy")), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" at the sea")), F.date_format(day, "MMMM d, yyyy"),
+            F.concat(F.lit("photos from "), F.date_format(day, "yyyy")), F.lit("photos from last summer"), F.lit("just a holiday by the sea"),
+        ),
+        (F.col("o_orderkey") % 6 + 1).cast("int"),
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.parse_query(said).alias("x"))
     months = F.when(F.col("x").isNotNull(), F.coalesce(F.array_join(F.col("x.months").cast("array<string>"), ","), F.lit("")))
-    return rows.select("query", F.col("x.year").alias("year"), months.alias("months"), F.col("x.day").alias("day"))
+    return rows.select("o_orderkey", F.col("x.year").alias("year"), months.alias("months"), F.col("x.day").alias("day"))
 
 
 # --- sidecars --------------------------------------------------------------------------------------
@@ -438,11 +498,16 @@ def sidecar_replacing(spark, sf_dir):
 
 
 @query("""
-select page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') as title, len(regexp_extract_all(html, '<li>', 0))::int as items from pages
+select p_partkey, ext as image, case when p_partkey % 3 <> 0 then '/a/' || p_name || '/' || p_partkey || '.xmp' end as sidecar
+from part, (select unnest(['.jpeg', '.png']) as ext) e
 """)
-def page_fields(spark, sf_dir):
-    """The same extraction idioms on raw pages."""
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).alias("items"))
+def sidecar_pairs(spark, sf_dir):
+    """Images with the sidecar of their stem, which two images share, or without one."""
+    p = table(spark, sf_dir, "part").withColumn("stem", F.concat(F.lit("/a/"), F.col("p_name"), F.lit("/"), F.col("p_partkey").cast("string")))
+    found = p.select(F.explode(F.array(F.concat("stem", F.lit(".jpeg")), F.concat("stem", F.lit(".png")))).alias("path"))
+    cards = p.where("p_partkey % 3 <> 0").select(F.concat("stem", F.lit(".xmp")).alias("sidecar"), F.lit("x").cast("binary").alias("content"))
+    out = files.paired(found, cards)
+    return out.select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("p_partkey"), F.regexp_extract("path", "[.][a-z]+$", 0).alias("image"), "sidecar")
 
 
 # --- paths, logs, index ------------------------------------------------------------------------------
@@ -462,14 +527,15 @@ def paths(spark, sf_dir):
 
 @query("""
 select (row_number() over (order by string_split(path, '/')) - 1)::bigint as place, path
-from (select distinct source || case when doc_id % 2 = 0 then '/a/' else ' b/' end || lang || '.jpg' as path from documents) order by string_split(path, '/') limit 40
+from (select distinct source || case when doc_id % 2 = 0 then '/a/' else ' b/' end || lang || '.jpg' as path from documents where lang <> 'de') order by string_split(path, '/') limit 40
 """)
 def path_order(spark, sf_dir):
-    """The first paths by component."""
+    """What is left to tag, the first by path components."""
     from pyspark.sql import Window
 
     path = F.concat("source", F.when(F.col("doc_id") % 2 == 0, "/a/").otherwise(" b/"), F.col("lang"), F.lit(".jpg"))
-    rows = table(spark, sf_dir, "documents").select(path.alias("path")).distinct().orderBy(F.split("path", "/")).limit(40)
+    card = F.when(F.col("lang") == "de", F.lit("<dc:subject/>")).when(F.col("lang") == "fr", F.lit("<dc:title/>")).cast("binary")
+    rows = index.pending(table(spark, sf_dir, "documents").select(path.alias("path"), card.alias("content")).distinct(), 40)
     return rows.select((F.row_number().over(Window.orderBy(F.split("path", "/"))) - 1).cast("long").alias("place"), "path")
 
 
@@ -530,18 +596,110 @@ def even_sample(spark, sf_dir):
     return logs.even_sample(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 10)
 
 
-@query("select source, count(*) as n from (select 'photos' as source from orders union all select 'media' from customer) group by source")
+@query("""
+select source, p_partkey, 'A <small> ' || p_name || ' & more' as description, '2017-5' as date from part, (select unnest(['photos', 'media']) as source) s where source = 'photos' or p_partkey % 2 = 0
+""")
 def sources_union(spark, sf_dir):
-    """Collections one after the other."""
-    a = table(spark, sf_dir, "orders").select(F.lit("photos").alias("source"))
-    return a.unionByName(table(spark, sf_dir, "customer").select(F.lit("media").alias("source"))).groupBy("source").agg(F.count("*").alias("n"))
+    """The records of one collection after those of another; what has no description has no record."""
+    cards = _sidecars(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
+    empty = cards.select(F.concat("path", F.lit(".x")).alias("path"), F.lit("<rdf:Description/>").cast("binary").alias("content"))
+    rows = index.records(cards.select("path", "content").unionByName(empty), "/archive", "photos").unionByName(index.records(cards.where("p_partkey % 2 = 0").select("path", "content"), "/archive", "media"))
+    number = F.regexp_extract("path", "P([0-9]+)[.]jpg$", 1).cast("long")
+    return rows.select("source", number.alias("p_partkey"), "description", F.concat_ws("-", F.col("date.year").cast("string"), F.col("date.month").cast("string")).alias("date"))
 
 
-@query(f"with {PHOTOS_SQL} select seq, 'A ' || description || chr(10) || keywords[1] as line from photos where seq < 20")
+@query(f"""
+with {PHOTOS_SQL}, q as (select embedding as qv from embeddings where vec_id = 0),
+scored as (
+  select *, list_cosine_similarity(embedding::double[], qv::double[]) + case when people[1] like '%cold%' then 1.01 else 0 end + case when y = 1997 then 0.3 else 0 end as score, people[1] like '%cold%' as named
+  from photos, q
+), ranked as (select *, row_number() over (order by score desc, seq)::int as rank from scored)
+select rank, printf('%.3f', score) || case when named then ' [person: ' || people[1] || ']' when y = 1997 then ' [date: ' || d || ' ' || {_MONTHS_SQL}[m] || ' ' || y || ']' else '' end
+  || '  ' || path || chr(10) || '  ' || description || chr(10) || '  ' || keywords[1] as line
+from ranked where rank <= 48
+""")
 def printed_lines(spark, sf_dir):
-    """K9: records as text."""
-    rows = photos(spark, sf_dir).where("seq < 20")
-    return rows.select("seq", F.concat(F.lit("A "), F.col("description"), F.lit("\n"), F.array_join("keywords", ", ")).alias("line"))
+    """K9: the best records as lines of text."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    return search.printed(search.search(search.clean(photos(spark, sf_dir)), "cold 1997", q, sources=("photos", "media")))
+
+
+@query(f"""
+with {PHOTOS_SQL} select seq, path, description, keywords[1] as keyword, people[1] as name, country, city, y, m, d, source, len(embedding)::int as width from photos
+""")
+def index_lines(spark, sf_dir):
+    """An index of JSON lines, read again; broken, blank and pathless lines are passed over."""
+    path = f"{Workspace(spark, 'lines').root}/index"
+    rows = photo_rows(spark, sf_dir)
+    rows.write.json(path)
+    spark.createDataFrame([('{"path": "x", "desc',), ("",), ('{"description": "no path"}',)], "value string").write.mode("append").text(path)
+    back = files.read_index(spark, path)
+    number = F.regexp_extract("path", "_([0-9]+)[.]jpg$", 1).cast("long")
+    return back.select(
+        number.alias("seq"), "path", "description", F.col("keywords")[0].alias("keyword"), F.col("people")[0].alias("name"), "location.country", "location.city",
+        F.col("date.year").alias("y"), F.col("date.month").alias("m"), F.col("date.day").alias("d"), "source", F.size("vector").alias("width"),
+    )
+
+
+@query("""
+select (row_number() over (order by string_split(path, '/')))::int as place, path, description, 8 as width, 1::bigint as times
+from (select source || '/' || lang || '/' || doc_id || '.jpg' as path, text as description from documents where length(text) <= 1500)
+""")
+def index_append(spark, sf_dir):
+    """New records are embedded and appended, in the order of paths; a second run adds nothing."""
+    from pyspark.sql import Window
+
+    root = Workspace(spark, "append").root
+    none = {"keywords": "array<string>", "people": "array<string>", "location": "struct<country:string,city:string,province:string,name:string>", "date": "struct<year:int,month:int,day:int,source:string>"}
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")))
+    told = table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("description"), *(F.lit(None).cast(k).alias(c) for c, k in none.items()), F.lit("photos").alias("source"))
+    for _ in range(2):
+        index.append_index(told, f"{root}/index", f"{root}/odd", index.HashingEmbedder(8))
+    rows = spark.read.parquet(f"{root}/index")
+    times = F.count("*").over(Window.partitionBy("path"))
+    return rows.select(F.row_number().over(Window.orderBy("seq")).alias("place"), "path", "description", F.size("vector").alias("width"), times.alias("times"))
+
+
+@query("""
+select doc_id, case doc_id % 4 when 1 then 'error' when 2 then 'merged' when 3 then 'created' end as status, case when doc_id % 4 = 1 then 'HTTP 500: x' end as error,
+  case when doc_id % 4 > 1 then source end as context, case when doc_id % 4 > 1 then 0.25 end as cost
+from documents where doc_id % 4 > 0
+""")
+def run_log(spark, sf_dir):
+    """K3: outcomes as JSON lines, read again; what was done before is not logged."""
+    path, k = f"{Workspace(spark, 'log').root}/log", F.col("doc_id") % 4
+    plan = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), F.element_at(F.array(F.lit("skipped_done"), F.lit("error"), F.lit("merged"), F.lit("created")), (k + 1).cast("int")).alias("status"),
+        F.when(k == 1, F.lit("HTTP 500: x")).alias("error"), F.when(k > 1, F.col("source")).alias("context"), F.when(k > 1, F.lit(0.25)).alias("cost"),
+    )
+    for part in (0, 1):
+        writers.append_log(plan.where(F.col("path").cast("long") % 2 == part), path)
+    return files.read_log(spark, path, RUN_LOG_DDL).select(F.col("path").cast("long").alias("doc_id"), "status", "error", "context", "cost")
+
+
+@query("select doc_id, source || ' / ' || lang as context, 2 as named, true as filled from documents")
+def prompt_texts(spark, sf_dir):
+    """Prompts with their context and language filled in."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" / ", "source", "lang").alias("context"))
+    both = [prompts.prompt(kind, F.col("context"), "Esperanto") for kind in ("photos", "media")]
+    quoted = sum((F.contains(p, F.concat(F.lit('"'), F.col("context"), F.lit('"'))).cast("int") for p in both), F.lit(0))
+    filled = both[0].contains("Esperanto") & both[1].contains("Esperanto") & ~F.concat(*both).rlike("[{}]")
+    return d.select("doc_id", "context", quoted.alias("named"), filled.alias("filled"))
+
+
+@query("""
+select status, coalesce(n, 0)::bigint as n, coalesce(n, 0) * 0.5::double as cost from (select unnest(['fixed', 'still_glitched', 'xmp_error', 'error']) as status) s
+left join (select case doc_id % 5 when 0 then 'fixed' when 1 then 'still_glitched' when 2 then 'xmp_error' else 'error' end as status, count(*) as n from documents group by 1) d using (status)
+""")
+def repair_outcomes(spark, sf_dir):
+    """I8: what becomes of each repair."""
+    k = F.col("doc_id") % 5
+    told = F.when(k == 1, F.lit("A 猫.\n\ncat, window")).when(k == 3, F.lit("prose alone")).when(k < 3, F.lit("A cat.\n\ncat, window"))
+    answer = F.struct(told.alias("text"), F.lit(0.5).alias("cost"), F.lit(None).cast("string").alias("error"))
+    parsed = answers.parse_answer(told)
+    what = answers.repair_outcome(answer, text.has_cjk(parsed["description"], parsed["keywords"]), F.when(k == 2, F.lit(sidecar.NOT_THERE)))
+    log = table(spark, sf_dir, "documents").select(what.alias("x"), F.lit(0.5).alias("cost")).select("x.status", "cost")
+    return logs.run_stats(log, FIX_STATUSES)
 
 
 @query("select user_id, count(*) as n from (select distinct user_id from events) group by user_id")
