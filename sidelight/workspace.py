@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,52 @@ def shared_dir(spark: SparkSession) -> str:
     return own.get()
 
 
+_made: dict[str, SparkSession] = {}  # the folders of this process that are still there
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    jvm_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def clear(roots: list[str] | None = None) -> None:
+    """Deletes the folders of all workspaces, or of some; for when the results that read them have been read."""
+    for root in list(_made) if roots is None else roots:
+        if spark := _made.pop(root, None):
+            try:
+                _delete(spark, root)
+            except Exception:  # the JVM has gone first; nothing is left to call
+                pass
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Workspaces that are made inside are deleted at its end: what they served has been written elsewhere by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        clear([root for root in _made if root not in before])
+
+
+atexit.register(clear)
+
+
 class Workspace:
     """Names, writes, rereads and deletes the intermediate tables of one query run.
 
-    What a returned DataFrame still reads is deleted when Python ends; ``drop``
-    deletes sooner what only an inner step needed.
+    What a returned DataFrame still reads is deleted by ``clear``, at the end of ``passing``,
+    or else when Python ends; ``drop`` deletes sooner what only an inner step needed.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self.drop_all)
+        _made[self.root] = spark
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -51,17 +87,4 @@ class Workspace:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := getattr(t, "_workspace_path", None):
-                self._delete(path)
-
-    def drop_all(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM has gone first; nothing is left to call
-            pass
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        if sc._jsc is None:
-            return
-        jvm_path = sc._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jvm_path, True)
+                _delete(self.spark, path)
