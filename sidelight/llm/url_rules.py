@@ -16,6 +16,9 @@ A URL has at most ``MAX_TOKENS`` tokens (one of each kind), so at most
 collected and sent to the executors, whatever the input. Counting is FP-growth's
 own, over all labelled rows. Training is cut from the rest by a written table.
 
+A very long URL is read as a whole; it has no more tokens than another. Rows with null
+or repeated ids are judged like any others, as no id is read.
+
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 no tokens, no rule and the verdict ``allow``. Repeated rows are judged alike and
 count each in training. With no labelled row nothing is mined. An empty table
@@ -24,6 +27,9 @@ gives an empty table. Columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,16 +95,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         .where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict="))))
         .select("antecedent", "consequent", "confidence", "support").collect()
     )
-    rules = sorted(((tuple(sorted(r[0])), r[1][0].removeprefix("verdict="), r[2], r[3]) for r in rows), key=lambda r: (len(r[0]), r))
-    kept: list = []
-    best: dict = {}
-    for ante, verdict, conf, supp in rules:
-        inside = [ante[:i] + ante[i + 1:] for i in range(len(ante))]
-        shorter = max((best.get((a, verdict), 0.0) for a in inside), default=0.0)
-        best[ante, verdict] = max(conf, shorter)
-        if conf > shorter:
-            kept.append((ante, verdict, conf, supp))
-    return kept
+    found = {(tuple(sorted(r[0])), r[1][0].removeprefix("verdict=")): (r[2], r[3]) for r in rows}
+    best: dict = {((), v): 0.0 for v in ("allow", "block")}
+
+    def inside(ante: tuple[str, ...], verdict: str) -> float:
+        """The highest confidence of a rule whose tokens are some of these, but not all."""
+        return max((most(ante[:i] + ante[i + 1 :], verdict) for i in range(len(ante))), default=0.0)
+
+    def most(ante: tuple[str, ...], verdict: str) -> float:
+        key = ante, verdict
+        if key not in best:
+            best[key] = max(found.get(key, (0.0, 0.0))[0], inside(ante, verdict))
+        return best[key]
+
+    return [(a, v, *found[a, v]) for a, v in sorted(found, key=lambda k: (len(k[0]), k)) if found[a, v][0] > inside(a, v)]
 
 
 class RuleIndex:
@@ -141,20 +151,17 @@ def judge(df: DataFrame, url_col: str = "url", rules=LIST, support: float = SUPP
     mined = mine(labelled, support, confidence) if not labelled.isEmpty() else []
     ws.drop(labelled)
 
-    @F.pandas_udf("string")
-    def by_index(found):
-        import pandas as pd
-
-        index = RuleIndex(mined)
-        memo: dict = {}
+    rules_sent = df.sparkSession.sparkContext.broadcast(mined)  # bounded, see above
 
-        def one(ts):
-            key = tuple(ts)
-            if key not in memo:
+    @F.pandas_udf("string")
+    def by_index(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = RuleIndex(rules_sent.value)
+        for found in batches:
+            memo: dict = {}
+            keys = [tuple(ts) for ts in found]
+            for key in set(keys):
                 memo[key] = index.verdict(key)
-            return memo[key]
-
-        return pd.Series([one(ts) for ts in found], dtype=object)
+            yield pd.Series([memo[key] for key in keys], dtype=object)
 
     return parsed(df).withColumns({
         "host": F.col("_u.host"), "path": F.col("_u.path"), "rule": F.col("_list.rule"),

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sidelight.llm import url_rules as ur
 
 SCHEMA = "page_id long, url string, verdict int"
@@ -40,30 +42,58 @@ def test_hosts_paths_and_listed_verdicts(spark):
         assert r.verdict in ("allow", "block") and (best is None or r.verdict == best[1])
 
 
-def test_mined_rules_against_brute_force(spark):
+def plain_mined(rows, support, confidence):
+    """Rules of (tokens, verdict) rows, by trying every combination."""
     from itertools import combinations
 
-    rng = random.Random(2)
-    rows = []
-    for _ in range(300):
-        ts = [t for t in "abcde" if rng.random() < 0.5]
-        rows.append((ts, "block" if {"a", "b"} <= set(ts) or "e" in ts and rng.random() < 0.8 else "allow"))
-    mined = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.9)
-    kept = {}
-    for size in range(1, 6):
-        for ante in combinations("abcde", size):
+    n, tokens = len(rows), sorted({t for ts, _ in rows for t in ts})
+    rules = {}
+    for size in range(1, len(tokens) + 1):
+        for ante in combinations(tokens, size):
             have = [v for ts, v in rows if set(ante) <= set(ts)]
             for verdict in ("allow", "block"):
                 hits = have.count(verdict)
-                if hits / 300 >= 0.05 and hits / len(have) >= 0.9:
-                    inside = [kept.get((s, verdict), 0) for n in range(1, size) for s in combinations(ante, n)]
-                    kept[ante, verdict] = hits / len(have)
-                    if hits / len(have) <= max(inside, default=0):
-                        kept[ante, verdict] = -1.0
-    want = {k for k, v in kept.items() if v > 0}
-    got = {(a, v) for a, v, *_ in mined}
-    assert got and got <= set(kept) and ("a", "b") in {a for a, v in got if v == "block"}
-    assert want - got == set() or all(len(a) > 1 for a, _ in want - got)
+                if hits and hits / n >= support and hits / len(have) >= confidence:
+                    rules[ante, verdict] = hits / len(have), hits / n
+    better = lambda a, v: any(w == v and set(b) < set(a) and c >= rules[a, v][0] for (b, w), (c, _) in rules.items())
+    return {k: x for k, x in rules.items() if not better(*k)}
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = random.Random(2)
+    for share in (0.8, 0.93, 0.97):
+        rows = []
+        for _ in range(300):
+            ts = [t for t in "abcde" if rng.random() < 0.5]
+            rows.append((ts, "block" if {"a", "b"} <= set(ts) or "e" in ts and rng.random() < share else "allow"))
+        mined = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.9)
+        want = plain_mined(rows, 0.05, 0.9)
+        assert {(a, v) for a, v, *_ in mined} == set(want) and ("a", "b") in {a for a, v in want if v == "block"}
+        assert all(abs(c - want[a, v][0]) < 1e-9 and abs(s - want[a, v][1]) < 1e-9 for a, v, c, s in mined)
+
+
+def test_verdicts_of_all_urls_against_brute_force(spark):
+    rng = random.Random(12)
+    sites = ["casino-win.example.com", "casino-top.example.com", "news.example.net", "x.example.org", "shop.site.org", "shop.site.net"]
+    rows = []
+    for i in range(500):
+        lang = rng.choice(["en", "de", "es", "fr"])
+        rows.append((i, f"http{rng.choice(['', 's'])}://{rng.choice(sites)}/{lang}/{rng.randrange(90)}{rng.choice(['', '.html', '?page=2'])}", 0))
+    rows += [(None, None, 0), (7, "none", 0), (7, rows[3][1], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r.url: tuple(r.t) for r in df.select("url", ur.tokens(F.col("url"), ur.host_of(F.col("url")), ur.path_of(F.col("url"))).alias("t")).collect()}
+    listed = [(found[u], plain(u)[2][1]) for _, u, _ in rows if plain(u)[2]]
+    rules = plain_mined(listed, ur.SUPPORT, ur.CONFIDENCE)
+    got = ur.judge(df).collect()
+    assert len(got) == len(rows)
+    unlisted = set()
+    for r in got:
+        best = plain(r.url)[2]
+        fits = sorted((-c, -s, v) for (a, v), (c, s) in rules.items() if set(a) <= set(found[r.url]))
+        assert r.verdict == (best[1] if best else fits[0][2] if fits else "allow"), r.url
+        if not best:
+            unlisted.add(r.verdict)
+    assert unlisted == {"allow", "block"}
 
 
 def test_index_picks_the_best_matching_rule():
