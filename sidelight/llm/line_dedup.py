@@ -1,7 +1,7 @@
 """Line dedup: a line that many documents hold stays only in the first of them.
 
 Lines are exploded to 128-bit hashes of their normalised form (white space
-stripped at both ends, A-Z lower-cased), the distinct documents of each hash are
+stripped at both ends, A-Z lower-cased), which are written once; the distinct documents of each hash are
 counted, and documents drop their lines over the threshold and are put together
 again by position. Only hashes and ids are shuffled by line; a hash that a third
 of the documents hold is combined map-side in the count, and adaptive execution
@@ -9,7 +9,8 @@ splits it in the join. The text itself moves once, in the join by document.
 
 Defined results: a null or empty text is one empty line. Rows with the same id
 are one document; rows with a null id are together one document that sorts after
-all others. Repeated lines inside one document are no reason to drop them. An
+all others. A text of any length is cut as a whole; where several documents hold a line,
+the smallest id keeps it. Repeated lines inside one document are no reason to drop them. An
 empty table gives an empty table. Columns named like the added ones are
 replaced; all other columns pass through.
 """
@@ -50,14 +51,16 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.xxhash64(text).alias("_text"),
         F.posexplode(F.transform(_lines(text), _key)).alias("_pos", "_key"),
     ).where(F.length("_key") >= min_chars)
-    lines = lines.select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
+    ws = Workspace(df.sparkSession, "lines")
+    # read twice, and so cut and hashed once
+    lines = ws.table(lines.select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2")), "lines")
     repeated = (
         lines.select("_h1", "_h2", "_id").distinct()
         .groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_first"))
         .where(F.col("_docs") >= min_docs).drop("_docs")
     )
     # a table of its own, so that the join shuffles both sides itself and a hot line can be split
-    repeated = Workspace(df.sparkSession, "lines").table(repeated, "repeated")
+    repeated = ws.table(repeated, "repeated")
     drops = (
         lines.join(repeated, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
         .groupBy(F.col("_id").alias("_d_id"), F.col("_text").alias("_d_text")).agg(F.collect_set("_pos").alias("_d_pos"))
