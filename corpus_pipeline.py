@@ -13,6 +13,16 @@ but the last return the columns of ``documents``.
    A document that is taken twice is two rows; a fractional one has a row with its
    first words.
 5. BPE: the ids of every text, checked by decoding them.
+
+Defined results: a document with a null or empty text, or without a letter, has no
+language and goes in the first stage, so later stages see none unless their input
+has them; there a null text has one empty line, is near to nothing, has no words to
+mix and stays once, as a null text, and has no ids. Rows with a null id are judged by
+their text, lines of theirs are dropped where another document holds them, and they
+are kept by near-dedup. Equal rows are one document to the third stage, and so all stay or all go.
+A null source is a source. Texts of any length are read as a whole. Ties go to the
+smallest id. Columns of the input beyond those of ``documents`` end in the first
+stage. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +35,7 @@ from sidelight.llm.langid import fit_centroids, with_language
 from sidelight.llm.line_dedup import drop_repeated_lines
 from sidelight.llm.minhash import drop_near_duplicates
 from sidelight.llm.mixing import mixed_rows
-from sidelight.workspace import Workspace
+from sidelight.workspace import Workspace, passing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,7 +83,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        done = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing():  # what the stage wrote for itself goes with it
+            done = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         ws.drop(docs)
         docs = done
     return docs

@@ -79,3 +79,67 @@ def test_token_stage_and_run(spark, staged):
     want = Counter((r.doc_id, array.array("I", whole.encode_ordinary(r.text)).tobytes(), hashlib.sha256(r.text.encode()).hexdigest()) for r in before.collect())
     assert Counter((r.doc_id, bytes(r.ids), r.decoded_sha256) for r in after.collect()) == want
     assert Counter((r.doc_id, bytes(r.ids), r.decoded_sha256) for r in cp.run(spark, SF).collect()) == want
+
+
+ODD = [
+    (1, "the cat sat on the mat and it was good of them to be there", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, "12 34 %%", "en", "b"),
+    (None, "a text without an id is in the house of the king by the sea", "en", None), (5, "der hund und die katze in dem haus mit den leuten von hier", "de", "b"),
+    (6, "der hund und die katze in dem haus mit den leuten von hier", "de", "b"), (7, "equal rows of the land and the sea that were in it", None, "a"),
+    (7, "equal rows of the land and the sea that were in it", None, "a"), (8, "the long text of a very long day and night " * 3000, "en", None),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept long, _row string"
+
+
+def stage(spark, k, rows, tmp_path):
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 1, "x") for r in rows], SCHEMA)
+    cp.STAGES[k][1](spark, df, SF).write.parquet(str(tmp_path / "out"))
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_an_empty_table(spark, k, tmp_path):
+    out = stage(spark, k, [], tmp_path)
+    assert out.collect() == [] and (k == 4 or out.columns == cp.COLUMNS)
+
+
+def test_language_stage_on_odd_rows(spark, tmp_path):
+    kept = Counter(str(r.doc_id) for r in stage(spark, 0, ODD, tmp_path).collect())
+    # texts without a letter go, labelled ones stay while they are few; equal rows share their fate
+    assert not set("234") & set(kept) and set("1568") <= set(kept) and kept["7"] in (0, 2)
+
+
+def test_line_stage_on_odd_rows(spark, tmp_path):
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in stage(spark, 1, ODD, tmp_path).collect())
+    gone = {6: ""}
+    assert got == Counter((i, gone.get(i, t), None if t is None else len(gone.get(i, t))) for i, t, *_ in ODD)
+
+
+def test_near_duplicate_stage_on_odd_rows(spark, tmp_path):
+    got = Counter(str(r.doc_id) for r in stage(spark, 2, ODD, tmp_path).collect())
+    assert got == Counter(map(str, [1, 2, 3, 4, None, 5, 7, 7, 8]))
+
+
+def test_mixing_stage_on_odd_rows(spark, tmp_path):
+    rows = stage(spark, 3, ODD, tmp_path).collect()
+    texts = Counter(str(r[0]) for r in ODD)
+    have = Counter(str(r.doc_id) for r in rows)
+    assert set(have) <= set(texts) and all(have[i] == 1 for i in ("2", "3"))  # without words they stay once
+    assert all(r.text is None for r in rows if r.doc_id == 2) and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+
+
+def test_token_stage_on_odd_rows(spark, tmp_path):
+    got = stage(spark, 4, ODD, tmp_path).collect()
+    assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {0}
+    assert {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ODD} == {r.decoded_sha256 for r in got}
+
+
+def test_run_leaves_nothing_of_its_stages_behind(spark, staged):
+    import os
+
+    from sidelight.workspace import _made, clear
+
+    before = set(_made)
+    assert cp.run(spark, SF).count() == staged[4][1].count()
+    left = set(_made) - before
+    assert len(left) == 1 and len(os.listdir(left.copy().pop().removeprefix("file:"))) == 1
+    clear(list(left))
