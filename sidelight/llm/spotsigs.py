@@ -7,10 +7,13 @@ a text's spots, each hashed to 32 bits, is its fingerprint, written as sorted he
 A text with words but no spot (it has no anchor, or less than ``CHAIN`` content
 words after its last one) has its pairs of adjacent words instead, or its only word.
 
-Likeness is the exact Jaccard similarity. A search for sets at least as alike as a
-``floor`` may prune: sizes fall into partitions of powers of 1 / floor, and sets of
-partitions that do not touch, or whose smaller size is below ``floor`` of the larger,
-cannot be as alike: they are given 0 without being intersected.
+Likeness is the exact Jaccard similarity; with a ``floor`` it is 0 where the sizes
+alone keep it below. A search (``alike``) finds all sets at least as alike as a floor:
+sizes fall into partitions of powers of 1 / floor, so that only partitions that touch
+meet. In them, sets meet through an index of their spots: as spots are hashes, two sets
+as alike as the floor share one among the first n - ceil(floor * n) + 1 in the order of
+their values, and those alone are filed. What meets, and whose sizes allow it, is
+intersected once.
 
 Defined results: a null text is empty. A text without words has the empty
 fingerprint. Equal fingerprints have likeness 1, the empty one and any other 0.
@@ -91,13 +94,10 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     """Jaccard similarity of two sets of spots, with a floor 0 where their sizes alone keep it below."""
     na, nb = F.size(a), F.size(b)
 
-    def partition(n):
-        return F.floor(F.log(n.cast("double")) / F.lit(log(1 / floor)))
-
     common = F.size(F.array_intersect(a, b))
     out = F.when((na == 0) & (nb == 0), F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0))
     if floor > 0:
-        out = out.when((F.abs(partition(na) - partition(nb)) > 1) | (F.least(na, nb) < F.lit(floor) * F.greatest(na, nb)), F.lit(0.0))
+        out = out.when((F.abs(_length_partition(na, floor) - _length_partition(nb, floor)) > 1) | (F.least(na, nb) < F.lit(floor) * F.greatest(na, nb)), F.lit(0.0))
     return out.otherwise(common / (na + nb - common))
 
 
@@ -128,6 +128,33 @@ def _range_of(key: Column, borders: list) -> Column:
     return F.transform(F.transform(F.array(key), group), within)[0]
 
 
+def _length_partition(n: Column, floor: float) -> Column:
+    # the margin lets a size that is a whole power fall where its value says
+    return F.floor(F.log(n.cast("double")) / F.lit(log(1 / floor)) + F.lit(1e-9)).cast("int")
+
+
+def alike(df: DataFrame, asks: Column, floor: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``query_id``, ``id``, ``likeness``: for each row where ``asks``, all rows of other ids that are as alike as ``floor``.
+
+    Rows with a null id, and texts without words, take no part; rows with one id are one for each different fingerprint,
+    and of its likenesses the highest counts. Only ids and single spots meet; spots of whole texts are joined to pairs
+    that met. A spot that many sets file brings as many ids to each query that files it, which a join can split.
+    """
+    ws = Workspace(df.sparkSession, "alike")
+    sets = ws.table(df.select(F.col(id_col).alias("id"), spots(F.col(text_col)).alias("spots"), F.coalesce(asks, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & (F.size("spots") > 0)).distinct(), "sets")
+    n = F.size("spots")
+    filed = F.slice("spots", F.lit(1), n - F.ceil(n * F.lit(floor) - F.lit(1e-9)).cast("int") + 1)
+    index = sets.select("id", n.alias("n"), _length_partition(n, floor).alias("part"), F.explode(filed).alias("spot"))
+    near = F.sequence(_length_partition(n, floor) - 1, _length_partition(n, floor) + 1)
+    asked = sets.where("asks").select(F.col("id").alias("query_id"), n.alias("q_n"), near.alias("near"), F.explode(filed).alias("spot")).withColumn("part", F.explode("near"))
+    fits = F.least("n", "q_n") >= F.greatest("n", "q_n") * F.lit(floor - 1e-9)
+    met = asked.join(index, ["spot", "part"]).where(fits & (F.col("id") != F.col("query_id"))).select("query_id", "id").distinct()
+    theirs = sets.select("id", "spots")
+    full = met.join(theirs, "id").join(theirs.select(F.col("id").alias("query_id"), F.col("spots").alias("q_spots")), "query_id")
+    scored = full.select("query_id", "id", likeness(F.col("q_spots"), F.col("spots")).alias("likeness")).where(F.col("likeness") >= floor - 1e-12)
+    return scored.groupBy("query_id", "id").agg(F.max("likeness").alias("likeness"))
+
+
 def with_next(df: DataFrame, ws: Workspace) -> DataFrame:
     """``id``, ``text`` of each row and its ``spots``, with ``next_text``, ``next_spots`` of the row after it
     in descending order of ``id``; after the last comes the first.

@@ -129,3 +129,28 @@ def test_likeness_of_sets_of_unlike_sizes_is_exact(spark):
     df = spark.createDataFrame([([1, 2], list(range(100)))], "a array<int>, b array<int>")
     assert df.select(sp.likeness(F.col("a"), F.col("b")).alias("x")).first().x == 0.02
     assert df.select(sp.likeness(F.col("a"), F.col("b"), 0.1).alias("x")).first().x == 0.0
+
+
+@pytest.mark.parametrize("floor", [0.5, 0.8, 1.0 - 1e-6])
+def test_search_of_a_table_against_brute_force(spark, floor):
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(200)]
+    base = [[rng.choice(words) for _ in range(rng.choice([2, 9, 40]))] for _ in range(6)]
+    texts = [None, "", "the", "plain words only"]
+    for _ in range(90):
+        own = [w if rng.random() > 0.06 else rng.choice(words) for w in rng.choice(base)]
+        texts.append(" ".join(x for w in own[: rng.randrange(1, len(own) + 1)] for x in (["the"] if rng.random() < 0.8 else []) + [w]))
+    ids = [rng.choice([i, i, i, 5, None]) for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "c", 0.5) for i, t in zip(ids, texts)], "doc_id long, text string, id string, likeness double")
+    found = marks(spark, texts)
+    want: dict = {}
+    for a, i in enumerate(ids):
+        for b, j in enumerate(ids):
+            if None not in (i, j) and i != j and i % 5 == 0 and found[a] and found[b]:
+                x = jaccard(set(found[a]), set(found[b]))
+                if x >= floor - 1e-12:
+                    want[i, j] = max(want.get((i, j), 0), x)
+    got = {(r.query_id, r.id): r.likeness for r in sp.alike(df, F.col("doc_id") % 5 == 0, floor).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 3
+    assert sp.alike(df.where("false"), F.col("doc_id") % 5 == 0, floor).collect() == []
+    assert "Python" not in sp.alike(df, F.col("doc_id") % 5 == 0, floor)._jdf.queryExecution().toString()
