@@ -3,7 +3,9 @@
 The gear hash of the last 32 bytes is taken at the end of every word. A word whose
 hash is the largest of any ``WITHIN`` words in a row (the last of equals) ends a
 chunk: the ``CHUNK_WORDS`` words up to it. Chunks overlap, and which are taken
-depends on nearby bytes alone.
+depends on nearby bytes alone. Where a text repeats a few words, chunks follow that
+are all equal; of such a row the first, the last, and between them one within any
+``WITHIN`` words are kept.
 
 A chunk whose 128-bit digest more than one document holds is a repeat. Two repeats of
 a document whose ends are at most ``WITHIN`` words apart are joined if another document
@@ -16,8 +18,8 @@ and are joined. So a passage of 51 words is always found, also where its first a
 last word are glued to something else. Shorter passages of at least ``CHUNK_WORDS``
 words are found by chance; the query leaves out what is below ``SURE_WORDS``.
 
-Each end of a run is then extended by the words it shares with one other holder
-of its outermost chunk, the smallest id or, in that itself, the largest; that is
+Each end of a run is then extended by the words it shares with another holder of its
+outermost chunk, the smallest or the largest id, whichever shares more; that is
 fewer than ``WITHIN`` words, or another chunk would be there. In the smallest id
 that holds a chunk, the chunk is the original; elsewhere it is a copy.
 
@@ -81,6 +83,22 @@ def word_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, begins[first], ends[first + CHUNK_WORDS - 1] if len(first) else first
 
 
+def _thinned(word: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which chunks are kept: all but those inside a row of equal ones that have another within reach."""
+    keep = np.ones(len(word), bool)
+    new = np.append(True, (digests[1:] != digests[:-1]).any(axis=1))
+    begins = np.flatnonzero(new)
+    for at, n in zip(begins.tolist(), np.diff(np.append(begins, len(word))).tolist()):
+        if n > 2:
+            last = word[at]
+            for k in range(at + 1, at + n - 1):
+                if word[k + 1] - last <= WITHIN:
+                    keep[k] = False
+                else:
+                    last = word[k]
+    return keep
+
+
 def _chunks(batches):
     from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -95,6 +113,8 @@ def _chunks(batches):
             view = memoryview(data)
             digests = b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
             both = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+            keep = _thinned(word, both)
+            word, starts, ends, both = word[keep], starts[keep], ends[keep], both[keep]
             row = np.full(len(word), xxh3_64_intdigest(data), np.uint64).view(np.int64)
             for c, x in zip(cols, (np.full(len(word), doc, np.int64), row, word, starts, ends, both[:, 0], both[:, 1])):
                 c.append(x)
@@ -131,12 +151,12 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = chunks.join(repeats, ["d1", "d2"]).dropDuplicates(["doc", "row", "word"])
     found = ws.table(found.select("doc", "row", "word", "start", "end", F.struct("d1", "d2").alias("digest"), "first", "last"), "found")
     ws.drop(chunks, repeats)
-    mate = F.when(F.col("first") == F.col("doc"), F.col("last")).otherwise(F.col("first"))
+    mates = F.filter(F.array("first", "last"), lambda d: d != F.col("doc"))
     runs = ws.table(
         _joined(ws, found).groupBy("doc", "row", "island").agg(
             F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.min("word").alias("from"), (F.max("word") + CHUNK_WORDS).alias("to"),
             F.count("*").alias("n_chunks"), F.min("first").alias("first_doc"), F.min(F.col("first") == F.col("doc")).alias("kept"),
-            F.min_by("digest", "word").alias("digest_l"), F.min_by(mate, "word").alias("mate_l"), F.max_by("digest", "word").alias("digest_r"), F.max_by(mate, "word").alias("mate_r"),
+            F.min_by("digest", "word").alias("digest_l"), F.min_by(mates, "word").alias("mates_l"), F.max_by("digest", "word").alias("digest_r"), F.max_by(mates, "word").alias("mates_r"),
         ),
         "runs",
     )
@@ -156,7 +176,7 @@ def _shared_ends(ws: Workspace, docs: DataFrame, found: DataFrame, runs: DataFra
     """For each run, the words shared with its mates beyond its ends, and the bytes to which they reach."""
     own = ["doc", "row", "island"]
     left, right = (
-        runs.select(*own, F.col(at).alias("word"), F.lit(at == "from").alias("left"), F.col(f"digest_{x}").alias("digest"), F.col(f"mate_{x}").alias("mate"))
+        runs.select(*own, F.col(at).alias("word"), F.lit(at == "from").alias("left"), F.col(f"digest_{x}").alias("digest"), F.explode(f"mates_{x}").alias("mate"))
         for at, x in (("from", "l"), ("to", "r"))
     )
     edges = left.unionByName(right)
@@ -180,8 +200,8 @@ def _shared_ends(ws: Workspace, docs: DataFrame, found: DataFrame, runs: DataFra
     met = edges.join(beside, ["doc", "row", "word", "left"]).join(theirs, ["digest", "mate", "left"]).select(
         *own, "left", "bytes", F.when(differs > 0, differs - 1).otherwise(n).alias("words")
     ).where("words > 0").withColumn("byte", F.element_at("bytes", F.col("words").cast("int")))
-    side = lambda c, x: F.max(F.when(F.col("left") == (x == "l"), F.col(c))).alias(f"{c}_{x}")
-    return met.groupBy(*own).agg(side("words", "l"), side("byte", "l"), side("words", "r"), side("byte", "r"))
+    best = met.groupBy(*own, "left").agg(F.max_by(F.struct("words", "byte"), "words").alias("x"))
+    return best.groupBy(*own).agg(*(F.max(F.when(F.col("left") == (x == "l"), F.col(f"x.{c}"))).alias(f"{c}_{x}") for x in "lr" for c in ("words", "byte")))
 
 
 def _words_beside(batches):

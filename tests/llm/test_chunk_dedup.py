@@ -39,12 +39,22 @@ def test_chunks_follow_the_rule(words):
     assert list(zip(*(x.tolist() for x in cd.word_chunks(text.encode())))) == plain_chunks(text)
 
 
+def thinned(chunks):
+    """Of chunks equal to both neighbours, those without which there would be a gap."""
+    out = []
+    for k, c in enumerate(chunks):
+        inside = 0 < k < len(chunks) - 1 and chunks[k - 1][3] == c[3] == chunks[k + 1][3]
+        if not inside or chunks[k + 1][0] - out[-1][0] > cd.WITHIN:
+            out.append(c)
+    return out
+
+
 def plain_runs(rows, min_words):
     """Every column of every run, from lists of chunks; rows are (id, text)."""
     from collections import defaultdict
 
     distinct = sorted({(i, t) for i, t in rows if i is not None and t})
-    chunks = {(i, t): [(w, a, b, t.encode()[a:b]) for w, a, b in plain_chunks(t)] for i, t in distinct}
+    chunks = {(i, t): thinned([(w, a, b, t.encode()[a:b]) for w, a, b in plain_chunks(t)]) for i, t in distinct}
     holders = defaultdict(set)
     for (i, _), cs in chunks.items():
         for *_, bytes_ in cs:
@@ -78,22 +88,23 @@ def plain_runs(rows, min_words):
     for i, t, run in out:
         ends = []
         for left, c in ((True, run[0]), (False, run[-1])):
-            have = holders[c[3]]
-            mate = max(have) if min(have) == i else min(have)
-            places = []
-            for (j, u), cs in found.items():
-                if j == mate:
-                    signed = xxhash.xxh3_64_intdigest(u.encode())
-                    signed -= (1 << 64) if signed >> 63 else 0
-                    places += [(signed, d[0], u) for d in cs if d[3] == c[3]]
-            _, at, u = min(places)
-            word, theirs = (c[0], at) if left else (c[0] + cd.CHUNK_WORDS, at + cd.CHUNK_WORDS)
-            n, byte = 0, None
-            for (x, end), (y, _) in zip(beside(t, word, left), beside(u, theirs, left)):
-                if x != y:
-                    break
-                n, byte = n + 1, end
-            ends.append((n, byte))
+            have, best = holders[c[3]], (0, None)
+            for mate in {min(have), max(have)} - {i}:
+                places = []
+                for (j, u), cs in found.items():
+                    if j == mate:
+                        signed = xxhash.xxh3_64_intdigest(u.encode())
+                        signed -= (1 << 64) if signed >> 63 else 0
+                        places += [(signed, d[0], u) for d in cs if d[3] == c[3]]
+                _, at, u = min(places)
+                word, theirs = (c[0], at) if left else (c[0] + cd.CHUNK_WORDS, at + cd.CHUNK_WORDS)
+                n, byte = 0, None
+                for (x, end), (y, _) in zip(beside(t, word, left), beside(u, theirs, left)):
+                    if x != y:
+                        break
+                    n, byte = n + 1, end
+                best = max(best, (n, byte), key=lambda e: e[0])
+            ends.append(best)
         words = run[-1][0] + cd.CHUNK_WORDS - run[0][0] + ends[0][0] + ends[1][0]
         firsts = [min(holders[c[3]]) for c in run]
         if words >= min_words:
@@ -105,8 +116,8 @@ def test_every_column_against_brute_force(spark, docs):
     rng = random.Random(31)
     pool = [passage(rng, n) for n in (20, 38, 45, 51, 70, 140)]
     texts = [" ".join(x for _ in range(rng.randrange(1, 4)) for x in (passage(rng, rng.randrange(0, 50)), rng.choice(pool))) for _ in range(50)]
-    texts += [None, "", "x " * 90, "x " * 70, texts[0], texts[3]]
-    ids = [*range(50), 60, 61, 62, 63, 0, None]
+    texts += [None, "", "x " * 90, "x " * 70, texts[0], texts[3], "a b c " * 40 + "d", "a b c " * 30]
+    ids = [*range(50), 60, 61, 62, 63, 0, None, 64, 65]
     ids[7] = 6  # one id, two texts
     columns = "doc_id", "start_byte", "end_byte", "n_words", "n_chunks", "first_doc", "kept"
     for least in (cd.MIN_WORDS, cd.SURE_WORDS):
