@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelight.llm.columns import read
-from sidelight.llm.memory import sliced
+from sidelight.llm.memory import release, sliced
 from sidelight.operators.components import connected_components
 from sidelight.workspace import Workspace
 
@@ -68,6 +68,7 @@ _RNG = np.random.default_rng(20240501)
 _MUL = _RNG.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, MINIMA, np.uint32)
 _WORD = _RNG.integers(0, 1 << 63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -237,16 +238,19 @@ def _cell_links(percent: int):
 
 
 def _band_keys(batches):
-    from xxhash import xxh3_64_intdigest
-
-    for batch in batches:
-        docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        keys = [
-            xxh3_64_intdigest(memoryview(sig)[4 * ROWS * i : 4 * ROWS * (i + 1)], seed=i)
-            for sig in batch.column(1).to_pylist() for i in range(BANDS)
-        ]
-        band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(band), pa.array(docs, pa.int64())], names=["key", "band", "doc"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            rows = _minima_of(batch.column(1))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+            keys = (rows * _BAND).sum(axis=2, dtype=np.uint64) + _BAND[:, 0]
+            keys ^= keys >> np.uint64(32)
+            keys *= np.uint64(0x9FB21C651E98DF25)
+            keys ^= keys >> np.uint64(29)
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(docs, pa.int64())], names=["key", "band", "doc"])
+        del whole
+        release()
 
 
 def _minima_of(column) -> np.ndarray:
