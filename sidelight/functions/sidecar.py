@@ -37,47 +37,53 @@ _PLACE_NAME = r"(?s)<Iptc4xmpExt:LocationName>.*?<rdf:li[^>]*>(.*?)</rdf:li>"
 _PREFIX = r"""xmlns:([A-Za-z_][\w.\-]*)\s*=\s*["']""" + re.escape(DC) + r"""["']"""
 
 
-@F.pandas_udf(StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """All HTML entities, named and numeric; the JVM has no such function."""
-    return s.map(lambda x: None if x is None else html.unescape(x))
+_TEXTS = ("description", "country", "city", "province", "name")
+_LISTS = ("keywords", "people")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda xs: None if xs is None else [html.unescape(x) for x in xs])
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in _TEXTS] + [StructField(c, ArrayType(StringType())) for c in _LISTS]))
+def unescaped(raw: pd.DataFrame) -> pd.DataFrame:
+    """All HTML entities, named and numeric, in all fields of a sidecar at once; the JVM has no such function."""
 
+    def plain(x):
+        return html.unescape(x) if x and "&" in x else x
 
-def _strings() -> Column:
-    return F.array().cast("array<string>")
-
+    texts = {c: [plain(x) for x in raw[c]] for c in _TEXTS}
+    lists = {c: [None if xs is None else [plain(x) for x in xs] for xs in raw[c]] for c in _LISTS}
+    return pd.DataFrame(texts | lists, dtype=object)
 
-def description(content: Column) -> Column:
-    """The first item of the description; null where there is none."""
-    return F.when(F.regexp_like(content, F.lit(_DESCRIPTION)), strip(unescape(F.regexp_extract(content, _DESCRIPTION, 1))))
-
-
-def keywords(content: Column) -> Column:
-    """Bare items of the first subject, on one line each, not stripped."""
-    return unescape_all(F.regexp_extract_all(F.regexp_extract(content, _SUBJECT, 0), F.lit(_ITEM), F.lit(1)))
 
+def _strings() -> Column:
+    return F.array().cast("array<string>")
 
-def people(content: Column) -> Column:
-    found = F.regexp_extract_all(F.regexp_extract(content, _PERSON, 0), F.lit(_ITEM), F.lit(1))
-    return F.transform(unescape_all(F.filter(found, lambda x: strip(x) != "")), strip)
 
+def fields(content: Column) -> Column:
+    """struct<description, country, city, province, name, keywords, people> of a sidecar.
 
-def location(content: Column) -> Column:
-    """country, city, province, name; empty strings inside, null where all four are empty."""
-    block = F.regexp_extract(content, _PLACE, 0)
+    The first item of the description, null where there is none; bare items of the first subject, on one
+    line each, not stripped; people that are not blank; the place's parts, empty strings where they are missing.
+    """
+    found = F.regexp_extract(content, _DESCRIPTION, 1)
+    people = F.regexp_extract_all(F.regexp_extract(content, _PERSON, 0), F.lit(_ITEM), F.lit(1))
+    place = F.transform(
+        F.array(F.regexp_extract(content, _PLACE, 0)),
+        lambda block: F.array(
+            *(F.regexp_extract(block, f'Iptc4xmpExt:{name}="([^"]*)"', 1) for name in ("CountryName", "City", "ProvinceState")), F.regexp_extract(block, _PLACE_NAME, 1)
+        ),
+    )[0]
+    raw = F.struct(
+        # an empty match is told from none by a second look, which few need
+        F.when((found != "") | F.regexp_like(content, F.lit(_DESCRIPTION)), found).alias("description"),
+        *(place[k].alias(name) for k, name in enumerate(("country", "city", "province", "name"))),
+        F.regexp_extract_all(F.regexp_extract(content, _SUBJECT, 0), F.lit(_ITEM), F.lit(1)).alias("keywords"),
+        F.filter(people, lambda x: strip(x) != "").alias("people"),
+    )
+    return unescaped(raw)
 
-    def attribute(name):
-        return unescape(F.regexp_extract(block, f'Iptc4xmpExt:{name}="([^"]*)"', 1)).alias(name)
 
-    place = F.struct(
-        attribute("CountryName").alias("country"), attribute("City").alias("city"), attribute("ProvinceState").alias("province"),
-        strip(unescape(F.regexp_extract(block, _PLACE_NAME, 1))).alias("name"),
-    )
+def location_of(found: Column) -> Column:
+    """country, city, province, name of ``fields``; null where all four are empty."""
+    place = F.struct(*(found[k].alias(k) for k in ("country", "city", "province")), strip(found["name"]).alias("name"))
     return let(place, lambda p: F.when(F.concat(*(p[k] for k in ("country", "city", "province", "name"))) != "", p)).cast(LOCATION)
 
 
@@ -108,15 +114,18 @@ def file_stem(path: Column) -> Column:
 
 def extracted(content: Column, path: Column, root: str) -> Column:
     """Everything of one sidecar as a struct; without a description all of it is empty."""
-    told = description(content)
-    has = told.isNotNull()
-    return F.struct(
-        told.alias("description"),
-        F.when(has, keywords(content)).otherwise(_strings()).alias("keywords"),
-        F.when(has, people(content)).otherwise(_strings()).alias("people"),
-        F.when(has, location(content)).alias("location"),
-        F.when(has, date_chain(content, file_stem(path), folders(path, root))).cast(DATE).alias("date"),
-    )
+
+    def whole(found):
+        has = found["description"].isNotNull()
+        return F.struct(
+            strip(found["description"]).alias("description"),
+            F.when(has, found["keywords"]).otherwise(_strings()).alias("keywords"),
+            F.when(has, F.transform(found["people"], strip)).otherwise(_strings()).alias("people"),
+            F.when(has, location_of(found)).alias("location"),
+            F.when(has, date_chain(content, file_stem(path), folders(path, root))).cast(DATE).alias("date"),
+        )
+
+    return let(fields(content), whole)
 
 
 # --- what a document already holds -------------------------------------------------------------

@@ -106,7 +106,7 @@ def test_without_description_all_is_empty(spark):
     ('<Iptc4xmpExt:LocationShown Iptc4xmpExt:City="Rome" />', ("", "Rome", "", "")), ("<Iptc4xmpExt:LocationShown></Iptc4xmpExt:LocationShown>", None), ("", None),
 ])
 def test_location_forms(spark, block, want):
-    x = one(spark, sidecar.location(F.lit(block)))
+    x = one(spark, sidecar.location_of(sidecar.fields(F.lit(block))))
     assert (None if x is None else tuple(x)) == want
 
 
