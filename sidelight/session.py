@@ -13,12 +13,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Rows go to Python in batches of 10,000; long documents would make them huge in the memory outside the heap.
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the workers, once a context, unless PYTHONPATH already names it."""
+    """Sends the package to the workers, once a context, unless PYTHONPATH already names it; and bounds
+    the bytes of an Arrow batch where the session does not."""
     root = _PACKAGE.parent
     sc = spark.sparkContext
+    name, most = _BATCH_BYTES
+    if not spark.sql("SET").where(f"key = '{name}'").head(1):
+        spark.conf.set(name, most)
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_sidelight_shipped", False):
         return spark
     path = os.path.join(tempfile.mkdtemp(prefix="sidelight-"), "sidelight.zip")
