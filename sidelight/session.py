@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 #: Rows go to Python in batches of 10,000; long documents would make them huge in the memory outside the heap.
-_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "12m")
 
 
 def ship(spark: SparkSession) -> SparkSession:
