@@ -43,7 +43,7 @@ photos as (
   join part on p_partkey = o_orderkey % (select count(*) from part) join embeddings on vec_id = o_orderkey % (select count(*) from embeddings)
 )"""
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], Workspace] = {}
 
 
 def photo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,11 @@ def photo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of these records as a stored table, as an index is: made once a session and folder, then read."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORED:
+    if key not in _STORED or not _STORED[key].alive:
         ws = Workspace(spark, "index")
         search.keyed(photo_rows(spark, sf_dir)).repartition("seq").write.parquet(f"{ws.root}/photos")
-        _STORED[key] = f"{ws.root}/photos"
-    return spark.read.parquet(_STORED[key])
+        _STORED[key] = ws
+    return spark.read.parquet(f"{_STORED[key].root}/photos")
 
 
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,10 @@ class Workspace:
         self._n = 0
         _made[self.root] = spark
 
+    @property
+    def alive(self) -> bool:
+        return self.root in _made
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"

@@ -16,5 +16,5 @@ def test_tables_live_as_long_as_they_are_read(spark):
     outer.drop(kept)
     assert not os.path.exists(plain(kept._workspace_path)) and kept2.count() == 3
     workspace.clear([outer.root])
-    assert not os.path.exists(plain(outer.root)) and outer.root not in workspace._made
+    assert not os.path.exists(plain(outer.root)) and not outer.alive
     workspace.clear(["never made"])
