@@ -174,7 +174,7 @@ def _nearest(percent: int):
         i, j, matches = _survivors_in(table, least)
         own, other, both = docs[np.append(i, j)], docs[np.append(j, i)], np.append(matches, matches)
         order = np.lexsort((other, -both, own))
-        first = order[np.flatnonzero(np.diff(own[order], prepend=np.int64(-1) if not len(own) else own[order[0]] - 1))]
+        first = order[np.unique(own[order], return_index=True)[1]]
         return pa.table({"doc": own[first], "other": other[first], "matches": both[first]})
 
     return run
