@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from sidelight.llm.columns import read
 from sidelight.llm.memory import sliced
 
-MEMO_PIECES = 200_000  # entries; the memo is emptied when full
-MEMO_PAIRS = 200_000
+MEMO_PIECES = 120_000  # entries; the memo is emptied when full
+MEMO_PAIRS = 120_000
+LONG_TEXT = 1 << 17
 PIECE_BYTES = 64
+_BITS = 24  # of a token id; two of them are one number, which is a smaller key than a pair
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,14 +49,16 @@ class BacktrackingBPE:
         import regex
 
         self.token_bytes = {i: t for t, i in ranks.items()}
-        self.pieces_of = regex.compile(pattern).findall
+        self._pattern = regex.compile(pattern)
         self._auto = ahocorasick.Automaton()
         for t, i in ranks.items():
-            self._auto.add_word(t.decode("latin-1"), (i, len(t)))
+            self._auto.add_word(t.decode("latin-1"), i)
         self._auto.make_automaton()
-        self._adjacent: dict[tuple[int, int], bool] = {}
-        self._split: dict[int, tuple[int, int]] = {}
-        self._pair: dict[tuple[int, int], int] = {}
+        self._size = {i: len(t) for t, i in ranks.items()}
+        self._adjacent: dict[int, bool] = {}
+        self._left: dict[int, int] = {}
+        self._right: dict[int, int] = {}
+        self._pair: dict[int, int] = {}
         self._shorter: dict[int, int] = {}
         self._learn_merges(ranks)
         self._memo: dict[str, bytes] = {}
@@ -62,38 +66,38 @@ class BacktrackingBPE:
     def _learn_merges(self, ranks: dict[bytes, int]) -> None:
         """By rank, the pair that each token is merged from, and the longest proper prefix that is a token."""
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
-            self._split[i] = (i, i)
+            self._left[i] = self._right[i] = i
             cuts = [n for n in range(len(t) - 1, 0, -1) if t[:n] in ranks]
             if cuts:
                 self._shorter[i] = ranks[t[: cuts[0]]]
             for n in cuts:
                 a, b = ranks[t[:n]], ranks.get(t[n:])
                 if b is not None and a < i and b < i and self._may_touch(a, b):
-                    self._split[i] = (a, b)
-                    self._pair[a, b] = i
+                    self._left[i], self._right[i] = a, b
+                    self._pair[a << _BITS | b] = i
                     break
         self._adjacent.clear()
 
     def _may_touch(self, left: int, right: int) -> bool:
         """Takes the two tokens apart, later merge first; they may touch if no earlier
         merge would have joined the parts that face each other."""
-        key = left, right
+        key = left << _BITS | right
         known = self._adjacent.get(key)
         if known is not None:
             return known
         bound, answer = sys.maxsize, None
         while answer is None:
-            joined = self._pair.get((left, right))
+            joined = self._pair.get(left << _BITS | right)
             if joined is not None and joined < bound:
                 answer = False
                 break
             for side in ("left", "right") if left > right else ("right", "left"):
-                if side == "left" and self._split[left][1] != left:
-                    bound, left = left, self._split[left][1]
+                if side == "left" and self._right[left] != left:
+                    bound, left = left, self._right[left]
                     break
-                if side == "right" and self._split[right][0] != right:
+                if side == "right" and self._left[right] != right:
                     # a merge of the same rank further left comes first
-                    bound, right = right + 1, self._split[right][0]
+                    bound, right = right + 1, self._left[right]
                     break
             else:
                 answer = True
@@ -104,28 +108,26 @@ class BacktrackingBPE:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
-        longest = [(-1, 0)] * n
-        for end, (token, size) in self._auto.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start][1]:
-                longest[start] = token, size
+        size_of, shorter = self._size, self._shorter
+        longest = [-1] * n
+        for end, token in self._auto.iter(piece.decode("latin-1")):
+            longest[end - size_of[token] + 1] = token  # ends come in order, so the last at a start is the longest
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0][0] if n else -1
-        size_of, shorter = self.token_bytes, self._shorter
+        at, token = 0, longest[0] if n else -1
         while at < n:
-            end = at + len(size_of[token])
+            end = at + size_of[token]
             if alive[end] and (not out or self._may_touch(out[-1], token)):
                 out.append(token)
                 at = end
                 if at < n:
-                    token = longest[at][0]
+                    token = longest[at]
             elif token in shorter:
                 token = shorter[token]
             else:
                 alive[at] = 0
                 token = out.pop()
-                at -= len(size_of[token])
+                at -= size_of[token]
         return out
 
     def _piece_ids(self, piece: str) -> bytes:
@@ -141,7 +143,9 @@ class BacktrackingBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers in the machine's order (little-endian, asserted below)."""
-        return b"".join(map(self._piece_ids, self.pieces_of(text)))
+        if len(text) < LONG_TEXT:
+            return b"".join(map(self._piece_ids, self._pattern.findall(text)))
+        return b"".join(self._piece_ids(m[0]) for m in self._pattern.finditer(text))  # without a list of all pieces
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I")))
