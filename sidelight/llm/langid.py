@@ -148,9 +148,9 @@ def _sample(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
     """``lang``, ``draw`` and the sparse counts of the rows to learn from, of all languages in one pass."""
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 62))
     # about as many pass as are wanted, so that few texts are counted; small languages pass as a whole
-    share = [(lang, int((1 << 62) * min(1.0, 1.2 * TRAIN_ROWS / n))) for lang, n in counts.items()]
-    bounds = F.broadcast(rows.sparkSession.createDataFrame(share, "lang string, bound long"))
-    drawn = rows.select(F.col("lang").cast("string").alias("lang"), "text", draw.alias("draw")).join(bounds, "lang").where("draw < bound")
+    share = [F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 62) * min(1.0, 1.2 * TRAIN_ROWS / n)))]
+    bound = F.element_at(F.create_map(*share), F.col("lang")) if share else F.lit(0)
+    drawn = rows.select(F.col("lang").cast("string").alias("lang"), "text", draw.alias("draw")).where(F.col("draw") < bound)
     told = drawn.select("lang", "draw", "text").mapInArrow(_sparse_counts, "lang string, draw long, at binary, counts binary")
     once = told.groupBy("lang", "draw").agg(F.first("at").alias("at"), F.first("counts").alias("counts"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))

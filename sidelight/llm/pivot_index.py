@@ -194,7 +194,8 @@ def top_k(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: s
     index.annuli = [tuple(r) for r in summary]
     units = [a[0] for a in index.annuli]
     # a row an annulus: in how many blocks it is cut; MOST_PIVOTS x RINGS rows at most
-    cut = F.broadcast(df.sparkSession.createDataFrame([(r["unit"], -(-r["n"] // block)) for r in summary], "unit int, many long"))
+    rows_of = F.array(*(F.struct(F.lit(r["unit"]).alias("unit"), F.lit(-(-r["n"] // block)).cast("long").alias("many")) for r in summary)).cast("array<struct<unit:int,many:long>>")
+    cut = F.broadcast(df.sparkSession.range(1).select(F.inline(rows_of)))
 
     def packed(members: DataFrame, of: str, seed: int) -> DataFrame:
         """Rows of ``unit``, ``id``, ``v`` and the number of blocks ``of`` their annulus, as a row a block."""
