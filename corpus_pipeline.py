@@ -38,6 +38,7 @@ from sidelight.llm.mixing import mixed_rows
 from sidelight.workspace import Workspace, passing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKEN_MEMO = 120_000  # less than the coder's own, as executors have grown in the stages before
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return with_tokens(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], ids=True)
+    return with_tokens(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], ids=True, memo=TOKEN_MEMO)
 
 
 STAGES = [

@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from sidelight.llm.columns import read
 from sidelight.llm.memory import sliced
 
-MEMO_PIECES = 120_000  # entries; the memo is emptied when full
-MEMO_PAIRS = 120_000
+MEMO = 200_000  # entries of each memo, which is emptied when full
 LONG_TEXT = 1 << 17
 PIECE_BYTES = 64
 _BITS = 24  # of a token id; two of them are one number, which is a smaller key than a pair
@@ -44,12 +43,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class BacktrackingBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO) -> None:
         import ahocorasick
         import regex
 
         self.token_bytes = {i: t for t, i in ranks.items()}
-        self._pattern = regex.compile(pattern)
+        self._pattern, self._most = regex.compile(pattern), memo
         self._auto = ahocorasick.Automaton()
         for t, i in ranks.items():
             self._auto.add_word(t.decode("latin-1"), i)
@@ -101,7 +100,7 @@ class BacktrackingBPE:
                     break
             else:
                 answer = True
-        if len(self._adjacent) >= MEMO_PAIRS:
+        if len(self._adjacent) >= self._most:
             self._adjacent.clear()
         self._adjacent[key] = answer
         return answer
@@ -136,7 +135,7 @@ class BacktrackingBPE:
             raw = piece.encode("utf-8")
             found = array.array("I", self.encode_piece(raw)).tobytes()
             if len(raw) <= PIECE_BYTES:
-                if len(self._memo) >= MEMO_PIECES:
+                if len(self._memo) >= self._most:
                     self._memo.clear()
                 self._memo[piece] = found
         return found
@@ -155,13 +154,14 @@ assert sys.byteorder == "little" and array.array("I").itemsize == 4
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str, pattern: str) -> BacktrackingBPE:
-    return BacktrackingBPE(load_ranks(path), pattern)
+def _loaded(path: str, pattern: str, memo: int) -> BacktrackingBPE:
+    return BacktrackingBPE(load_ranks(path), pattern, memo)
 
 
-def with_tokens(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
+def with_tokens(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, ids: bool = False, memo: int = MEMO) -> DataFrame:
     """The columns in ``keep`` (all, if None) with ``n_tokens``, ``ids_sha256``, ``decoded_sha256``
-    and, if asked for, ``ids`` (binary, little-endian unsigned 32-bit). Such columns of ``df`` are replaced."""
+    and, if asked for, ``ids`` (binary, little-endian unsigned 32-bit). Such columns of ``df`` are replaced.
+    ``memo`` trades memory of a Python worker for time; results do not depend on it."""
     added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "binary"} if ids else {})
     keep = [c for c in (df.columns if keep is None else keep) if c not in added]
     schema = df.select(*keep).schema
@@ -170,7 +170,7 @@ def with_tokens(df: DataFrame, path: str, pattern: str, text_col: str = "text",
     text_at = len(keep)
 
     def encode(batches):
-        bpe = _loaded(path, pattern)
+        bpe = _loaded(path, pattern, memo)
         for batch in sliced(batches, text_at):
             rows = []
             for text in batch.column(text_at):
