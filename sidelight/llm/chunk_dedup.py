@@ -16,11 +16,12 @@ ends of chunks, all of whose bytes are shared, and so a chunk that both take; in
 longer passage the chunks that both take follow each other at ``WITHIN`` words or less,
 and are joined. So a passage of 51 words is always found, also where its first and
 last word are glued to something else. Shorter passages of at least ``CHUNK_WORDS``
-words are found by chance; the query leaves out what is below ``SURE_WORDS``.
+words are found by chance; the query leaves out what is measured below ``SURE_WORDS``.
 
 Each end of a run is then extended by the words it shares with another holder of its
 outermost chunk, the smallest or the largest id, whichever shares more; that is
-fewer than ``WITHIN`` words, or another chunk would be there. In the smallest id
+fewer than ``WITHIN`` words, or another chunk would be there. Where both hold less of
+a passage than a third document does, its run is measured short. In the smallest id
 that holds a chunk, the chunk is the original; elsewhere it is a copy.
 
 Digests, ids and positions are shuffled, and each text once by its id, for the
