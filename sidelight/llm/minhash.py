@@ -17,24 +17,29 @@ popular of the buckets' leaders (of the largest buckets together, as the text
 that others were copied from is); what is linked then is one component. After
 that only buckets that still hold several components go on, and only pairs
 across components. Buckets of up to ``SMALL`` sets make their few pairs in a
-join. Larger ones are cut into blocks of about ``BLOCK`` sets, and each two blocks
-meet on their minima alone, as matrices; a pair is taken up in the first band that
-it shares, so once. They meet twice. The first time a set gives back only the one
+join. Larger ones are cut into blocks of about ``BLOCK`` sets, a row each with all its
+sets' minima, and each two blocks meet as matrices; a pair is taken up in the first band
+that it shares, so once. They meet twice. The first time a set gives back only the one
 that it has most minima in common with, which joins most of what belongs together.
-The second time the rest is compared to the end: blocks give back, not pairs, but
-which of their sets have a survivor in another component, by cells of about ``CELL``
-sets. To those alone texts are joined; a cell finds its survivors again, verifies
-them, and gives back no more links than connect its sets. No pair is skipped but
-those already connected. A bucket of n sets so moves n * n / ``BLOCK`` rows of minima,
-and a text only to cells where it has a survivor that no link has reached: a template
-that many unlike documents share moves none.
-
-Disk holds the minima, the band keys and the texts of bucketed sets once each.
+The second time the rest is compared to the end. Every set has one cell, whatever its
+buckets, of about ``CELL`` sets of its largest bucket; blocks give back, not pairs, but
+which sets have a survivor in another component, and which cells have any between them.
+To those sets alone texts are joined, once each, and a cell's full sets are written in
+rows of about ``SLICE_BYTES``. A cell, or two, finds its survivors again, verifies them,
+and gives back no more links than connect its sets. No pair is skipped but those already
+connected. So joins make a row for each set of a bucket and one for each two blocks or
+cells that meet. A bucket of n sets that stay unlinked is still n * n comparisons, and
+moves n * n / ``BLOCK`` sets' minima inside those rows; a set goes to the cells where it
+has a survivor that no link has reached: a template that many unlike documents share
+moves none.
+
+Disk holds the minima, the band keys and the texts of bucketed sets once each, the
+minima of a large bucket's sets once a bucket, and the full sets of those with such survivors.
 All steps are joins and combining aggregations over written tables; nothing is
 collected but row counts.
 
 A very long text is one set like any other: its hashes and minima are made in pieces,
-and only a task that verifies it holds it. Of ties, the smallest id leads.
+and only tasks that pack or verify its cell hold it. Of ties, the smallest id leads.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text of
 fewer words than a shingle is one shingle; a null text or one without words is
@@ -55,7 +60,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelight.llm.columns import read
-from sidelight.llm.memory import release, sliced
+from sidelight.llm.memory import SLICE_BYTES, release, sliced
 from sidelight.operators.components import connected_components
 from sidelight.workspace import Workspace
 
@@ -138,101 +143,129 @@ def _fingerprints(batches):
         )
 
 
-def _survivors_in(table: pa.Table, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted rows of one block, or of two, the pairs (i, j) across components that are first met in its band and
-    pass the sequential test, with their matches."""
-    docs, side, comp = (table.column(c).to_numpy() for c in ("doc", "side", "component"))
-    band, sigs = table.column("band")[0].as_py(), _minima_of(table.column("sig"))
-    alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    n = len(docs) if alone else int((side == 0).sum())
+def _survivors_in(sigs: np.ndarray, comp: np.ndarray, n: int, alone: bool, least: tuple[int, ...], band: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (i, j) across components, of the first n rows with the rest or alone with each other, that share a band
+    (first the given one) and pass the sequential test, with their matches."""
     met = [[np.empty(0, np.int64)] * 3]
     for at in range(0, n, _STRIPE):
         rows = np.arange(at, min(n, at + _STRIPE))
-        i, j = (x.ravel() for x in np.meshgrid(rows, np.arange(at if alone else n, len(docs)), indexing="ij"))
+        i, j = (x.ravel() for x in np.meshgrid(rows, np.arange(at if alone else n, len(sigs)), indexing="ij"))
         open_ = (comp[i] != comp[j]) & (i < j)
         i, j = i[open_], j[open_]
         keep, matches = _likely(sigs, sigs, i, j, least)
         i, j = i[keep], j[keep]
         same = (sigs[i, : BANDS * ROWS] == sigs[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(axis=2)
-        here = same.any(axis=1) & (same.argmax(axis=1) == band)
+        here = same.any(axis=1) & (band is None or same.argmax(axis=1) == band)
         met.append([i[here], j[here], matches[here].astype(np.int64)])
     i, j, matches = (np.concatenate(c) for c in zip(*met))
     return i, j, matches
 
 
-def _sorted(table: pa.Table) -> pa.Table:
-    return table.combine_chunks().sort_by([("side", "ascending"), ("doc", "ascending")])
+def _each_meeting(work, schema: pa.Schema):
+    """``work`` on the sets of each two blocks that meet, or of a block alone, and the survivors among them."""
 
-
-def _nearest(percent: int):
-    """For each set of a block with a survivor, the one it has most minima in common with, the smallest id of equals."""
-    least = least_matches(percent)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = _sorted(table)
-        docs = table.column("doc").to_numpy()
-        i, j, matches = _survivors_in(table, least)
-        own, other, both = docs[np.append(i, j)], docs[np.append(j, i)], np.append(matches, matches)
-        order = np.lexsort((other, -both, own))
-        first = order[np.unique(own[order], return_index=True)[1]]
-        return pa.table({"doc": own[first], "other": other[first], "matches": both[first]})
+    def run(batches, least):
+        for batch in batches:
+            for band, *blocks in zip(*(batch.column(c) for c in ("band", "left", "right"))):
+                sides = [pa.Table.from_struct_array(x.values).sort_by("doc") for x in blocks if x.is_valid]
+                table = pa.concat_tables(sides)
+                pairs = _survivors_in(_minima_of(table.column("sig")), table.column("component").to_numpy(), len(sides[0]), len(sides) == 1, least, band.as_py())
+                if len(pairs[0]):
+                    yield from work(table, *pairs).cast(schema).to_batches()
 
     return run
 
 
-def _with_survivors(percent: int):
-    """The sets of a block that have a survivor, once for each pair of cells where they do."""
-    least = least_matches(percent)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = _sorted(table)
-        docs, comp, cell = (table.column(c).to_numpy() for c in ("doc", "component", "cell"))
-        i, j, _ = _survivors_in(table, least)
-        low, high = np.minimum(cell[i], cell[j]), np.maximum(cell[i], cell[j])
-        met = np.unique(np.stack([np.append(low, low), np.append(high, high), np.append(i, j)], axis=1).reshape(-1, 3), axis=0)
-        low, high, at = met.T
-        key, band = (np.full(len(at), table.column(c)[0].as_py()) for c in ("key", "band"))
-        return pa.table({
-            "key": pa.array(key, pa.int64()), "band": pa.array(band, pa.int32()), "i": pa.array(low, pa.int32()), "j": pa.array(high, pa.int32()),
-            "doc": docs[at], "component": comp[at], "side": pa.array((cell[at] != low).astype(np.int32)),
+def _nearest(table: pa.Table, i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> pa.Table:
+    """For each set with a survivor, the one it has most minima in common with, the smallest id of equals."""
+    docs = table.column("doc").to_numpy()
+    own, other, both = docs[np.append(i, j)], docs[np.append(j, i)], np.append(matches, matches)
+    order = np.lexsort((other, -both, own))
+    first = order[np.unique(own[order], return_index=True)[1]]
+    return pa.table({"doc": own[first], "other": other[first], "matches": both[first]})
+
+
+def _with_survivors(table: pa.Table, i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> pa.Table:
+    """A row for each cell that has survivors: the sets that do, and the cells, from itself on, where they have them."""
+    docs, comp, home, cell = (table.column(c).to_numpy() for c in ("doc", "component", "home", "cell"))
+    cells, of = np.unique(np.stack([home, cell.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    of, at = of.ravel(), np.unique(np.append(i, j))
+    met = np.unique(np.stack([np.minimum(of[i], of[j]), np.maximum(of[i], of[j])], axis=1), axis=0)
+    rows = [
+        {
+            "home": int(cells[c, 0]), "cell": int(cells[c, 1]),
+            "sets": [{"doc": int(docs[k]), "component": int(comp[k])} for k in at[of[at] == c]],
+            "mates": [{"home": int(h), "cell": int(x)} for h, x in cells[met[met[:, 0] == c, 1]]],
+        }
+        for c in np.unique(met)
+    ]
+    return pa.Table.from_pylist(rows, _MET)
+
+
+_NEAR = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("matches", pa.int64())])
+_MET = pa.schema([
+    ("home", pa.int64()), ("cell", pa.int32()), ("sets", pa.list_(pa.struct([("doc", pa.int64()), ("component", pa.int64())]))),
+    ("mates", pa.list_(pa.struct([("home", pa.int64()), ("cell", pa.int32())]))),
+])
+_PACK = pa.schema([
+    ("home", pa.int64()), ("cell", pa.int32()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("comps", pa.list_(pa.int64())),
+    ("sizes", pa.list_(pa.int64())), ("sigs", pa.binary()), ("sets", pa.binary()),
+])
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A cell's full sets and their minima, once, in rows of about ``SLICE_BYTES``; one for each text of an id."""
+    if not table.num_rows:
+        return _PACK.empty_table()
+    home, cell = (table.column(c)[0].as_py() for c in ("home", "cell"))
+    table = table.combine_chunks().group_by(["doc", "component", "text"]).aggregate([]).sort_by("doc")
+    rows, sets, held = [], [], 0
+
+    def end():
+        rows.append({
+            "home": home, "cell": cell, "part": len(rows), "docs": [d for d, _, _ in sets], "comps": [c for _, c, _ in sets],
+            "sizes": [len(s) for _, _, s in sets], "sigs": b"".join(minima(s).tobytes() for _, _, s in sets), "sets": b"".join(s.tobytes() for _, _, s in sets),
         })
 
-    return run
+    for doc, comp, text in zip(*(table.column(c) for c in ("doc", "component", "text"))):
+        s = shingles(text.as_py())
+        if held and held + s.nbytes > SLICE_BYTES:
+            end()
+            sets, held = [], 0
+        sets.append((doc.as_py(), comp.as_py(), s))
+        held += s.nbytes
+    end()
+    return pa.Table.from_pylist(rows, _PACK)
 
 
 def _cell_links(percent: int):
     """Verifies the survivors of a cell, or between two, by falling matches, on full sets; what it has connected meanwhile is passed over."""
     least = least_matches(percent)
 
-    def run(table: pa.Table, texts: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        table = _sorted(table)
-        docs, comp = table.column("doc").to_pylist(), table.column("component").to_pylist()
-        rows_of: dict = {}
-        for k, d in enumerate(texts.column("doc").to_pylist()):
-            rows_of.setdefault(d, []).append(k)
-        column, sets, root, out = texts.column("text"), {}, {}, ([], [])
+    def links(sides):
+        docs, comp, sizes = (np.concatenate([np.asarray(x[c].values) for x in sides]) for c in ("docs", "comps", "sizes"))
+        sigs = np.concatenate([np.frombuffer(x["sigs"].as_buffer(), np.uint32) for x in sides]).reshape(-1, MINIMA)
+        sets = [s for x in sides for s in np.split(np.frombuffer(x["sets"].as_buffer(), np.uint64), np.cumsum(np.asarray(x["sizes"].values))[:-1])]
+        i, j, matches = _survivors_in(sigs, comp, len(sides[0]["docs"].values), len(sides) == 1, least)
+        order, root = np.argsort(-matches, kind="stable"), {}
 
         def find(x):
             while root.setdefault(x, x) != x:
                 root[x] = x = root[root[x]]
             return x
 
-        def sets_of(doc):  # one for each text of the id
-            if doc not in sets:
-                sets[doc] = [shingles(column[k].as_py()) for k in rows_of[doc]]
-            return sets[doc]
-
-        i, j, matches = _survivors_in(table, least)
-        order = np.argsort(-matches, kind="stable")
         for x, y in zip(i[order].tolist(), j[order].tolist()):
             a, b = find(comp[x]), find(comp[y])
-            if a != b and any(similar(s, t, percent) for s in sets_of(docs[x]) for t in sets_of(docs[y])):
+            if a != b and similar(sets[x], sets[y], percent):
                 root[max(a, b)] = min(a, b)
-                out[0].append(min(docs[x], docs[y]))
-                out[1].append(max(docs[x], docs[y]))
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+                yield min(docs[x], docs[y]), max(docs[x], docs[y])
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("left", "right"))):
+                found = [*links([x for x in row if x.is_valid])]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            release()
 
     return run
 
@@ -312,39 +345,61 @@ def _links_of_pairs(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent
     )
 
 
-def _in_blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Members of large buckets (key, band, n, doc, component) and their minima, dealt to each two blocks that meet."""
-    cells = max(1, BLOCK // CELL)
-    many = F.ceil(F.col("n") / (cells * CELL)).cast("int")
-    dealt = members.withColumn("many", many).withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("many") * cells).cast("int"))
-    dealt = dealt.withColumn("mine", F.floor(F.col("cell") / cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    dealt = dealt.select(
-        "key", "band", "cell", "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"),
-    )
-    return dealt.join(sigs, "doc")
+def _meetings(members: DataFrame, sigs: DataFrame, ws: Workspace) -> DataFrame:
+    """Members of large buckets (key, band, n, doc, component) and what ``sigs`` has of them, in blocks of one row each, by two that meet."""
+    many = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.select("key", "band", "doc", "component", many.alias("many"), F.pmod(F.xxhash64("doc"), many).cast("int").alias("block"))
+    row = F.struct("doc", "component", *(c for c in sigs.columns if c != "doc"))
+    blocks = ws.table(dealt.join(sigs, "doc").groupBy("key", "band", "many", "block").agg(F.collect_list(row).alias("sets")), "blocks")
+    alone = blocks.select("band", F.col("sets").alias("left"), F.lit(None).cast(blocks.schema["sets"].dataType).alias("right"))
+    first = blocks.where("block + 1 < many").select("key", "band", F.explode(F.expr("sequence(block + 1, many - 1)")).alias("block"), F.col("sets").alias("left"))
+    return alone.union(first.join(blocks.select("key", "block", F.col("sets").alias("right")), ["key", "block"]).select("band", "left", "right"))
 
 
-def _nearest_pairs(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+def _nearest_pairs(members: DataFrame, sigs: DataFrame, percent: int, ws: Workspace | None = None) -> DataFrame:
     """For each set with a survivor in its buckets, the pair (a, b) with its nearest one: as many as there are sets, at most."""
-    near = _in_blocks(members, sigs).groupBy("key", "i", "j").applyInArrow(_nearest(percent), "doc long, other long, matches long")
+    least, work = least_matches(percent), _each_meeting(_nearest, _NEAR)
+    near = _meetings(members, sigs, ws or Workspace(members.sparkSession, "minhash")).mapInArrow(lambda b: work(b, least), "doc long, other long, matches long")
     best = near.groupBy("doc").agg(F.max_by("other", F.struct("matches", -F.col("other"))).alias("other"))
     return best.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-def _met_sets(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Which sets still have survivors in other components, by pairs of cells (key, i, j)."""
-    kinds = "key long, band int, i int, j int, doc long, component long, side int"
-    return _in_blocks(members, sigs).groupBy("key", "i", "j").applyInArrow(_with_survivors(percent), kinds)
+def _homed(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``sigs`` of members, with the one cell of each: of its largest bucket, whose sets are dealt to cells of about ``CELL``."""
+    homes = members.groupBy("doc").agg(F.max(F.struct("n", "key")).alias("home")).select("doc", F.col("home.key").alias("home"))
+    cells = homes.groupBy("home").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    return sigs.join(homes.join(cells, "home").select("doc", "home", F.pmod(F.xxhash64("doc"), "cells").cast("int").alias("cell")), "doc")
+
+
+def _met_cells(members: DataFrame, sigs: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    least, work = least_matches(percent), _each_meeting(_with_survivors, _MET)
+    kinds = "home long, cell int, sets array<struct<doc:long,component:long>>, mates array<struct<home:long,cell:int>>"
+    return ws.table(_meetings(members, _homed(members, sigs), ws).mapInArrow(lambda b: work(b, least), kinds), "met")
+
+
+def _met_sets(members: DataFrame, sigs: DataFrame, percent: int, ws: Workspace | None = None) -> DataFrame:
+    """Which sets still have survivors in other components, once each, with their cells (home, cell)."""
+    return _sets_of(_met_cells(members, sigs, percent, ws or Workspace(members.sparkSession, "minhash")))
+
+
+def _sets_of(met: DataFrame) -> DataFrame:
+    once = met.groupBy("home", "cell").agg(F.array_distinct(F.flatten(F.collect_list("sets"))).alias("sets"))
+    return once.select("home", "cell", F.inline("sets"))
 
 
 def _links_of_blocks(ws: Workspace, members: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links across components inside large buckets, no more than connect the sets of a cell."""
-    met = ws.table(_met_sets(members, sigs, percent), "met")
-    cell = "key", "i", "j"
-    # tables of their own, as the sides of a cogroup that come from one table would be ambiguous
-    asked = ws.table(met.select(*cell, "doc").distinct().join(texts, "doc").select(*cell, "doc", "text"), "asked")
-    compared = met.join(sigs, "doc").select(*cell, "band", "doc", "component", "side", "sig")
-    return compared.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_cell_links(percent), "a long, b long")
+    met = _met_cells(members, sigs, percent, ws)
+    cell = "home", "cell"
+    packs = "home long, cell int, part int, docs array<long>, comps array<long>, sizes array<long>, sigs binary, sets binary"
+    packed = ws.table(_sets_of(met).join(texts, "doc").groupBy(*cell).applyInArrow(_packed, packs), "packs")
+    pack = packed.select(*cell, "part", F.struct("docs", "comps", "sizes", "sigs", "sets").alias("pack"))
+    mates = ws.table(met.select(*cell, F.explode("mates").alias("mate")).distinct(), "mates")
+    first = mates.join(pack.withColumnRenamed("pack", "left"), [*cell]).select(
+        F.col("mate.home").alias("home"), F.col("mate.cell").alias("cell"), "left", F.when((F.col("mate.home") == F.col("home")) & (F.col("mate.cell") == F.col("cell")), F.col("part")).alias("own"),
+    )
+    both = first.join(pack.withColumnRenamed("pack", "right"), [*cell]).where("own is null or own <= part")
+    return both.select("left", F.when(F.col("own").isNull() | (F.col("own") < F.col("part")), F.col("right")).alias("right")).mapInArrow(_cell_links(percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -387,7 +442,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(links)
     open_ = open_buckets(labels)
     large = F.col("n") > SMALL
-    nearest = ws.table(_nearest_pairs(open_.where(large), sigs, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    nearest = ws.table(_nearest_pairs(open_.where(large), sigs, percent, ws).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not nearest.isEmpty():
         links, first_links = ws.table(links.union(_links_of_pairs(nearest, sigs, texts, percent)), "links"), links
         labels = components(links)

@@ -132,6 +132,39 @@ def test_a_dense_bucket_gives_back_sets_and_not_pairs(spark, monkeypatch):
     assert minhash._met_sets(linked, sigs, 85).count() == 0
 
 
+def rows_of_joins(spark, run):
+    """What ``run`` returns, and the rows that all joins of its queries made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    spark.range(1).collect()
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    last, made, out = max(runs.apply(k).executionId() for k in range(runs.size())), 0, run()
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    for e in (runs.apply(k).executionId() for k in range(runs.size())):
+        if e > last:
+            nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                metrics = node.metrics()
+                for m in (metrics.apply(k) for k in range(metrics.size())):
+                    if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out, made
+
+
+def test_joins_make_rows_by_a_groups_size_and_not_its_square(spark, docs, monkeypatch):
+    """Copies of one base that are too far from it, and from each other, for links, but pass the sequential test."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CELL", 8)
+    made = {}
+    for n in (60, 240):
+        texts = [" ".join(f"n{k}" if i in (5 + k % 50, 60 + k // 50) else f"w{i}" for i in range(120)) for k in range(n)]
+        got, made[n] = rows_of_joins(spark, lambda: minhash.near_duplicates(docs(texts), percent=85).collect())  # noqa: B023
+        assert sorted((tuple(r) for r in got), key=str) == brute_force(list(enumerate(texts)), 85)
+    assert made[240] < 5 * made[60], made
+
+
 def test_stated_misses_at_the_threshold():
     """The share of pairs of exactly the threshold's similarity that the sequential test or the bands lose."""
     from math import comb
