@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from sidelight.operators.components import connected_components
 from sidelight.workspace import Workspace
 
 THRESHOLD, MIN_CLUSTER, BLOCK = 0.93, 2, 2048
+SMALL = 64  # records of a folder that are joined as rows
 
 
 def folder_of(path):
@@ -28,27 +30,44 @@ def folder_of(path):
     )
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, and vectors at length 1 as rows."""
+    table = table.combine_chunks()
+    seq = table.column("seq").to_numpy()
+    flat = np.asarray(table.column("vector").combine_chunks().flatten(), np.float64)
+    x = flat.reshape(len(seq), -1) if len(seq) else np.empty((0, 0))
+    norms = np.sqrt((x * x).sum(axis=1))
+    return seq, x / np.where(norms == 0, 1e-9, norms)[:, None]
+
+
+def _alike(one: tuple, other: tuple | None, threshold: float) -> pa.Table:
+    """Pairs of a block with another, or within one; a score that is no number counts as the largest, as in SQL."""
+    seq, x = one
+    others, y = one if other is None else other
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+    for at in range(0, len(seq) if len(others) else 0, 256):
+        scores = x[at : at + 256] @ y.T
+        a, b = np.nonzero(~(scores < threshold))
+        u, v = seq[at + a], others[b]
+        keep = u < v if other is None else u != v
+        for c, values in zip(out, (np.minimum(u, v)[keep], np.maximum(u, v)[keep], scores[a, b][keep])):
+            c.append(values)
+    return pa.table({k: np.concatenate(c) for k, c in zip(("a", "b", "score"), out)})
+
+
 def _meet(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        seq, side = table.column("seq").to_numpy(), table.column("side").to_numpy()
-        flat = np.asarray(table.column("vector").combine_chunks().flatten(), np.float64)
-        x = flat.reshape(len(seq), -1)
-        norms = np.sqrt((x * x).sum(axis=1))
-        x = x / np.where(norms == 0, 1e-9, norms)[:, None]
-        first = np.flatnonzero(side == 0)
         within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        second = first if within else np.flatnonzero(side == 1)
-        out: list[list] = [[], [], []]
-        for at in range(0, len(first), 256):
-            rows = first[at : at + 256]
-            scores = x[rows] @ x[second].T
-            a, b = np.nonzero(scores >= threshold)
-            u, v = seq[rows[a]], seq[second[b]]
-            keep = u < v if within else np.ones(len(u), bool)
-            for c, values in zip(out, (np.minimum(u, v)[keep], np.maximum(u, v)[keep], scores[a, b][keep])):
-                c.extend(values.tolist())
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        first = _matrix(table.filter(pc.equal(table.column("side"), 0)))
+        return _alike(first, None if within else _matrix(table.filter(pc.equal(table.column("side"), 1))), threshold)
+
+    return run
+
+
+def _meet_joined(threshold: float):
+    def run(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[-2:])
+        return _alike(_matrix(one), None if i == j else _matrix(other), threshold)
 
     return run
 
@@ -68,10 +87,27 @@ def similar_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def similar_pairs_joined(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The same pairs as a plain equi-join, for folders that are all small."""
-    units = records.select("folder", "seq", unit(F.col("vector")).alias("u"))
-    a, b = units.select("folder", F.col("seq").alias("a"), F.col("u").alias("ua")), units.select("folder", F.col("seq").alias("b"), F.col("u").alias("ub"))
-    return a.join(b, "folder").where("a < b").select("a", "b", dot(F.col("ua"), F.col("ub")).alias("score")).where(F.col("score") >= threshold)
+    """The same pairs as an equi-join, which passes over vectors that are missing, hold a null or differ in width.
+
+    Records of folders of at most ``SMALL`` are joined as rows, so that one makes no more than as many. A larger
+    folder's blocks are joined, each two of them once.
+    """
+    whole = records.select("folder", "seq", "vector").where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    whole = whole.withColumn("width", F.size("vector"))
+    sizes = Workspace(records.sparkSession, "folders").table(whole.groupBy("folder", "width").agg(F.count("*").alias("n")), "sizes")
+    sized = whole.join(sizes, ["folder", "width"])
+    units = sized.where(F.col("n") <= SMALL).select("folder", "width", "seq", unit(F.col("vector")).alias("u"))
+    a, b = (units.select("folder", "width", F.col("seq").alias(k), F.col("u").alias(f"u{k}")) for k in ("a", "b"))
+    rows = a.join(b, ["folder", "width"]).where("a < b").select("a", "b", dot(F.col("ua"), F.col("ub")).alias("score")).where(F.col("score") >= threshold)
+    many = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = sized.where(F.col("n") > SMALL).select("folder", "width", "seq", "vector", (many - 1).alias("last"), F.pmod(F.xxhash64("seq"), many).cast("int").alias("mine"))
+    key = ["folder", "width", "i", "j"]
+    one = large.select("folder", "width", F.col("mine").alias("i"), F.explode(F.sequence("mine", "last")).alias("j"), "seq", "vector")
+    # a block that meets itself comes from one side alone
+    other = large.where("mine > 0").select("folder", "width", F.explode(F.sequence(F.lit(0), F.col("mine") - 1)).alias("i"), F.col("mine").alias("j"), "seq", "vector")
+    other = other.toDF(*other.columns)
+    met = one.groupBy(*key).cogroup(other.groupBy(*key)).applyInArrow(_meet_joined(threshold), "a long, b long, score double")
+    return rows.unionByName(met)
 
 
 def compared_pairs(records: DataFrame) -> DataFrame:

@@ -31,6 +31,39 @@ def test_blocks_and_join_find_the_same_pairs(spark, monkeypatch, block):
     assert a == b and len(a) == 5
 
 
+def most_rows(df):
+    """The most rows that a step of a plan has made, once it has run."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        rows, below = node.metrics().get("numOutputRows"), node.children()
+        return max([rows.get().value() if rows.isDefined() else 0, *(walk(below.apply(k)) for k in range(below.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_large_folder_is_not_joined_row_by_row(spark):
+    rec = spark.range(300).select(F.col("id").alias("seq"), F.lit("f").alias("folder"), F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    assert most_rows(duplicates.similar_pairs_joined(rec, 1.1)) <= 600
+
+
+@pytest.mark.parametrize("small, block", [(0, 1), (0, 7), (0, 1000), (1000, 7)])
+def test_joined_rows_and_blocks_find_the_same(spark, monkeypatch, small, block):
+    monkeypatch.setattr(duplicates, "SMALL", small)
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    rows = [(k, "f" if k % 3 else "g", [cos(k), sin(k)]) for k in range(40)]
+    rows += [(40, "f", None), (41, "f", [1.0, None]), (42, "f", [1.0, 0.0, 0.0]), (43, "f", [0.5, 0.5, 0.0]), (44, None, [1.0, 0.0]), (45, "g", [0.0, 0.0]), (46, "h", [1.0]), (47, "i", [])]
+    rec = spark.createDataFrame(rows, "seq long, folder string, vector array<double>")
+    got = sorted((r.a, r.b, round(r.score, 9)) for r in duplicates.similar_pairs_joined(rec, 0.7).collect())
+    pair = [(a, b, round(cos(a - b), 9)) for a in range(40) for b in range(a + 1, 40) if (a % 3 == 0) == (b % 3 == 0) and cos(a - b) >= 0.7]
+    assert got == sorted([*pair, (42, 43, round(0.5**0.5, 9))])
+
+
 def test_report_is_one_file_and_read_again(spark, tmp_path):
     for _ in range(2):  # the second replaces the first
         writers.write_report(records(spark), str(tmp_path / "r.json"), 0.93)
