@@ -34,6 +34,8 @@ DAY, MONTH, YEAR = 0.9, 0.6, 0.3
 TOP = 48
 MAX_BATCH, MAX_BATCH_BYTES = 1000, 32 << 20  # queries of a block, and bytes of their vectors
 _SLICE = 4096  # records that are scored at a time
+_PAIRS = 1 << 16  # pairs of a record and a query that are scored in double at a time
+_BLOCKS, _KEPT = 16, 16 * 1000 * TOP  # blocks that one scan serves, and results that it keeps
 
 # Examples of places by other names; a file adds more.
 ALIASES = {
@@ -192,33 +194,57 @@ def search(index: DataFrame, query: str, vector: list[float], top: int = TOP, so
     return out.orderBy(F.col("score").desc(), F.col("seq")).limit(max(0, top))
 
 
+def _cosines(vectors: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Row by row, summed in the order in which ``cosine_to`` sums, so that equal vectors tie wherever they stand."""
+    dot, square = np.zeros(len(vectors)), np.zeros(len(vectors))
+    for x, u in zip(vectors.T, units.T):
+        dot += x * u
+        square += x * x
+    norm = np.sqrt(square)
+    return dot / np.where(norm == 0, TINY, norm)
+
+
 class _Block:
-    """Queries of one block, as matrices over records."""
+    """At most ``MAX_BATCH`` queries as matrices over records, and the best of each so far.
+
+    Queries that say the same in the same scope are of one kind, and bonuses are worked out by kind. A product in
+    single precision tells which records can be among the best; those are scored in double.
+    """
 
-    def __init__(self, said: list[tuple], units: list[list[float]], sources: list[list[str]]) -> None:
-        self.units, self.sources, self.dates = np.array(units, np.float64), [set(s) for s in sources], [d for *_, d in said]
-        self.words, self.parts = {}, {}  # word key to (query, times); part to queries
-        for q, (keys, parts, _) in enumerate(said):
+    def __init__(self, said: list[tuple], units: list[list[float]], kinds: list[int], top: int) -> None:
+        """``said``: words, parts, date and sources of each kind; ``kinds``: that of each query, in order."""
+        self.units, self.top, self.kinds = np.array(units, np.float64), top, np.array(kinds)
+        self.narrow = self.units.astype(np.float32)
+        self.dates, self.sources, many = [d for *_, d, _ in said], [set(s) for *_, s in said], len(said)
+        words, parts = {}, {}  # word key to (kind, times); part to kinds
+        for q, (keys, named, *_) in enumerate(said):
             for k in set(keys):
-                self.words.setdefault(k, []).append((q, keys.count(k)))
-            for p in parts:
-                self.parts.setdefault(p, []).append((q, 1))
+                words.setdefault(k, []).append((q, keys.count(k)))
+            for p in named:
+                parts.setdefault(p, []).append((q, 1))
+        self.words, self.parts, self.spans = words, parts, np.searchsorted(self.kinds, np.arange(many + 1))
+        self.together = len(units) < 8 * many  # many kinds of few queries: not kind by kind
+        self.start()
+
+    def start(self) -> None:
+        self.best, self.floor = [(np.empty(0), np.empty(0, np.int64))] * len(self.units), np.full(len(self.units), -np.inf)
 
     def _hits(self, lists: pa.ListArray, known: dict[str, list]) -> np.ndarray:
-        """Rows x queries: how many pairs of a row's strings and a query's are the same."""
-        out = np.zeros((len(lists), len(self.units)), np.int32)
+        """Rows x kinds: how many pairs of a row's strings and a query's are the same."""
+        out = np.zeros((len(lists), len(self.dates)), np.int32)
         if known:
             place = pc.index_in(lists.flatten(), value_set=pa.array(list(known), pa.string()))
             row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             met = np.flatnonzero(pc.is_valid(place).to_numpy(zero_copy_only=False))
-            by_place = list(known.values())
-            for r, k in zip(row[met].tolist(), place.take(pa.array(met)).to_pylist()):
-                for q, times in by_place[k]:
-                    out[r, q] += times
+            found = place.take(pa.array(met)).to_numpy(zero_copy_only=False)
+            for k, asked in enumerate(known.values()):
+                rows = row[met[found == k]]
+                for q, times in asked if len(rows) else ():
+                    np.add.at(out[:, q], rows, times)
         return out
 
     def _dated(self, date: pa.StructArray) -> np.ndarray:
-        out = np.zeros((len(date), len(self.units)))
+        out = np.zeros((len(date), len(self.dates)))
         year, month, day = (pc.fill_null(pc.struct_field(date, [k]), -1).to_numpy(zero_copy_only=False) for k in ("year", "month", "day"))
         for q, asked in enumerate(self.dates):
             if asked is not None:
@@ -230,56 +256,97 @@ class _Block:
                 out[fits & date.is_valid().to_numpy(zero_copy_only=False), q] = DAY if asked.day is not None else MONTH if one_month else YEAR
         return out
 
-    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Rows x queries; minus infinity out of a query's scope."""
-        source, people, parts, places, date, vector = (batch.column(c) for c in ("source", "people_keys", "place_parts", "place_keys", "date", "vector"))
-        x = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-        norm = np.sqrt((x * x).sum(axis=1))
-        out = (x @ self.units.T) / np.where(norm == 0, TINY, norm)[:, None]
+    def _bonuses(self, batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows x kinds: what people, places and dates add, and what is in scope."""
+        source, people, parts, places, date = (batch.column(c) for c in ("source", "people_keys", "place_parts", "place_keys", "date"))
         named = self._hits(people.flatten(), self.words)
+        best = np.zeros((len(batch), len(self.dates)), np.int32)
         if named.any():  # of a record's names the best one counts
-            best = np.zeros(out.shape, np.int32)
             np.maximum.at(best, pc.list_parent_indices(people).to_numpy(zero_copy_only=False), named)
-            out += np.where(best > 0, PERSON + PER_HIT * best, 0.0)
-        out += np.where((self._hits(places, self.words) > 0) | (self._hits(parts, self.parts) > 0), PLACE, 0.0) * self._labelled(parts)[:, None]
-        out += self._dated(date)
+        placed = np.where((self._hits(places, self.words) > 0) | (self._hits(parts, self.parts) > 0), PLACE, 0.0) * self._labelled(parts)[:, None]
         names = source.dictionary_encode()
         scope = np.array([[n in s for s in self.sources] for n in names.dictionary.to_pylist()], bool).reshape(-1, len(self.sources))
-        out[~scope[names.indices.to_numpy(zero_copy_only=False)]] = -np.inf
-        return out
+        return [np.where(best > 0, PERSON + PER_HIT * best, 0.0), placed, self._dated(date)], scope[names.indices.to_numpy(zero_copy_only=False)]
 
     @staticmethod
     def _labelled(parts: pa.ListArray) -> np.ndarray:
         """A place of which only a name is known matches nothing."""
         return pc.list_value_length(parts).to_numpy(zero_copy_only=False) > 0
 
-    def best(self, top: int):
-        def run(batches):
-            kept = [(np.empty(0), np.empty(0, np.int64))] * len(self.units)
-            for whole in batches:
-                for at in range(0, whole.num_rows, _SLICE):
-                    batch = whole.slice(at, _SLICE)
-                    seq, scores = batch.column("seq").to_numpy(zero_copy_only=False), self.scores(batch)
-                    for q, column in enumerate(scores.T):
-                        floor = kept[q][0][-1] if len(kept[q][0]) == top else -np.inf
-                        if len(column) > top:
-                            floor = max(floor, np.partition(column, -top)[-top])
-                        new = np.flatnonzero((column >= floor) & (column > -np.inf))
-                        if len(new):
-                            s, v = np.concatenate((kept[q][0], column[new])), np.concatenate((kept[q][1], seq[new]))
-                            order = np.lexsort((v, -s))[:top]
-                            kept[q] = s[order], v[order]
-            for q, (s, v) in enumerate(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q), pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["_q", "seq", "_s"])
-
-        return run
+    def take(self, batch: pa.RecordBatch, seq: np.ndarray, vectors: np.ndarray, narrow: np.ndarray) -> None:
+        """The best of each query with the records of ``batch``, ``vectors`` as they are and ``narrow`` at length 1."""
+        bonuses, scope = self._bonuses(batch)
+        total = sum(bonuses)
+        off = np.float64(2.0**-23) * (vectors.shape[1] + 20 + 4 * total.max(initial=0.0))  # above what single precision is off by
+        for rows, queries in self._candidates(narrow, total, scope, off):
+            for at in range(0, len(rows), _PAIRS):
+                r, q = rows[at : at + _PAIRS], queries[at : at + _PAIRS]
+                score = _cosines(vectors[r], self.units[q])
+                for part in bonuses:
+                    score += part[r, self.kinds[q]]
+                self._keep(q, score, seq[r])
+
+    def _candidates(self, narrow: np.ndarray, total: np.ndarray, scope: np.ndarray, off: float):
+        """(rows, queries) of pairs that can be among the best."""
+        if self.together or np.isneginf(self.floor).any():
+            scores = narrow @ self.narrow.T
+            scores += np.where(scope, total, -np.inf).astype(np.float32)[:, self.kinds]
+            low = self.floor - off
+            if len(scores) > self.top and (open_ := np.flatnonzero(np.isneginf(low))).size:
+                ranked = np.nan_to_num(scores[:, open_], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                low[open_] = np.partition(ranked, -self.top, axis=0)[-self.top] - 2 * off
+            yield np.nonzero((scores >= low.astype(np.float32)) & (scores > -np.inf))
+            return
+        for k, (first, last) in enumerate(zip(self.spans, self.spans[1:])):
+            # no cosine is above 1, so that most records without a bonus need no product once the best have one
+            rows = np.flatnonzero(scope[:, k] & (total[:, k] + 1 + off >= self.floor[first:last].min()))
+            values, of = np.unique(total[rows, k], return_inverse=True)
+            for v, value in sorted(enumerate(values.tolist()), key=lambda x: -x[1]):
+                mine, low = rows[of == v], self.floor[first:last] - value - off
+                asked = np.flatnonzero(low <= 1)
+                r, q = np.nonzero(narrow[mine] @ self.narrow[first:last][asked].T >= low[asked].astype(np.float32))
+                if len(r):
+                    yield mine[r], asked[q] + first
+
+    def _keep(self, queries: np.ndarray, score: np.ndarray, seq: np.ndarray) -> None:
+        new = np.flatnonzero((score >= self.floor[queries]) & (score > -np.inf))
+        new = new[np.argsort(queries[new], kind="stable")]
+        asked, starts = np.unique(queries[new], return_index=True)
+        for q, mine in zip(asked.tolist(), np.split(new, starts[1:])):
+            s, v = np.concatenate((self.best[q][0], score[mine])), np.concatenate((self.best[q][1], seq[mine]))
+            order = np.lexsort((v, -s))[: self.top]
+            self.best[q] = s[order], v[order]
+            if len(order) == self.top:
+                self.floor[q] = s[order[-1]]
+
+
+def _best(blocks: list[_Block]):
+    """Of the records of a task, the best of each query; queries are numbered through all blocks."""
+
+    def run(batches):
+        for block in blocks:
+            block.start()
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                seq = batch.column("seq").to_numpy(zero_copy_only=False)
+                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+                norm = np.sqrt((x * x).sum(axis=1))
+                narrow = (x / np.where(norm == 0, TINY, norm)[:, None]).astype(np.float32)
+                for block in blocks:
+                    block.take(batch, seq, x, narrow)
+        for q, (s, v) in enumerate(found for block in blocks for found in block.best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q), pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["_q", "seq", "_s"])
+
+    return run
 
 
 def search_many(index: DataFrame, queries: DataFrame, top: int = TOP, aliases: dict | None = None) -> DataFrame:
     """A batch of queries (``query_id, query, vector, sources array<string>``): ``query_id``, ``rank`` and the record.
 
-    Queries are taken up in blocks of at most ``MAX_BATCH``, and of about ``MAX_BATCH_BYTES``, by a hash of
-    ``query_id``; one block is on the driver at a time. ``index`` is cleaned, and ``seq`` tells its records apart.
+    Queries are scored in blocks of at most ``MAX_BATCH``. One scan of the index serves several blocks, of together
+    about ``MAX_BATCH_BYTES``, dealt by a hash of ``query_id``; the queries of one scan are on the driver at a time.
+    ``index`` is cleaned, and ``seq`` tells its records apart.
     Blank queries, and records whose vectors have another width than the query's, have no results.
     """
     spark, top = index.sparkSession, max(0, top)
@@ -287,7 +354,7 @@ def search_many(index: DataFrame, queries: DataFrame, top: int = TOP, aliases: d
     sizes = [(r["width"], r["n"]) for r in asked.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect()]
     found = []
     for width, n in sorted(sizes):
-        most = max(1, min(MAX_BATCH, MAX_BATCH_BYTES // (8 * max(1, width))))
+        most = max(1, min(max(MAX_BATCH, min(_BLOCKS * MAX_BATCH, _KEPT // max(1, top))), MAX_BATCH_BYTES // (8 * max(1, width))))
         blocks = 1 if n <= most else -(-2 * n // most)
         of_width = asked.where(F.size("vector") == width)
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
@@ -302,15 +369,25 @@ def search_many(index: DataFrame, queries: DataFrame, top: int = TOP, aliases: d
 
 def _ranked(index: DataFrame, rows: list[Row], id_type: str, top: int, aliases: dict | None) -> DataFrame:
     spark = index.sparkSession
-    said, units = _said(spark, [r.query for r in rows], aliases) if rows else [], [_unit(r.vector) for r in rows]
-    block = _Block(said, units, [r.sources for r in rows])
+    texts = list(dict.fromkeys(r.query for r in rows))
+    known = dict(zip(texts, _said(spark, texts, aliases))) if rows else {}
+    alike: dict = {}  # what is said in which scope, to its queries
+    for r in rows:
+        alike.setdefault((r.query, frozenset(r.sources)), []).append(r)
+    rows = [r for of in alike.values() for r in of]
+    kind = [k for k, of in enumerate(alike.values()) for _ in of]
+    said, units = [(*known[text], scope) for text, scope in alike], [_unit(r.vector) for r in rows]
+    blocks = []
+    for at in range(0, len(rows), MAX_BATCH):
+        mine = kind[at : at + MAX_BATCH]
+        blocks.append(_Block(said[mine[0] : mine[-1] + 1], units[at : at + MAX_BATCH], [k - mine[0] for k in mine], top))
     read = index.select("seq", "source", "people_keys", "place_parts", "place_keys", "date", "vector")
-    near = read.mapInArrow(block.best(top), "_q int, seq long, _s double") if rows and top else spark.createDataFrame([], "_q int, seq long, _s double")
+    near = read.mapInArrow(_best(blocks), "_q int, seq long, _s double") if rows and top else spark.createDataFrame([], "_q int, seq long, _s double")
     order = Window.partitionBy("_q").orderBy(F.col("_s").desc(), F.col("seq"))
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("_s")
-    told = [(q, r.query_id, *s, u) for q, (r, s, u) in enumerate(zip(rows, said, units))]
+    told = [(q, r.query_id, *known[r.query], u) for q, (r, u) in enumerate(zip(rows, units))]
     kinds = f"_q int, query_id {id_type}, _keys array<string>, _parts array<string>, _asked {QUERY_DATE}, _unit array<double>"
-    # at most MAX_BATCH x top rows of three numbers, and a block's queries
+    # at most _KEPT rows of three numbers, or MAX_BATCH x top, and a scan's queries
     met = index.join(F.broadcast(best), "seq").join(F.broadcast(spark.createDataFrame(told, kinds)), "_q")
     return scored(met, F.col("_keys"), F.col("_parts"), F.col("_asked"), F.col("_unit")).drop("_q", "_keys", "_parts", "_asked", "_unit")
 

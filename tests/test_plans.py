@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from sidelight.operators import search
 from sidelight.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,10 @@ def test_what_reads_no_vectors_stores_and_moves_none(spark, sf_dir, name):
     out = queries.QUERIES[name](spark, sf_dir)
     assert not [key for key in queries._STORED if key[1] == sf_dir]
     assert re.findall(r"ReadSchema: struct<[^>]*embedding", plan_of(out)) == [] and out.count() > 0
+
+
+def test_keys_of_names_and_places_are_those_of_a_record(spark):
+    rows = queries.keyed_photo_rows(spark, SF)
+    columns = ["seq", "people_keys", "place_parts", "place_keys"]
+    want = search.keyed(rows.drop(*columns[1:])).select(*columns)
+    assert rows.select(*columns).exceptAll(want).count() == 0 and rows.count() == want.count() > 0

@@ -144,3 +144,29 @@ def test_a_batch_above_the_limit_is_met_in_blocks(spark, monkeypatch):
     whole = ranks()
     monkeypatch.setattr(search, "MAX_BATCH", 10)
     assert len(whole) == 50 and ranks() == whole
+
+
+def test_one_scan_serves_the_blocks_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_BATCH", 10)
+    monkeypatch.setattr(search, "_SLICE", 16)
+    rng = random.Random(9)
+    rows = search.clean(index(spark, *(record(f"p{i}", [rng.gauss(0, 1) for _ in range(3)], people=[rng.choice(["Anna", "Boris"])]) for i in range(90))))
+    asked = [(i, rng.choice(["anna", "x", "boris"]), [rng.gauss(0, 1) for _ in range(3)], ["photos"]) for i in range(60)]
+    out = search.search_many(rows, spark.createDataFrame(asked, "query_id int, query string, vector array<double>, sources array<string>"), top=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = out.collect()
+    for i, q, v, s in asked[::6]:
+        want = [(r.path, r.score) for r in search.search(rows, q, v, top=2).collect()]
+        assert [(r.path, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == want
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(search, "_SLICE", 37)
+    rng = random.Random(10)
+    few = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(3)]
+    rows = search.clean(index(spark, *(record(f"p{i:03}", few[i % 3]) for i in range(150))))
+    asked = [(i, "x", few[i % 3] if i < 8 else [rng.gauss(0, 1) for _ in range(64)], ["photos"]) for i in range(40)]
+    got = search.search_many(rows, spark.createDataFrame(asked, "query_id int, query string, vector array<double>, sources array<string>"), top=7).collect()
+    for i in range(40):
+        ranks = [int(r.path[1:]) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i]
+        assert ranks == list(range(ranks[0], 21, 3)) and ranks[0] < 3
