@@ -10,7 +10,10 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -41,16 +44,26 @@ _TEXTS = ("description", "country", "city", "province", "name")
 _LISTS = ("keywords", "people")
 
 
-@F.pandas_udf(StructType([StructField(c, StringType()) for c in _TEXTS] + [StructField(c, ArrayType(StringType())) for c in _LISTS]))
-def unescaped(raw: pd.DataFrame) -> pd.DataFrame:
-    """All HTML entities, named and numeric, in all fields of a sidecar at once; the JVM has no such function."""
+def _plain(values: pa.Array) -> pa.Array:
+    """All HTML entities, named and numeric; only what holds an ampersand becomes a Python string."""
+    found = pc.fill_null(pc.match_substring(values, "&"), False)
+    if not pc.any(found).as_py():
+        return values
+    return pc.replace_with_mask(values, found, pa.array([html.unescape(x) for x in values.filter(found).to_pylist()], values.type))
 
-    def plain(x):
-        return html.unescape(x) if x and "&" in x else x
 
-    texts = {c: [plain(x) for x in raw[c]] for c in _TEXTS}
-    lists = {c: [None if xs is None else [plain(x) for x in xs] for xs in raw[c]] for c in _LISTS}
-    return pd.DataFrame(texts | lists, dtype=object)
+def _plain_lists(lists: pa.ListArray) -> pa.ListArray:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    starts = pa.array(np.concatenate(([0], ends)), pa.int32())
+    return pa.ListArray.from_arrays(starts, _plain(lists.flatten()), mask=lists.is_null())
+
+
+@F.arrow_udf(StructType([StructField(c, StringType()) for c in _TEXTS] + [StructField(c, ArrayType(StringType())) for c in _LISTS]))
+def unescaped(raw: pa.Array) -> pa.Array:
+    """The entities in all fields of a sidecar at once; the JVM has no such function."""
+    columns = {name: values for name, values in zip((f.name for f in raw.type), raw.flatten())}
+    made = [_plain(columns[c]) for c in _TEXTS] + [_plain_lists(columns[c]) for c in _LISTS]
+    return pa.StructArray.from_arrays(made, names=[*_TEXTS, *_LISTS])
 
 
 def _strings() -> Column:

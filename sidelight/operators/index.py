@@ -27,9 +27,9 @@ def too_long(description: Column) -> Column:
 
 def records(pairs: DataFrame, root: str, source: str) -> DataFrame:
     """Index records without vectors, of images with a described sidecar; ``pairs``: path, content (bytes)."""
-    read = pairs.select("path", extracted(decoded(F.col("content")), F.col("path"), root).alias("x"))
-    out = read.select("path", "x.*", F.lit(source).alias("source"))
-    return out.where(F.coalesce(F.col("description"), F.lit("")) != "")
+    # as a generator, below which no filter moves: a filter on what is read would read every sidecar twice
+    read = F.filter(F.array(extracted(decoded(F.col("content")), F.col("path"), root)), lambda x: F.coalesce(x["description"], F.lit("")) != "")
+    return pairs.select("path", F.explode(read).alias("x")).select("path", "x.*", F.lit(source).alias("source"))
 
 
 def untagged(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sidelight.operators import search
 from sidelight.plans import queries
@@ -33,3 +34,14 @@ def test_keys_of_names_and_places_are_those_of_a_record(spark):
     columns = ["seq", "people_keys", "place_parts", "place_keys"]
     want = search.keyed(rows.drop(*columns[1:])).select(*columns)
     assert rows.select(*columns).exceptAll(want).count() == 0 and rows.count() == want.count() > 0
+
+
+@pytest.mark.parametrize("name", ["sources_union", "sidecar_extraction"])
+def test_sidecars_of_one_file_are_read_by_many_tasks(spark, name):
+    parts = queries.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("k")).distinct().count()
+    assert parts >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_sidecar_is_read_once(spark):
+    out = queries.QUERIES["sources_union"](spark, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 3  # at most one for each part of the union

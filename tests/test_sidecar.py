@@ -122,3 +122,11 @@ def test_created_document_is_read_back(spark):
 def test_hints_and_stems(spark, path, hint, stem):
     assert one(spark, sidecar.folder_hint(F.lit(path), "/r/")) == hint
     assert one(spark, sidecar.file_stem(F.lit(path))) == stem
+
+
+def test_entities_in_all_fields_and_lists(spark):
+    kinds = "description string, country string, city string, province string, name string, keywords array<string>, people array<string>"
+    rows = [("&lt;a&gt; &amp;lt; &eacute;&#233; &amp", None, "", "b", "&quot;", ["x", "&amp;", None], None), (None, "c", "&nope;", None, "d", [], ["&#x41;"])]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, raw struct<{kinds}>").coalesce(1)
+    got = [tuple(r.x) for r in df.select("i", sidecar.unescaped("raw").alias("x")).orderBy("i").collect()]
+    assert got == [("<a> &lt; éé &", None, "", "b", '"', ["x", "&", None], None), (None, "c", "&nope;", None, "d", [], ["A"])]
