@@ -8,11 +8,12 @@ from threading import Lock
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidelight.functions.images import EXTENSIONS, is_image
 from sidelight.functions.sidecar import stem_of
+from sidelight.operators.ranks import ranked
 from sidelight.schemas import DUPLICATES_DDL, RECORD_DDL, schema
 
 
@@ -143,8 +144,8 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lined_up(index: DataFrame) -> DataFrame:
-    """``seq`` as 0, 1, 2 ..., for what counts positions; the ranks of a small index."""
-    return index.withColumn("seq", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long"))
+    """``seq`` as 0, 1, 2 ..., for what counts positions."""
+    return ranked(index, ["seq"], "_place").withColumn("seq", F.col("_place") - 1).drop("_place")
 
 
 def newest(spark: SparkSession, path: str) -> int:
